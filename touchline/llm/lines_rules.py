@@ -34,24 +34,6 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SCAN = "text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:int>>"
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """True where a key occurs twice or more."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    out = np.zeros(len(keys), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
-
-
-def _later(keys: np.ndarray) -> np.ndarray:
-    """True where an equal key stands earlier."""
-    order = np.argsort(keys, kind="stable")
-    out = np.zeros(len(keys), bool)
-    out[order[1:][keys[order[1:]] == keys[order[:-1]]]] = True
-    return out
-
-
 def scan_slice(s: tb.Slice) -> dict[str, np.ndarray]:
     """The counts of each row of a slice and the normalised lines of all rows."""
     w0, w1 = s.words()
@@ -69,7 +51,7 @@ def scan_slice(s: tb.Slice) -> dict[str, np.ndarray]:
     full = after_word > first_word
     line0, line1, line_row, first_word, after_word = (x[full] for x in (line0, line1, line_row, first_word, after_word))
     salt = tb.mix(line_row.astype(np.uint64) + np.uint64(1))
-    twice = _later(tb.span_hash(raw, line0, line1) + salt)
+    twice = tb.later(tb.span_hash(raw, line0, line1) + salt)
 
     word = tb.span_hash(raw, w0, w1)
     covered = np.zeros(len(w0) + 1, np.int64)
@@ -77,7 +59,7 @@ def scan_slice(s: tb.Slice) -> dict[str, np.ndarray]:
         by_word = tb.prefix_hash(word)
         at = np.arange(len(w0) - REPEAT_WINDOW + 1)
         at = at[word_row[at] == word_row[at + REPEAT_WINDOW - 1]]
-        again = at[_repeated(tb.span_hash(by_word, at, at + REPEAT_WINDOW) + tb.mix(word_row[at].astype(np.uint64) + np.uint64(1)))]
+        again = at[tb.repeated(tb.span_hash(by_word, at, at + REPEAT_WINDOW) + tb.mix(word_row[at].astype(np.uint64) + np.uint64(1)))]
         np.add.at(covered, again, 1)
         np.add.at(covered, again + REPEAT_WINDOW, -1)
     hit = np.flatnonzero(np.cumsum(covered)[:-1] > 0)

@@ -69,6 +69,24 @@ def per_row(flags_at: np.ndarray, row_start: np.ndarray, row_end: np.ndarray) ->
     return np.searchsorted(flags_at, row_end) - np.searchsorted(flags_at, row_start)
 
 
+def later(keys: np.ndarray) -> np.ndarray:
+    """True for all but one of each group of equal keys."""
+    order = np.argsort(keys)
+    out = np.zeros(len(keys), bool)
+    out[order[1:][keys[order[1:]] == keys[order[:-1]]]] = True
+    return out
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """True where a key occurs twice or more."""
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.zeros(len(keys), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 class Slice:
     """A few rows' texts: ``buf`` holds them, row i at [start[i], end[i]), a newline at end[i]."""
 
