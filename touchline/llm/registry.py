@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines_rules, near_dups
+from . import lines_rules, near_dups, suffix_dedup
 from .store import table
 
 
@@ -15,13 +15,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100).drop("kept")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dups.near_duplicates(docs, shingle=3, percent=85).drop("first_row")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op5_quality_rules, op6_suffix_array_dedup, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
