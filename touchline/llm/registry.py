@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines_rules, near_dups, suffix_dedup
+from . import lines_rules, near_dups, quality_model, suffix_dedup
 from .store import table
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    return quality_model.score(docs, model).select("doc_id", quality_model.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
@@ -25,7 +31,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op6_suffix_array_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op4_quality_classifier, op5_quality_rules, op6_suffix_array_dedup, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
