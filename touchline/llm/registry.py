@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines_rules, near_dups, quality_model, suffix_dedup
+from . import lines_rules, near_dups, packing, quality_model, suffix_dedup
 from .store import table
 
 
@@ -25,13 +25,17 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100).drop("kept")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dups.near_duplicates(docs, shingle=3, percent=85).drop("first_row")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_classifier, op5_quality_rules, op6_suffix_array_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op4_quality_classifier, op5_quality_rules, op6_suffix_array_dedup, op7_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
