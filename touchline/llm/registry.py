@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines_rules, near_dups, packing, quality_model, suffix_dedup
+from . import embedding_dups, lines_rules, near_dups, packing, quality_model, suffix_dedup
 from .store import table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93).drop("first_row")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
@@ -35,7 +39,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_classifier, op5_quality_rules, op6_suffix_array_dedup, op7_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op4_quality_classifier, op5_quality_rules, op6_suffix_array_dedup, op7_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
