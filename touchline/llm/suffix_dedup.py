@@ -25,18 +25,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .store import settle
 
 GRAM = 32
 #: Starts of strings that one finer piece serves.
 STEP = 12
-LONG_GROUP = 20_000
+LONG_GROUP = 10_000
 #: Bytes that one suffix array is built for, unless a single anchor's surroundings are more.
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -112,11 +112,12 @@ def adjacent_prefixes(order: np.ndarray, word: np.ndarray, depth: int) -> np.nda
     live = np.arange(1, len(order))
     for k in range(0, depth, 8):
         differ = word[order[live] + k] ^ word[order[live - 1] + k]
-        same = np.zeros(len(live), np.int64)
-        for b in range(8):
-            same += (differ >> np.uint64(56 - 8 * b)) == 0
-        out[live] += same
-        live = live[differ == 0]
+        ends = differ != 0
+        stop, differ = live[ends], differ[ends]
+        for b in range(7):
+            out[stop] += (differ >> np.uint64(56 - 8 * b)) == 0
+        live = live[~ends]
+        out[live] += 8
     return np.minimum(out, depth)
 
 
@@ -136,39 +137,39 @@ def later_strings(text: np.ndarray, valid: np.ndarray, rank: np.ndarray, length:
 # ---- step 1: anchors --------------------------------------------------------------------------
 
 
-def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
-    """pick over each window of ``width`` values."""
+def _nearest_least(h: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` values the place of its least value, the first of equals."""
+    place = np.arange(len(h))
     done = 1
-    while done * 2 <= width:
-        x = pick(x[:-done], x[done:])
-        done *= 2
-    return pick(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
+    while done < width:
+        step = min(done, width - done)
+        right = h[step:] < h[: len(h) - step]
+        h = np.where(right, h[step:], h[: len(h) - step])
+        place = np.where(right, place[step:], place[: len(place) - step])
+        done += step
+    return place
 
 
 def anchors(s: tb.Slice, length: int) -> tuple[np.ndarray, ...]:
-    """Row, hash, hash of the surroundings and offset of each anchor of a slice."""
+    """For each anchor of a slice: row, hash, hash of its surroundings, and offsets in its document of
+    the first and the last string that it is the anchor of and of itself."""
     prefix = tb.prefix_hash(tb.BYTE_VALUE[s.buf])
-    at = np.arange(max(0, len(s.buf) - GRAM + 1))
-    h = tb.span_hash(prefix, at, at + GRAM)
-    h[h == 0] = 1
-    reach = length - GRAM
-    long = s.end - s.start >= length
-    start = np.zeros(len(at) + 1, np.int64)
-    np.add.at(start, s.start[long], 1)
-    np.add.at(start, s.end[long] - length + 1, -1)
-    whole = np.cumsum(start)[: max(0, len(h) - reach)] > 0  # a string starts here and stays in its document
-    if not whole.any():
-        z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint64), z.astype(np.uint64), z
-    low = np.where(whole, _slide(h, reach + 1, np.minimum), np.uint64(0))
-    edge = np.zeros(reach, np.uint64)
-    # an anchor equals the minimum of one of the strings that hold it; minima of those never exceed it
-    is_anchor = _slide(np.concatenate([edge, low, edge]), reach + 1, np.maximum)[: len(h)] == h
-    a = np.flatnonzero(is_anchor)
-    row = s.row_of(a)
-    left, right = np.minimum(reach, a - s.start[row]), np.minimum(length, s.end[row] - a)
-    around = tb.mix(tb.span_hash(prefix, a - left, a + right) + left.astype(np.uint64))
-    return row, h[a], around, a - s.start[row]
+    size = s.end - s.start
+    many = np.maximum(size - length + 1, 0)  # strings of each document
+    if not many.any():
+        return tuple(np.zeros(0, np.uint64 if k in (1, 2) else np.int64) for k in range(6))
+    at = np.arange(len(s.buf) - GRAM + 1)
+    place = _nearest_least(tb.span_hash(prefix, at, at + GRAM), length - GRAM + 1)
+    row = np.repeat(np.arange(s.n), many)
+    start = s.start[row] + np.arange(many.sum()) - (np.cumsum(many) - many)[row]
+    a = place[start]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (row[1:] != row[:-1])])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(a)]]) - 1
+    row, a, first, last = row[first], a[first], start[first], start[last]
+    around = tb.mix(tb.span_hash(prefix, first, last + length) + (a - first).astype(np.uint64))
+    base = s.start[row]
+    return row, tb.span_hash(prefix, a, a + GRAM), around, first - base, last - base, a - base
 
 
 def _find_anchors(length: int) -> Callable:
@@ -180,34 +181,35 @@ def _find_anchors(length: int) -> Callable:
             ids = tb.column(batch, "row").to_numpy()
             docs = tb.column(batch, "doc").to_numpy()
             for s in tb.slices(tb.column(batch, "text")):
-                row, h, around, off = anchors(s, length)
-                order = np.lexsort((off, ids[s.first + row], docs[s.first + row], around, h))
-                row, h, around, off = row[order], h[order], around[order], off[order]
+                found = anchors(s, length)
+                order = np.lexsort((found[3], ids[s.first + found[0]], docs[s.first + found[0]], found[2], found[1]))
+                row, h, around, first, last, a = (x[order] for x in found)
                 again = np.zeros(len(h), bool)
                 again[1:] = (h[1:] == h[:-1]) & (around[1:] == around[:-1])
+                code = (first << 16) | ((last - first) << 8) | (a - first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.where(again, tb.mix(ids[s.first + row].astype(np.uint64) * np.uint64(tb.BASE) + off.astype(np.uint64)), h).view(np.int64)),
+                        pa.array(np.where(again, tb.mix(ids[s.first + row].astype(np.uint64) * np.uint64(tb.BASE) + code.astype(np.uint64)), h).view(np.int64)),
                         pa.array(around.view(np.int64)),
                         pa.array(docs[s.first + row]),
                         pa.array(ids[s.first + row]),
-                        pa.array(off.astype(np.int32)),
+                        pa.array(code),
                         pa.array(again),
                     ],
-                    names=["h", "around", "doc", "row", "off", "again"],
+                    names=["h", "around", "doc", "row", "code", "again"],
                 )
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by (h, around, doc, row, off) -> later anchors of equal surroundings (n = 0), and the
+    """Sorted by (h, around, doc, row, code) -> later anchors of equal surroundings (n = 0), and the
     first of each different surroundings where an anchor has several (n: how many)."""
 
     def groups(x: list[np.ndarray]) -> pa.RecordBatch:
-        h, around, row, off, again = x
-        known_row, known_off = row[again], off[again]
-        h, around, row, off = (v[~again] for v in (h, around, row, off))
+        h, around, row, code, again = x
+        known_row, known_code = row[again], code[again]
+        h, around, row, code = (v[~again] for v in (h, around, row, code))
         new_h = np.ones(len(h), bool)
         new_h[1:] = h[1:] != h[:-1]
         new = new_h.copy()
@@ -215,12 +217,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.cumsum(new_h) - 1
         n = np.where(new, np.bincount(of[new])[of] if len(of) else 0, 0)
         keep = n != 1
-        row, off, n = np.concatenate([row[keep], known_row]), np.concatenate([off[keep], known_off]), np.concatenate([n[keep], np.zeros(len(known_row), np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(off), pa.array(n.astype(np.int32))], names=["row", "off", "n"])
+        row, code, n = np.concatenate([row[keep], known_row]), np.concatenate([code[keep], known_code]), np.concatenate([n[keep], np.zeros(len(known_row), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(code), pa.array(n.astype(np.int32))], names=["row", "code", "n"])
 
     rest: list | None = None
     for batch in batches:
-        now = [tb.column(batch, c).to_numpy(zero_copy_only=False) for c in ("h", "around", "row", "off", "again")]
+        now = [tb.column(batch, c).to_numpy(zero_copy_only=False) for c in ("h", "around", "row", "code", "again")]
         now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
         whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
         if whole:
@@ -248,40 +250,63 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.drop_columns(["text"]).append_column("packed", pa.array(packed, pa.binary()))
 
 
+def _gather(data: np.ndarray, b: np.ndarray, e: np.ndarray) -> pa.Array:
+    """data[b:e] for each span, as a binary column."""
+    size = e - b
+    ends = np.cumsum(size)
+    of = np.repeat(np.arange(len(b)), size)
+    joined = data[b[of] + np.arange(len(of)) - (ends - size)[of]] if len(of) else data[:0]
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(joined.tobytes())])
+
+
 def _surroundings(length: int, long_group: int) -> Callable:
-    """A document and its anchors -> spans that go (b < e, no bytes) and surroundings to compare."""
-    reach = length - GRAM
+    """Documents and their anchors -> surroundings to compare, and spans already known to go (no piece)."""
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [unpack_text(x) for x in tb.column(batch, "packed").to_pylist()]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        base = np.cumsum([0, *map(len, texts)])
+        found = tb.column(batch, "found")
+        of = np.repeat(np.arange(len(batch)), pc.list_value_length(found).to_numpy())
+        code, n = (found.flatten().field(k).to_numpy() for k in (0, 1))
+        b = code >> 16
+        last, anchor = b + ((code >> 8) & 255), b + (code & 255)
+        ids, docs = tb.column(batch, "row").to_numpy(), tb.column(batch, "doc").to_numpy()
+        prefix = tb.prefix_hash(tb.BYTE_VALUE[data])
+
+        def out(key: np.ndarray, of: np.ndarray, b: np.ndarray, e: np.ndarray, anchor: np.ndarray, with_bytes: bool) -> pa.RecordBatch:
+            piece = _gather(data, base[of] + b, base[of] + e) if with_bytes else pa.nulls(len(of), pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(docs[of]), pa.array(ids[of]), *(pa.array(x.astype(np.int32)) for x in (b, e, anchor)), piece],
+                names=["key", "doc", "row", "b", "e", "anchor", "piece"],
+            )
+
+        k = np.flatnonzero(n == 0)
+        order = k[np.lexsort((b[k], of[k]))]
+        gone, to, whose = b[order], last[order] + length, of[order]
+        if len(order):
+            new = np.concatenate([[True], (whose[1:] != whose[:-1]) | (gone[1:] > to[:-1])])
+            ends = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(order) - 1]])
+            key = tb.mix(ids[whose[new]].astype(np.uint64) * np.uint64(tb.BASE) + gone[new].astype(np.uint64))
+            yield out(key, whose[new], gone[new], to[ends], gone[new], False)
+        k = np.flatnonzero((n > 0) & (n <= long_group))
+        if len(k):
+            at = base[of[k]] + anchor[k]
+            yield out(tb.span_hash(prefix, at, at + GRAM), of[k], b[k], last[k] + length, anchor[k], True)
+        k = np.flatnonzero(n > long_group)
+        for c in range(0, length - GRAM + 1, STEP):  # finer: strings that start c to c + STEP - 1 bytes before the anchor
+            lo, hi = np.maximum(b[k], anchor[k] - c - STEP + 1), np.minimum(last[k], anchor[k] - c)
+            has = lo <= hi
+            j, lo, hi = k[has], lo[has], hi[has]
+            if len(j):
+                core = base[of[j]] + anchor[j] - c
+                yield out(tb.span_hash(prefix, core, core - STEP + 1 + length), of[j], lo, hi + length, anchor[j], True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "doc", "row", "b", "e", "anchor", "piece")}
-
-            def put(*values, out=out) -> None:
-                for k, v in zip(out, values, strict=True):
-                    out[k].append(v)
-
-            for x in batch.to_pylist():
-                text = unpack_text(x["packed"])
-                off, n = np.array([a["off"] for a in x["found"]]), np.array([a["n"] for a in x["found"]])
-                gone = off[n == 0]
-                for b, e in zip(*merge(np.maximum(gone - reach, 0), np.minimum(gone + length, len(text))), strict=True):
-                    put(None, x["doc"], x["row"], int(b), int(e), 0, None)
-                for o, k in zip(off[n > 0].tolist(), n[n > 0].tolist(), strict=True):
-                    gram = int.from_bytes(hashlib.blake2b(text[o : o + GRAM], digest_size=8).digest(), "little", signed=True)
-                    if k <= long_group:
-                        b, e = max(o - reach, 0), min(o + length, len(text))
-                        put(gram, x["doc"], x["row"], b, e, o, text[b:e])
-                        continue
-                    for c in range(0, reach + 1, STEP):  # finer: strings that start c to c + STEP - 1 bytes before the anchor
-                        b, e = max(o - c - STEP + 1, 0), min(o - c + length, len(text))
-                        core = text[o - c : o - c - STEP + 1 + length]
-                        if o >= c and e - b >= length and len(core) == length - STEP + 1:
-                            key = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
-                            put(key, x["doc"], x["row"], b, e, o - c, text[b:e])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["key"], pa.int64()), *(pa.array(out[k], pa.int64()) for k in ("doc", "row")), *(pa.array(out[k], pa.int32()) for k in ("b", "e", "anchor")), pa.array(out["piece"], pa.binary())],
-                names=list(out),
-            )
+            for at in range(0, len(batch), 256):
+                yield from pieces(batch.slice(at, 256))
 
     return run
 
@@ -301,17 +326,25 @@ def _promising(text: np.ndarray, cut: np.ndarray, size: np.ndarray, anchor: np.n
     prefix = tb.prefix_hash(tb.BYTE_VALUE[text])
     keep = np.zeros(len(cut), bool)
     for c in range(0, length - GRAM + 1, STEP):
-        b, e = anchor - c, anchor - c - STEP + 1 + length
-        has = np.flatnonzero((b >= 0) & (e <= size))
-        h = tb.span_hash(prefix, cut[has] + b[has], cut[has] + e[has])
+        lo, hi = np.maximum(0, anchor - c - STEP + 1), np.minimum(size - length, anchor - c)
+        has = np.flatnonzero(lo <= hi)
+        core = cut[has] + anchor[has] - c
+        h = tb.span_hash(prefix, core, core - STEP + 1 + length)
         keep[has[tb.repeated(h ^ tb.mix(key[has].view(np.uint64)))]] = True
     return keep
 
 
 def _compare(length: int, array_bytes: int) -> Callable:
-    """Pieces sorted by key -> spans of strings that also start earlier."""
+    """Pieces sorted by key -> spans of strings that also start earlier; known spans pass."""
+
+    def spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        bare = pc.is_null(table.column("piece"))
+        yield from table.filter(bare).select(["row", "b", "e"]).to_batches()
+        table = table.filter(pc.invert(bare))
+        if len(table):
+            yield compare(parts(table))
 
-    def spans(x: list) -> pa.RecordBatch:
+    def compare(x: list) -> pa.RecordBatch:
         key, doc, row, b, anchor, piece = x
         data, off = tb.text_buffers(piece)
         cut, size = off[:-1], np.diff(off)
@@ -323,12 +356,11 @@ def _compare(length: int, array_bytes: int) -> Callable:
         inside = np.arange(len(data)) - cut[of]
         place = b[of] + inside
         valid = inside + length <= size[of]
+        # the same place can lie in the pieces of two anchors: it has one rank
+        v = np.flatnonzero(valid)
+        v = v[np.lexsort((place[v], row[of[v]], doc[of[v]]))]
         rank = np.zeros(len(data), np.int64)
-        rank[np.lexsort((place, row[of], doc[of]))] = np.arange(len(data))
-        # the same bytes can lie in the pieces of two anchors: one place then has one rank
-        order = np.argsort(rank)
-        same = np.concatenate([[False], (place[order][1:] == place[order][:-1]) & (row[of][order][1:] == row[of][order][:-1])]) if len(data) else np.zeros(0, bool)
-        rank[order] = np.cumsum(~same)
+        rank[v[1:]] = np.cumsum((place[v[1:]] != place[v[:-1]]) | (row[of[v[1:]]] != row[of[v[:-1]]]))
         gone = later_strings(data, valid, rank, length)
         gone = gone[np.lexsort((place[gone], row[of[gone]]))]
         r, p = row[of[gone]], place[gone]
@@ -347,13 +379,11 @@ def _compare(length: int, array_bytes: int) -> Callable:
                 key = table.column("key").to_numpy()
                 whole = int(np.searchsorted(key, key[-1]))
                 if whole:
-                    yield spans(parts(table.slice(0, whole)))
+                    yield from spans(table.slice(0, whole))
                 held = table.slice(whole).combine_chunks().to_batches()
                 size = sum(x.nbytes for x in held) if whole else 0
         if held:
-            table = pa.Table.from_batches(held)
-            if len(table):
-                yield spans(parts(table))
+            yield from spans(pa.Table.from_batches(held))
 
     def parts(table: pa.Table) -> list:
         piece = table.column("piece").combine_chunks()
@@ -397,16 +427,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100, long_group: int = LONG_GROUP, array_bytes: int = ARRAY_BYTES) -> tuple[DataFrame, DataFrame]:
     """(row, doc, text) of ``docs`` and the spans (row, b, e) of bytes to remove; spans may overlap."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("doc"), F.col(f"`{text}`").alias("text"))
-    found = rows.mapInArrow(_find_anchors(length), "h long, around long, doc long, row long, off int, again boolean")
-    met = found.repartition("h").sortWithinPartitions("h", "around", "doc", "row", "off").mapInArrow(_meet, "row long, off int, n int")
-    by_row = met.groupBy("row").agg(F.collect_list(F.struct("off", "n")).alias("found"))
+    found = rows.mapInArrow(_find_anchors(length), "h long, around long, doc long, row long, code long, again boolean")
+    met = found.repartition("h").sortWithinPartitions("h", "around", "doc", "row", "code").mapInArrow(_meet, "row long, code long, n int")
+    by_row = met.groupBy("row").agg(F.collect_list(F.struct("code", "n")).alias("found"))
     packed = rows.mapInArrow(_pack, "row long, doc long, packed binary")
-    pieces = settle(packed.join(by_row, "row").mapInArrow(_surroundings(length, long_group), "key long, doc long, row long, b int, e int, anchor int, piece binary"), "pieces")
-    spans = (
-        pieces.filter("key is not null").repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_compare(length, array_bytes), "row long, b int, e int")
-        .unionByName(pieces.filter("key is null").select("row", "b", "e"))
-    )
+    pieces = packed.join(by_row, "row").mapInArrow(_surroundings(length, long_group), "key long, doc long, row long, b int, e int, anchor int, piece binary")
+    spans = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(length, array_bytes), "row long, b int, e int")
     return packed, spans
 
 
