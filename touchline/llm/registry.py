@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dups, lines_rules, mixing, near_dups, packing, quality_model, suffix_dedup
+from . import embedding_dups, line_dedup, lines_rules, mixing, near_dups, packing, quality_model, suffix_dedup
 from .store import table
 
 
@@ -15,6 +15,11 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93).drop("first_row")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 #: The mix that the query asks for: domains 4:3:2:1, twice as much English as of any other language.
 MIX = mixing.Weights(domain={"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, lang={"en": 2})
 
@@ -47,7 +52,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_mixing_sources, op4_quality_classifier, op5_quality_rules, op6_suffix_array_dedup, op7_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_mixing_sources, op4_quality_classifier, op5_quality_rules, op6_suffix_array_dedup, op7_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
