@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dups, line_dedup, lines_rules, mixing, near_dups, packing, quality_model, secret_scan, suffix_dedup
+from . import embedding_dups, line_dedup, lines_rules, mixing, near_dups, packing, pii_scan, quality_model, secret_scan, suffix_dedup
 from .store import table
 
 
@@ -50,13 +50,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan.digest(pii_scan.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dups.near_duplicates(docs, shingle=3, percent=85).drop("first_row")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_mixing_sources, op4_quality_classifier, op5_quality_rules, op6_suffix_array_dedup, op7_packing, op8_secret_scan, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_mixing_sources, op4_quality_classifier, op5_quality_rules, op6_suffix_array_dedup, op7_packing, op8_secret_scan, op9_pii_scan, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
