@@ -233,10 +233,11 @@ def near_duplicates(
 
     ``percent`` is the similarity in hundredths, ``matches`` the coordinates of a signature that a
     pair must share to be looked at.  kept is true where the id is its component's smallest; first_row is true for one row of each
-    component, also where ids are null or repeat.
+    component, also where ids are null or repeat; row is the row's number in the order of ``docs``, which
+    must be the same whenever it is read (a table of files does that).
     """
     matches = matches or match_threshold(percent)
-    added = {"n_shingles", "component_id", "kept", "first_row"}
+    added = {"n_shingles", "component_id", "kept", "first_row", "row"}
     carried = [c for c in docs.columns if c != text and c not in added]
     numbered = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -273,16 +274,24 @@ def near_duplicates(
     by_set = signed.filter("n_shingles > 0").select("row", "set_a", "set_b").join(own, ["set_a", "set_b"]).select("row", "node")
     labelled = with_component(by_set.withColumnRenamed("row", "member").withColumnRenamed("node", "row"), components(links)).select(F.col("member").alias("row"), F.col("component").alias("group"))
     placed = signed.select("row", "id", "n_shingles", "side").join(labelled, "row", "left").withColumn("group", F.coalesce("group", "row"))
-    least = placed.groupBy("group").agg(F.min("id").alias("component_id"))
+    # ids in order, nulls last
+    least = placed.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     return placed.join(least, "group").select(
         *(F.col(f"side.c{i}").alias(c) for i, c in enumerate(carried)),
         "n_shingles",
-        "component_id",
-        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
-        (F.col("row") == F.col("group")).alias("first_row"),
+        F.col("first.id").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("first.id"), F.lit(True)).alias("kept"),
+        (F.col("row") == F.col("first.row")).alias("first_row"),
+        "row",
     )
 
 
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, the one with the smallest id."""
+    found = near_duplicates(docs, **options).filter("first_row").select(F.col("row").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(found, "_row", "left_semi").drop("_row")
+
+
 def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
 

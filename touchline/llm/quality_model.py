@@ -173,12 +173,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return fit(positive, unlabelled)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the text, with score and predicted."""
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
+    """``docs`` with score and predicted, without the text unless it is to be kept."""
 
     def measure(s: tb.Slice) -> dict[str, pa.Array]:
         y = model.score(features(s))
         return {"score": pa.array(y), "predicted": pa.array((y >= threshold).astype(np.int32))}
 
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    return tb.scan_texts(docs.select(*(F.col(f"`{c}`") for c in kept)), text, measure, "score double, predicted int")
+    return tb.scan_texts(docs.select(*(F.col(f"`{c}`") for c in kept)), text, measure, "score double, predicted int", keep_text)

@@ -56,7 +56,7 @@ def op9_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_dups.near_duplicates(docs, shingle=3, percent=85).drop("first_row")
+    return near_dups.near_duplicates(docs, shingle=3, percent=85).drop("first_row", "row")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

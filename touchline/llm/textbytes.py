@@ -145,13 +145,13 @@ def slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[Slice]:
         at = to
 
 
-def scan_texts(df: DataFrame, text: str, measure: Callable[[Slice], dict[str, pa.Array]], schema: str) -> DataFrame:
-    """``df`` with its column ``text`` replaced by what ``measure`` finds for each row of a slice.
+def scan_texts(df: DataFrame, text: str, measure: Callable[[Slice], dict[str, pa.Array]], schema: str, keep: bool = False) -> DataFrame:
+    """``df`` with what ``measure`` finds for each row of a slice, and without the column ``text`` unless it is to be kept.
 
     ``schema`` lists the new columns; ``measure`` gives one Arrow array for each, a value for each row.
     """
     added = T._parse_datatype_string(schema)
-    carried = [f for f in df.schema.fields if f.name != text]
+    carried = [f for f in df.schema.fields if keep or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
