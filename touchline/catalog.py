@@ -2,12 +2,160 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracles
+from .functions import names
+from .operators import calibration, features, forecast, merge, models, odds, reports, resolve
+from .plans.backtest import backtest
+from .sources.relations import relation, table
+
 FLAGSHIP = "backtest"
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    return backtest(relation(spark, sf, "matches"))
+
+
+def _on_results(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: f(_results(spark, sf))
+
+
+def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: f(relation(spark, sf, name))
+
+
+def _featured(spark: SparkSession, sf: str, name: str = "matches") -> DataFrame:
+    return features.with_features(relation(spark, sf, name))
+
+
+def _model(name: str, registry: dict[str, models.Model] = models.SERVER) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        m = models.evaluate(_featured(spark, sf), {name: registry[name]}).select("match_id", f"m_{name}.*")
+        return m.select("match_id", "winner", "score", "confidence", *(F.round(c, 6).alias(c) for c in ("prob_home", "prob_draw", "prob_away")))
+
+    return run
+
+
+def _backtest(spark: SparkSession, sf: str) -> DataFrame:
+    kept = ["match_id", "model_key", "brier_score_1x2", "log_loss_1x2", "predicted_score", "predicted_winner", "confidence_score", "points", "outcome_label", "predicted_1x2", "actual_1x2", "is_exact_hit", "is_tendency_hit", "score_error_abs", "goal_diff_error"]
+    return _results(spark, sf).select(*kept)
+
+
+def _probabilities(results: DataFrame) -> DataFrame:
+    """Dixon-Coles rows with probabilities of four digits."""
+    return results.filter("model_key = 'dc'").withColumns({c: F.round(c, 4) for c in ("prob_home", "prob_draw", "prob_away")})
+
+
+def _consensus(spark: SparkSession, sf: str) -> DataFrame:
+    c = odds.consensus(relation(spark, sf, "odds_snapshots"))
+    return c.select("match_id", *(F.round(f"median_{s}_odds", 6).alias(f"median_{s}_odds") for s in ("home", "draw", "away")), "bookmaker_count")
+
+
+def _changed(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    old = o.select(F.col("o_orderkey").alias("match_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("code"))
+    new = old.filter("match_id % 2 = 0").withColumns({"status": F.expr("CASE WHEN match_id % 10 = 0 THEN 'X' ELSE status END"), "code": F.expr("CASE WHEN match_id % 15 = 0 THEN NULL ELSE code END")})
+    return merge.changed(old, new, ["match_id"], ["status", "code"])
+
+
+def _upsert(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    return merge.upsert(o.filter("k % 3 <> 0"), o.filter("k % 2 = 0").select("k", F.lit("N").alias("status"), (F.col("price") + 1).alias("price")), ["k"], preserve=["price"])
+
+
+def _absent(spark: SparkSession, sf: str) -> DataFrame:
+    old = table(spark, sf, "orders").filter("o_custkey % 4 <> 0").select(F.col("o_custkey").alias("k"))
+    return merge.insert_absent(old, table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), ["k"])
+
+
+def _semi(spark: SparkSession, sf: str) -> DataFrame:
+    dirty = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(dirty, "o_orderkey", "left_semi")
+
+
+def _anti(spark: SparkSession, sf: str) -> DataFrame:
+    known = table(spark, sf, "nation").filter("n_regionkey <> 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    return table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(known, "c_nationkey", "left_anti").select("c_custkey", "c_nationkey")
+
+
+def _event_match(spark: SparkSession, sf: str) -> DataFrame:
+    m = relation(spark, sf, "matches").withColumn("kickoff_at", F.col("kickoff_at").cast("timestamp"))
+    sides = {f"{s}_names": F.array(F.col(f"{s}_team_id").cast("string")) for s in ("home", "away")}
+    m = m.withColumns(sides | {"league": F.col("competition_code")})
+    at = F.expr("CASE WHEN match_id % 13 = 0 THEN NULL ELSE kickoff_at + make_interval(0, 0, 0, 0, 0, int(match_id % 300), 0) END")
+    e = m.filter("match_id % 3 <> 0").select((F.col("match_id") + 1000000).alias("event_id"), "league", at.alias("kickoff_at"), "home_names", "away_names")
+    return odds.match_events(m.select("match_id", "league", "kickoff_at", "home_names", "away_names"), e)
+
+
+def _forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return forecast.forecast(_featured(spark, sf)).withColumn("risk_tags", F.array_join("risk_tags", ","))
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.candidates(relation(spark, sf, "raw_names"), relation(spark, sf, "teams"))
+
+
+def _aliases(spark: SparkSession, sf: str) -> DataFrame:
+    return relation(spark, sf, "teams").select("team_id", F.explode(names.aliases(F.col("canonical_name"))).alias("alias"))
+
+
+def _decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.decide(_candidates(spark, sf))
+
+
+def _effects(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.effects(_decisions(spark, sf), relation(spark, sf, "raw_names"))
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {
+        "backtest": _backtest,
+        "model_rankings": _on_results(reports.model_rankings),
+        "model_rankings_merged": _on_results(lambda r: reports.model_rankings(r, by_version=False)),
+        "eval_summary": _on_results(reports.eval_summary),
+        "history": _on_results(reports.history),
+        "history_days": _on_results(reports.history_days),
+        "kpi_strip": _on_results(lambda r: reports.kpis(r.filter("model_key = 'ensemble'"))),
+        "weighted_consensus": _on_results(lambda r: reports.weighted_consensus(r, models.VOTES)),
+        "majority_vote": _on_results(reports.majority_vote),
+        "team_strength": lambda s, d: _featured(s, d).select("match_id", "home_strength", "away_strength", "home_venue", "away_venue", F.col("home_n_prior").cast("long").alias("home_n_prior"), F.col("away_n_prior").cast("long").alias("away_n_prior")),
+        "team_form_last5": lambda s, d: _featured(s, d).select("match_id", "home_form", "away_form"),
+        "cross_season_flag": lambda s, d: _featured(s, d, "matches_multi").select("match_id", "home_crosses_year", "away_crosses_year"),
+        "feature_coverage": lambda s, d: features.coverage(_featured(s, d)),
+        **{f"model_{m}": _model(m) for m in models.SERVER},
+        **{f"client_{m}": _model(m, models.CLIENT) for m in models.CLIENT},
+        "reliability_curve": _on_results(lambda r: calibration.reliability(_probabilities(r))),
+        "temperature_fit": _on_results(lambda r: calibration.fit_temperatures(_probabilities(r))),
+        "forecast": _forecast,
+        "forecast_kpis": lambda s, d: reports.forecast_kpis(forecast.forecast(_featured(s, d))),
+        "devig_market": _on("matches", odds.devig),
+        "odds_consensus": _consensus,
+        "refresh_changed_only": _changed,
+        "upsert_merge": _upsert,
+        "insert_if_absent": _absent,
+        "dirty_semi_join": _semi,
+        "unresolved_anti_join": _anti,
+        "event_time_match": _event_match,
+        "standings_strength": _on("standings", resolve.standings_strength),
+        "name_normalise": lambda s, d: table(s, d, "part").select("p_partkey", names.normal(F.col("p_name")).alias("normal")),
+        "name_candidates": _candidates,
+        "alias_generate": _aliases,
+        "resolver_decisions": _decisions,
+        "resolver_effects": _effects,
+        "league_chips": _on("matches", reports.league_chips),
+        "matches_by_day": _on("matches", reports.by_day),
+        "search_filter": lambda s, d: reports.search(table(s, d, "part"), "AN", ["p_name", "p_type"]).select("p_partkey", "p_name"),
+        "season_mode": _on("matches_multi", reports.season),
+        "last_wins": lambda s, d: merge.last_wins(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey"),
+        "day_navigation": lambda s, d: reports.day_navigation(table(s, d, "events").select(F.to_date("ts").alias("match_date")).distinct()),
+        "json_flatten": lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
