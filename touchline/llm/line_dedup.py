@@ -29,6 +29,8 @@ from .store import forget, settle
 
 EDITS = 2
 MIN_CHARS = 24
+#: Kinds of characters that are counted, modulo 8, to rule out pairs before they are compared.
+BAG = 9
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
 
@@ -165,9 +167,10 @@ def _post(min_chars: int, edits: int) -> Callable:
                 first = np.flatnonzero(~tb.later(x.hash))
                 x.start, x.end, x.size, x.hash = x.start[first], x.end[first], x.size[first], x.hash[first]
                 bag = np.zeros(len(first), np.int64)
-                for c in range(4):
-                    count = np.concatenate([[0], np.cumsum((x.points & 3) == c)])
-                    bag |= ((count[x.end] - count[x.start]) & 15) << (4 * c)
+                kind = x.points % BAG
+                for c in range(BAG):
+                    count = np.concatenate([[0], np.cumsum(kind == c)])
+                    bag |= ((count[x.end] - count[x.start]) & 7) << (3 * c)
                 k, key, role = posts(x, edits)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.hash[k].view(np.int64)), pa.array((bag[k] << 2 | role).astype(np.int32))], names=["key", "line", "note"])
 
@@ -180,9 +183,9 @@ def _meet(edits: int) -> Callable:
     def allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         ok = ((x & 1) & (y >> 1 & 1)) | ((y & 1) & (x >> 1 & 1))
         apart = np.zeros(np.broadcast(x, y).shape, np.int64)
-        for c in range(4):
-            d = ((x >> (2 + 4 * c)) - (y >> (2 + 4 * c))) & 15
-            apart += np.minimum(d, 16 - d)
+        for c in range(BAG):
+            d = ((x >> (2 + 3 * c)) - (y >> (2 + 3 * c))) & 7
+            apart += np.minimum(d, 8 - d)
         return (ok == 1) & (apart <= 2 * edits)
 
     def pairs(key: np.ndarray, line: np.ndarray, note: np.ndarray) -> pa.RecordBatch:
@@ -273,7 +276,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edi
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
     places = occurrences.join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("row", "number")).alias("p")).select("line", "p.row", "p.number")
     by_row = places.groupBy("row").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
-    texts = settle(rows.select("row", "text").join(by_row, "row").mapInArrow(_lines_of, "line long, text string"), "line-texts")
+    # texts are always shuffled, so that the plan and its disk don't change with the number of lines
+    texts = settle(rows.select("row", "text").join(by_row.hint("merge"), "row").mapInArrow(_lines_of, "line long, text string"), "line-texts")
     side = lambda c, name: texts.select(F.col("line").alias(c), F.col("text").alias(name))
     links = settle(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_verify(edits), "a long, b long"), "line-links")
     for done in (pairs, texts):
@@ -290,7 +294,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edi
     named = docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)), F.col(f"`{text}`").alias("text"))
     columns = [f"c{i}" for i in range(len(carried))]
     shape = T.StructType([*(T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carried)), T.StructField("text", T.StringType()), T.StructField("n_removed_lines", T.LongType())])
-    out = named.join(gone, "row", "left").mapInArrow(_without(columns), shape)
+    out = named.join(gone.hint("merge"), "row", "left").mapInArrow(_without(columns), shape)
     if drop_empty:
         out = out.filter("n_removed_lines = 0 OR text != ''")
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carried)}).withColumnRenamed("text", text)
