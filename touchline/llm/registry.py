@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dups, line_dedup, lines_rules, mixing, near_dups, packing, pii_scan, quality_model, secret_scan, suffix_dedup
+from . import embedding_dups, line_dedup, lines_rules, mixing, near_dups, oracles, packing, pii_scan, quality_model, secret_scan, suffix_dedup
 from .store import table
 
 
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_near_dedup": oracles.OP1, "op5_quality_rules": oracles.OP5, "op10_minhash_near_dedup": oracles.OP10}
