@@ -9,7 +9,8 @@ Triple = tuple[Column, Column, Column]
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within its bounds; null stays null (greatest and least alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def normalise(p: Triple) -> Triple:
