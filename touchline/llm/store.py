@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+#: Rows of whole texts that a Python worker holds at once, at most; a larger session setting is lowered to it.
+BATCH_ROWS = 4096
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once for each application."""
+    """Give this package to the executors' Python workers, once for each application, and bound their batches."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         base = Path(tempfile.mkdtemp()) / _PACKAGE.name

@@ -133,7 +133,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[Slice]:
+def slices(texts: pa.Array, most_bytes: int = 1 << 19) -> Iterator[Slice]:
     """Cut a column into runs of rows of about ``most_bytes``; a longer text stands alone."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(size)
