@@ -29,8 +29,9 @@ def low_score_shift(grid: Column, home: Column, away: Column, rho: float = 0.13)
         F.when(i == 0, 1 - home * away * rho).when(i == GOALS, 1 + away * rho).when(i == 1, 1 + home * rho).when(i == GOALS + 1, F.lit(1 - rho)).otherwise(1.0)
     )
     moved = F.transform(grid, lambda p, i: F.greatest(p * factor(i), F.lit(0.0)))
-    total = F.aggregate(moved, F.lit(0.0), lambda s, p: s + p)
-    return F.transform(moved, lambda p: p / total)
+    # bound in a struct, as a lambda would sum anew for each cell
+    summed = F.struct(moved.alias("cells"), F.aggregate(moved, F.lit(0.0), lambda s, p: s + p).alias("total"))
+    return F.transform(F.array(summed), lambda s: F.transform(s["cells"], lambda p: p / s["total"]))[0]
 
 
 def outcomes(grid: Column) -> Triple:

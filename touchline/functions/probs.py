@@ -19,11 +19,19 @@ def normalise(p: Triple) -> Triple:
     return tuple(F.when(total > 0, x / total).otherwise(F.lit(1.0) / 3) for x in p)  # type: ignore[return-value]
 
 
-def capped(p: Triple, low: float = 0.08, high: float = 0.70) -> Triple:
-    """Normalised, clamped, normalised, clamped and normalised: the result may pass the cap again."""
-    for _ in range(2):
-        p = tuple(clamp(x, low, high) for x in normalise(p))  # type: ignore[assignment]
-    return normalise(p)
+def _held(p: Triple, low: float = 0.08, high: float = 0.70) -> Triple:
+    return tuple(clamp(x, low, high) for x in p)  # type: ignore[return-value]
+
+
+#: The steps of capping, one after the other; the result may pass the cap again.
+CAPPING = (normalise, _held, normalise, _held, normalise)
+
+
+def capped(p: Triple) -> Triple:
+    """All steps of capping in one expression; for a few rows or constants."""
+    for step in CAPPING:
+        p = step(p)
+    return p
 
 
 def split_home(p: Column) -> Triple:
