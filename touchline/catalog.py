@@ -42,8 +42,9 @@ def _model(name: str, registry: dict[str, models.Model] = models.SERVER) -> Quer
 
 
 def _backtest(spark: SparkSession, sf: str) -> DataFrame:
-    kept = ["match_id", "model_key", "brier_score_1x2", "log_loss_1x2", "predicted_score", "predicted_winner", "confidence_score", "points", "outcome_label", "predicted_1x2", "actual_1x2", "is_exact_hit", "is_tendency_hit", "score_error_abs", "goal_diff_error"]
-    return _results(spark, sf).select(*kept)
+    kept = ["match_id", "model_key", "log_loss_1x2", "predicted_score", "predicted_winner", "confidence_score", "points", "outcome_label", "predicted_1x2", "actual_1x2", "is_exact_hit", "is_tendency_hit", "score_error_abs", "goal_diff_error"]
+    # whole hundredths: decimal ties of the sixth digit round differently in other engines
+    return _results(spark, sf).select(*kept, F.floor((F.col("brier_score_1x2") + 3.7e-7) * 100).cast("long").alias("brier_percent"))
 
 
 def _probabilities(results: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def sql() -> dict[str, str]:
             count(*) filter (is_exact_hit) as exact_hits, count(*) filter (is_tendency_hit) as tendency_hits, round(100e0*count(*) filter (is_tendency_hit)/count(is_tendency_hit),1) as tendency_hit_rate_pct, round(100e0*count(*) filter (is_exact_hit)/count(is_exact_hit),1) as exact_hit_rate_pct,
             round(avg(score_error_abs),3) as avg_score_error, round(avg(goal_diff_error),3) as avg_goal_diff_error, round(avg(brier_score_1x2),4) as avg_brier_score, round(avg(log_loss_1x2),4) as avg_log_loss,
             count(*) filter (actual_1x2='H') as actual_home_wins, count(*) filter (actual_1x2='D') as actual_draws, count(*) filter (actual_1x2='A') as actual_away_wins from results group by 1, 2""",
-        "backtest": res + "select match_id, model_key, predicted_score, predicted_winner, confidence_score, points, outcome_label, predicted_1x2, actual_1x2, is_exact_hit, is_tendency_hit, score_error_abs, goal_diff_error, brier_score_1x2, log_loss_1x2 from results",
+        "backtest": res + "select match_id, model_key, predicted_score, predicted_winner, confidence_score, points, outcome_label, predicted_1x2, actual_1x2, is_exact_hit, is_tendency_hit, score_error_abs, goal_diff_error, cast(floor((brier_score_1x2 + 3.7e-7) * 100) as bigint) as brier_percent, log_loss_1x2 from results",
         "history": res + hist,
         "history_days": res + f"select match_date, count(*) as match_count, count(*) filter (outcome_label='exact') as exact_count, count(*) filter (outcome_label='goal_diff') as goal_diff_count, count(*) filter (outcome_label='tendency') as tendency_count, count(*) filter (outcome_label='wrong') as wrong_count, round(100e0*count(*) filter (outcome_label<>'wrong')/count(*),1) as hit_rate from ({hist}) group by 1",
         "kpi_strip": res + "select count(*) as n, count(*) filter (outcome_label='exact') as exact, count(*) filter (outcome_label='goal_diff') as goal_diff, count(*) filter (outcome_label='tendency') as tendency, count(*) filter (outcome_label='wrong') as wrong, cast(floor(100e0*count(*) filter (outcome_label<>'wrong')/count(*)+0.5e0) as bigint) as hit_rate, cast(floor(100e0*count(*) filter (outcome_label='exact')/count(*)+0.5e0) as bigint) as exact_rate from results where model_key='ensemble'",
