@@ -274,7 +274,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edi
     pairs = settle(posted.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_meet(edits), "a long, b long").distinct(), "line-pairs")
 
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-    places = occurrences.join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("row", "number")).alias("p")).select("line", "p.row", "p.number")
+    # a line of very many documents is reduced to one place before it is dealt out
+    places = occurrences.groupBy("line").agg(F.min(F.struct("row", "number")).alias("p")).join(wanted, "line", "left_semi").select("line", "p.row", "p.number")
     by_row = places.groupBy("row").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
     # texts are always shuffled, so that the plan and its disk don't change with the number of lines
     texts = settle(rows.select("row", "text").join(by_row.hint("merge"), "row").mapInArrow(_lines_of, "line long, text string"), "line-texts")
@@ -285,8 +286,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edi
 
     classes = components(links).withColumnsRenamed({"node": "line", "component": "class"})
     placed = occurrences.join(classes, "line", "left").withColumn("class", F.coalesce("class", "line"))
-    # the first line of each class that stands in several places
-    first = placed.groupBy("class").agg(F.min(F.struct("doc", "row", "number")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # the first line of each class that stands in several places; a table, so that Spark can split a large class in the join
+    first = settle(placed.groupBy("class").agg(F.min(F.struct("doc", "row", "number")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first-lines")
     gone = placed.join(first, "class").filter("NOT (row = first.row AND number = first.number)").groupBy("row").agg(F.collect_list("number").alias("gone"))
     gone = settle(gone, "gone-lines")
 
