@@ -1,20 +1,22 @@
 """Embedding near-duplicates with an inverted multi-index (operator 1).
 
 Two codebooks, one for each half of the vectors, form a grid of cells; every vector is posted to its
-own cell.  A vector visits cells in the order of a bound on how near their vectors can be, summed over
-the halves (the multi-sequence order), and stops where pairs just at the threshold have been met with
-the target recall.  That stop is measured once, on sample vectors turned by the threshold's angle in
-random directions; nearer pairs are met more surely.  Of two cells only the lower one's vectors visit
-the higher one, so that each pair of vectors meets once.  All pairs that meet are verified in double
-precision, block against block; a task gives each vector's number of links and a star for each group
-of linked vectors, never the pairs.
+own cell.  A vector visits the cells whose vectors can be near enough: a cell lies, against each other
+code, on one side of a plane, and the farthest of these planes, summed over the halves, bounds the
+distance from below.  No pair at the threshold is farther apart than ``2 - 2 * threshold``, so every link
+is met, whatever the data.  Of two cells only the lower one's vectors visit the higher one, so that
+each pair of vectors meets once.  All pairs that meet are verified in double precision, block against
+block; a task gives each vector's number of links and a star for each group of linked vectors, never
+the pairs.
 
 Identical vectors of a label enter once, with their number.  A cell of more than ``BLOCK`` vectors is
 cut into blocks that meet one another.
 
-Nulls: a vector that is null, zero, or holds a null or non-finite component, one without a label, and
-one whose length isn't the table's most common one, links with nothing.  Rows are told apart by
-position, so null and repeated ids are rows of their own; a component takes its smallest id.
+Vectors link only with those of their own length; each length has its own index.
+
+Nulls: a vector that is null, zero, or holds a null or non-finite component, and one without a label,
+links with nothing.  Rows are told apart by position, so null and repeated ids are rows of their own; a
+component takes its smallest id.
 """
 
 from __future__ import annotations
@@ -31,11 +33,15 @@ from . import textbytes as tb
 from .components import components
 from .store import settle
 
-#: Vectors, at most about, that codebooks and stop are fitted on; all vectors are indexed.
+#: Vectors, at most about, that codebooks are fitted on; all vectors are indexed.
 SAMPLE_ROWS = 8192
-TARGET_RECALL = 0.995
+#: Vectors of a label in a cell, on average, where the label is the largest.
 VECTORS_PER_CELL = 512
 BLOCK = 1024
+#: Lengths of vectors, the commonest, that get codebooks; the vectors of any other length share one cell.
+MOST_LENGTHS = 64
+#: Rows that a scan gives at once, and sums of two bounds that it holds.
+POST_ROWS, POST_SUMS = 8192, 1 << 22
 
 
 @dataclass
@@ -50,14 +56,15 @@ class Index:
         return len(self.books[0])
 
     def bounds(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each half, squared distance of each vector to each code's region."""
+        """For each half, a lower bound of each vector's squared distance to each code's region."""
         out, half = [], x.shape[1] // 2
         for part, book in zip((x[:, :half], x[:, half:]), self.books, strict=True):
             d = (part * part).sum(1)[:, None] - 2 * part @ book.T + (book * book).sum(1)[None]
-            own = d.argmin(1)
-            apart = np.sqrt(np.maximum(((book[own][:, None] - book[None]) ** 2).sum(2), 1e-300))
-            far = (d - d[np.arange(len(d)), own][:, None]) / (2 * apart)
-            far[np.arange(len(d)), own] = 0
+            apart = np.sqrt(((book[:, None] - book[None]) ** 2).sum(2))
+            np.fill_diagonal(apart, np.inf)
+            far = np.zeros_like(d)
+            for k in range(len(book)):
+                np.maximum(far, (d - d[:, k : k + 1]) / (2 * apart[k]), out=far)
             out.append(far * far)
         return out
 
@@ -87,22 +94,23 @@ def _codebook(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.unique(book, axis=0)
 
 
-def fit(sample: np.ndarray, codes: int, threshold: float, recall: float = TARGET_RECALL) -> Index:
-    """Codebooks by k-means and the stop, from unit vectors."""
+def fit(sample: np.ndarray, codes: int, threshold: float) -> Index:
+    """Codebooks by k-means, from unit vectors, and the stop that no pair at the threshold exceeds."""
     rng = np.random.default_rng(11)
     half = sample.shape[1] // 2
     books = [_codebook(sample[:, :half], codes, rng), _codebook(sample[:, half:], codes, rng)]
     n = min(map(len, books))
-    index = Index((books[0][:n], books[1][:n]), 0.0)
-    noise = rng.normal(size=sample.shape)
-    noise -= (noise * sample).sum(1)[:, None] * sample
-    norm = np.linalg.norm(noise, axis=1)[:, None]
-    turned = threshold * sample + np.sqrt(1 - threshold**2) * noise / np.maximum(norm, 1e-12)
-    a, b = index.bounds(sample)
-    cell = index.cells(turned)
-    met = a[np.arange(len(a)), cell // n] + b[np.arange(len(b)), cell % n]
-    index.stop = float(np.quantile(met, recall)) + 1e-9
-    return index
+    return Index((books[0][:n], books[1][:n]), farthest(threshold))
+
+
+def one_cell(dim: int, threshold: float) -> Index:
+    half = dim // 2
+    return Index((np.zeros((1, half)), np.zeros((1, dim - half))), farthest(threshold))
+
+
+def farthest(threshold: float) -> float:
+    """Squared distance of unit vectors at the threshold, with room for rounding."""
+    return 2 - 2 * threshold + 1e-6
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -110,20 +118,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _post(index: Index):
-    """(node, label, vector) -> (label, cell, role 0) for the own cell and (label, cell, role 1) for higher ones visited."""
+def _post(indexes: dict[int, Index], threshold: float):
+    """(label, vector, node, many) -> the row with (own, cell, role 0) for its own cell and role 1 for each higher one visited."""
+
+    def of_length(batch: pa.RecordBatch, index: Index) -> Iterator[pa.RecordBatch]:
+        x = unit(_matrix(tb.column(batch, "vector")))
+        step = int(np.clip(POST_SUMS // index.size**2, 1, 1024))
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
+            own = index.cells(part)
+            who, cell = index.visits(part)
+            higher = cell > own[who]
+            row = np.concatenate([np.arange(len(part)), who[higher]])
+            cell = np.concatenate([own, cell[higher]])
+            role = np.repeat([0, 1], [len(part), int(higher.sum())]).astype(np.int32)
+            for s in range(0, len(row), POST_ROWS):
+                take = row[s : s + POST_ROWS]
+                rows = batch.slice(at, len(part)).take(pa.array(take))
+                yield rows.append_column("own", pa.array(own[take])).append_column("cell", pa.array(cell[s : s + POST_ROWS])).append_column("role", pa.array(role[s : s + POST_ROWS]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = unit(_matrix(tb.column(batch, "vector")))
-            for at in range(0, len(x), 1024):
-                part = x[at : at + 1024]
-                own = index.cells(part)
-                who, cell = index.visits(part)
-                higher = cell > own[who]
-                take = np.concatenate([np.arange(len(part)), who[higher]])
-                rows = batch.slice(at, len(part)).take(pa.array(take))
-                yield rows.append_column("own", pa.array(own[take])).append_column("cell", pa.array(np.concatenate([own, cell[higher]]))).append_column("role", pa.array(np.repeat([0, 1], [len(part), int(higher.sum())]).astype(np.int32)))
+            length = tb.column(batch, "vector").value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(length).tolist():
+                yield from of_length(batch.filter(pa.array(length == dim)), indexes.get(dim) or one_cell(dim, threshold))
 
     return run
 
@@ -182,19 +200,21 @@ def _verify(threshold: float):
                 continue
             key = np.stack([tb.column(batch, c).to_numpy() for c in ("label", "cell", "block")], axis=1)
             role = tb.column(batch, "role").to_numpy()
-            data = (tb.column(batch, "node").to_numpy(), tb.column(batch, "many").to_numpy(), unit(_matrix(tb.column(batch, "vector"))))
+            node, many, vector = (tb.column(batch, c) for c in ("node", "many", "vector"))
+            node, many = node.to_numpy(), many.to_numpy()
             cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
             for s, e in zip(cut[:-1], cut[1:], strict=True):
-                members = s + int((role[s:e] == 0).sum())
-                part = tuple(v[s:members] for v in data)
+                members = int((role[s:e] == 0).sum())
+                data = (node[s:e], many[s:e], unit(_matrix(vector.slice(s, e - s))))  # of one length
+                part, probes = tuple(v[:members] for v in data), tuple(v[members:] for v in data)
                 if group is None or (key[s] != group).any():
                     group, member = key[s], part
-                    out = block(part, tuple(v[members:e] for v in data), True)
+                    out = block(part, probes, True)
                     if out is not None:
                         yield out
                     continue
                 # the group goes on from the batch before: more members meet those held, then probes meet all
-                for piece, within in ((part, False), (tuple(v[members:e] for v in data), False)):
+                for piece, within in ((part, False), (probes, False)):
                     if len(piece[0]):
                         out = block(member, piece, within)
                         if out is not None:
@@ -208,35 +228,39 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector: str = "embedding", label: str = "label", vec_id: str = "vec_id", recall: float = TARGET_RECALL, sample_rows: int = SAMPLE_ROWS, vectors_per_cell: int = VECTORS_PER_CELL, block: int = BLOCK) -> DataFrame:
-    """One row for each vector: its id, n_links, component_id, kept and first_row."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector: str = "embedding", label: str = "label", vec_id: str = "vec_id", recall: float = 1.0, sample_rows: int = SAMPLE_ROWS, vectors_per_cell: int = VECTORS_PER_CELL, block: int = BLOCK) -> DataFrame:
+    """One row for each vector: its id, n_links, component_id, kept and first_row.
+
+    All links are found, so any ``recall`` that a caller asks for is reached.
+    """
     v, squares = F.col(f"`{vector}`"), F.aggregate(F.col(f"`{vector}`"), F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))
     finite = F.coalesce((squares > 0) & (squares < float("inf")) & ~F.isnan(squares), F.lit(False))
     base = settle(
         vectors.select(
             F.monotonically_increasing_id().alias("row"),
             F.col(f"`{vec_id}`").cast("long").alias("id"),
-            F.xxhash64(F.col(f"`{label}`")).alias("label"),
+            F.xxhash64(F.col(f"`{label}`"), F.size(v)).alias("label"),
             (finite & F.col(f"`{label}`").isNotNull()).alias("valid"),
-            F.size(v).alias("dim"),
             v.alias("vector"),
         ),
         "vectors",
     )
-    usual = base.filter("valid").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if usual is None:
-        return base.select(F.col("id").alias(vec_id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("first_row"))
-    usable = base.filter(F.col("valid") & (F.col("dim") == usual["dim"]))
+    usable = base.filter("valid")
     classes = settle(usable.groupBy("label", "vector").agg(F.min("row").alias("node"), F.count("*").alias("many")), "classes")
 
-    n = classes.count()
-    part = min(1.0, sample_rows / n)
+    labels = classes.groupBy("label", F.size("vector").alias("dim")).count()
+    lengths = labels.groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("most")).orderBy(F.desc("n"), "dim").limit(MOST_LENGTHS).collect()
+    part = min(1.0, sample_rows / max(1, classes.count()))
     sample = classes.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < max(1, int(part * 1_000_000))).select("vector").collect()
-    sample = sample or classes.select("vector").limit(1).collect()
-    index = fit(unit(np.array([r.vector for r in sample])), int(np.clip(np.sqrt(n / vectors_per_cell), 4, 256)), threshold, recall)
+    indexes = {}
+    for r in lengths:
+        some = [v.vector for v in sample if len(v.vector) == r["dim"]]
+        codes = int(np.clip(np.sqrt(r["most"] / vectors_per_cell), 1, 256))
+        if some and codes > 1 and r["dim"] > 1:
+            indexes[r["dim"]] = fit(unit(np.array(some)), codes, threshold)
 
     kind = classes.schema["vector"].dataType.simpleString()
-    posted = classes.mapInArrow(_post(index), f"label long, vector {kind}, node long, many long, own long, cell long, role int")
+    posted = classes.mapInArrow(_post(indexes, threshold), f"label long, vector {kind}, node long, many long, own long, cell long, role int")
     fine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     sizes = posted.filter("role = 0").groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     met = posted.join(sizes, ["label", "cell"])
