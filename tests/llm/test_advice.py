@@ -27,3 +27,17 @@ def test_embeddings_of_low_rank(spark, tmp_path, dim, rank):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(path)
     got = {r["vec_id"]: r["n_links"] for r in near_duplicates(spark.read.parquet(path), vectors_per_cell=8, block=64).collect()}
     assert got == want and sum(want.values()) > 300
+
+
+def test_packing_of_added_tokens(spark):
+    """Ids are those of the JSON file's tokenizer with its default settings."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from touchline.llm.packing import pack
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a page <|endoftext|> next", "<|endoftext|><|endoftext|>", "x\n  <|endoftext|>\n<|endoftext", "none"]
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    got = {r["doc_id"]: r["ids"] for r in pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and want[0] == [64, 2443, 220, 50256, 1306, 0]

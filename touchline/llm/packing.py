@@ -14,6 +14,7 @@ pieces.  An empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,13 +45,15 @@ def _encoding(path: str):
     import public_tokenizers
     import tiktoken
 
+    # the JSON file of the same vocabulary names the added tokens, which are cut out of a text before all else
+    added = json.loads(Path(path).with_suffix(".json").read_text(encoding="utf-8"))["added_tokens"]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={a["content"]: a["id"] for a in added})
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Ids of a text and the end id, as little-endian unsigned 32-bit numbers."""
-    ids = _encoding(path).encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+    ids = _encoding(path).encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
     return np.append(ids, END_ID).astype("<u4")
 
 
