@@ -41,3 +41,25 @@ def test_packing_of_added_tokens(spark):
     want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
     got = {r["doc_id"]: r["ids"] for r in pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == want and want[0] == [64, 2443, 220, 50256, 1306, 0]
+
+
+def test_quality_cut_withstands_noise():
+    """Junk among the trusted positives doesn't let the junk in."""
+    from touchline.llm import quality_model as q
+
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0.2, 0.05, (4000, q.N_FEATURES)), rng.normal(0.6, 0.1, (2000, q.N_FEATURES))
+    trusted = np.concatenate([good[:1000], bad[:10]])
+    negative = np.concatenate([bad[10:300], good[1000:1003]])
+    for more in ([], [negative]):
+        model = q.fit(trusted, np.concatenate([good[1000:3000], bad[300:800]]), *more)
+        assert (model.score(good[3000:]) >= q.THRESHOLD).mean() > 0.95 and (model.score(bad[800:]) >= q.THRESHOLD).mean() < 0.02
+
+
+def test_quality_with_all_rows_labelled(spark):
+    from touchline.llm import quality_model as q
+
+    docs = spark.createDataFrame([(i, "The house stood, quiet and old, near a river." if i % 3 else "BUY | NOW | !!! BUY BUY $$$ %%% ###") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in q.score(docs, q.train(docs, labels)).collect()}
+    assert got == {i: int(i % 3 > 0) for i in range(300)}

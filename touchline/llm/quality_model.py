@@ -2,8 +2,10 @@
 
 A linear model over surface features minimises the non-negative unbiased risk: trusted positives
 (label 1, outside the held-out rows) against unlabelled web text, with the share of good texts in
-the latter estimated first.  The fit uses about ``sample_rows`` rows of either kind, taken by a hash
-of the id; scoring is one pass over all whole texts, without a shuffle.
+the latter estimated first.  The threshold's place is then set where the trusted rows of both labels
+are told apart best; without rows of label 0, where the estimated prior makes the error least.  The fit uses about ``sample_rows``
+rows of each kind, taken by a hash of the id; scoring is one pass over all whole texts, without a shuffle.
+Where every text has a label, the rows that aren't held out, without their labels, are the unlabelled text.
 
 Nulls: a null text counts as empty and is scored like any other; a row with a null id is never held
 out; a null label is no label.  Repeated rows are scored alike.  With no positives every score is 0.5.
@@ -24,8 +26,6 @@ from . import textbytes as tb
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
 HELD_OUT = 2
-#: Share of the trusted positives that may score below the threshold; where more do, the scores rise.
-LOST_POSITIVES = 0.001
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -131,7 +131,19 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, rate
     return w[:-1], float(w[-1])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> Model:
+def best_cut(positive: np.ndarray, other: np.ndarray, weight: float = 1.0) -> float:
+    """The cut with the largest difference of the shares of positives, weighted, and others at or above it, in
+    the middle of the widest gap where several are as good."""
+    at = np.unique(np.concatenate([positive, other]))
+    lower = np.concatenate([at[:1] - 1, at[:-1]])
+    accepted = [1 - np.searchsorted(np.sort(x), at) / len(x) for x in (positive, other)]
+    gain = weight * accepted[0] - accepted[1]
+    good = np.flatnonzero(gain >= gain.max() - 1e-12)
+    best = good[np.argmax((at - lower)[good])]
+    return float(at[best] + lower[best]) / 2
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray | None = None, steps: int = 400) -> Model:
     """The model for rows of features; without positives or unlabelled rows it scores 0.5."""
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(N_FEATURES), 0.0, np.zeros(N_FEATURES), np.ones(N_FEATURES), 0.5)
@@ -140,9 +152,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> Model
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     w, b = _descend(p, u, None, steps)
     prior = class_prior(p @ w + b, u @ w + b)
-    w, b = _descend(p, u, prior, steps)
-    low = float(np.quantile(p @ w + b, LOST_POSITIVES))
-    return Model(w, b + max(0.0, np.log(THRESHOLD / (1 - THRESHOLD)) - low), mean, scale, prior)
+    w, _ = _descend(p, u, prior, steps)
+    if negative is not None and len(negative):
+        n = np.clip((negative - mean) / scale, -8, 8)
+        cut = best_cut(p @ w, n @ w)
+    else:  # the error is prior + accepted share of unlabelled - 2 * prior * accepted share of positives
+        cut = best_cut(p @ w, u @ w, 2 * prior)
+    return Model(w, float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut, mean, scale, prior)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -156,8 +172,9 @@ def _feature_array(s: tb.Slice) -> dict[str, pa.Array]:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on ``labels.quality`` of the rows that aren't held out and on unlabelled rows of ``docs``."""
+    trusted = lambda quality: labels.filter((F.col("quality") == quality) & ~held_out(doc_id)).select(F.col(f"`{doc_id}`").alias("id")).distinct()
     d = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    good = labels.filter((F.col("quality") == 1) & ~held_out(doc_id)).select(F.col(f"`{doc_id}`").alias("id")).distinct()
+    good, bad = trusted(1), trusted(0)
     known = labels.filter(F.col("quality").isNotNull()).select(F.col(f"`{doc_id}`").alias("id")).distinct()
 
     def some(rows: DataFrame, n: int, salt: int) -> DataFrame:
@@ -168,9 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         found = tb.scan_texts(df.select("text"), "text", _feature_array, "x array<double>").collect()
         return np.array([r.x for r in found]).reshape(-1, N_FEATURES)
 
-    positive = rows(some(d, good.count(), 1).join(good, "id", "left_semi"))
+    positive = rows(d.join(F.broadcast(some(good, good.count(), 1)), "id", "left_semi"))  # a bounded sample of ids
+    negative = rows(d.join(F.broadcast(some(bad, bad.count(), 3)), "id", "left_semi"))
     unlabelled = rows(some(d, docs.count(), 2).join(known, "id", "left_anti"))
-    return fit(positive, unlabelled)
+    if not len(unlabelled):
+        unlabelled = rows(some(d.filter(~held_out("id")), docs.count(), 2))
+    return fit(positive, unlabelled, negative)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
