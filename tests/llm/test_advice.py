@@ -63,3 +63,52 @@ def test_quality_with_all_rows_labelled(spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r["predicted"] for r in q.score(docs, q.train(docs, labels)).collect()}
     assert got == {i: int(i % 3 > 0) for i in range(300)}
+
+
+@pytest.mark.parametrize("long_list", [128, 4096])
+def test_large_group_of_near_copies(spark, tmp_path, long_list):
+    """Different near copies of one text, more than a post list holds, some linked only through others, and a common passage."""
+    import random
+
+    from touchline.llm.near_dups import near_duplicates
+
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(70)]
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for i in range(900):
+        t = list(base)
+        for k in rng.sample(range(70), rng.choice([1, 2, 2, 3])):
+            t[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    texts += [" ".join(passage + [f"y{rng.randrange(10**6)}" for _ in range(rng.choice([4, 6, 60]))]) for _ in range(400)]
+    path = str(tmp_path / "g")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if find(a) != find(b):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((find(a), find(b)))
+                    up[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.read.parquet(path), shingle=3, percent=85, long_list=long_list).collect()}
+    assert got == {i: find(i) for i in range(len(sets))}
+
+
+def test_pivots_bound_a_list():
+    """A list of many near copies leaves one edge for each row, in time that grows with the rows."""
+    from touchline.llm.near_dups import pivot_edges
+
+    rng = np.random.default_rng(5)
+    sketch = np.repeat(rng.integers(0, 256, (1, 64), dtype=np.uint8), 20_000, axis=0)
+    for i in range(len(sketch)):
+        sketch[i, rng.choice(64, 6, replace=False)] = rng.integers(0, 256, 6, dtype=np.uint8)
+    assert len(pivot_edges(sketch, 64, 43)) == len(sketch) - 1
