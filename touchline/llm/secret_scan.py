@@ -1,41 +1,55 @@
 """Secret scan with a battery of randomness tests, in SQL expressions only (operator 8).
 
 The base patterns give assignments to secret-like names, access key ids and long hex strings.  The
-method looks at every token of at least ``MIN_TOKEN`` characters: it infers the token's encoding, and
-tests its characters for uniform use of that alphabet (chi-squared), for runs above and below the
-alphabet's middle, and for serial correlation.  The three standard scores combine to one statistic that
-is small for random strings.  How often ordinary words of the same length or shorter fall below a value
-of it is counted over the whole corpus, and for each class of lengths the largest value is taken at which
-the share of false discoveries stays below ``FALSE_SHARE``; the counts are a few hundred rows.
-
-Nulls: a null text counts as empty; a null id stays null.  Each row gives a row.
+method looks at every token of at least ``MIN_TOKEN`` characters, as a whole and its runs of letters and digits
+apart.  It infers the token's encoding and tests its characters for uniform use of that alphabet (chi-squared), for
+runs above and below the alphabet's middle, and for serial correlation.  A discovery must pass as random: the three
+standard scores combine to a statistic that a random string exceeds once in 1,000 times.
+
+How likely ordinary text passes as well as that depends on the encoding and the length: the distribution of the
+chi-squared statistic for characters drawn as often as the corpus uses them (within the alphabet) has a
+mean and a variance in closed form.  They give each token a p-value, and Benjamini and Hochberg's rule, for each class of
+lengths, the largest p-value at which the share of false discoveries stays below ``FALSE_SHARE``.  The driver
+gets one row of character counts and the tokens' histogram, a few hundred rows.
+
+Nulls: a null text counts as empty; a null id stays null.  Each row gives a row; repeated rows give the same.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .native_spans import joined, located, no_overlap, quoted
+from .native_spans import apart, joined, located, quoted
 from .store import settle
 
 MIN_TOKEN = 16
 FALSE_SHARE = 0.01
 #: Beyond this a random string's statistic (three squared standard scores) lies once in 1,000 times.
 MOST = 16.27
-BIN = 0.25
+#: Width of a bin of standard scores, and the scores that are told apart.
+BIN, LOWEST, HIGHEST = 0.05, -12.0, 0.0
 #: Lower ends of the classes of lengths.
 LENGTHS = (16, 20, 24, 32, 48)
+#: Characters over which serial correlation is summed at once.
+CHUNK = 1024
 
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a maximal run of 20 or more
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"  # likewise of 24 or more
-TOKEN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: A run of letters and digits that is a part of a token.
+PART = r"(?<=[+/_-])[A-Za-z0-9]{16,}+|(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+(?=[+/_-])"
 KINDS = ("assign", "access", "hex", "random")
 
 _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Encodings in the order of inference: pattern and alphabet; the first two are ordinary words.
+CHARACTERS = _UP + _LOW + _DIGITS + "+/"
+#: Encodings in the order of inference: pattern and alphabet.
 ENCODINGS = (
+    (r"^[0-9]+$", _DIGITS),
     (r"^[A-Za-z][a-z]*$", _LOW),
     (r"^[A-Z]+$", _UP),
     (r"^[0-9a-f]+$", _DIGITS + "abcdef"),
@@ -45,34 +59,40 @@ ENCODINGS = (
     (r"^[A-Z0-9]+$", _DIGITS + _UP),
     (r"^[A-Za-z]+$", _UP + _LOW),
     (r"^[A-Za-z0-9]+$", _DIGITS + _UP + _LOW),
-    (r"", _UP + _LOW + _DIGITS + "+/"),
+    (r"", CHARACTERS),
 )
-WORDS = 2
+WORD = 1
+
+
+def _chi() -> str:
+    """SQL for the chi-squared statistic of c.token (n characters) over c.alphabet."""
+    n, size = "length(c.token)", "length(c.alphabet)"
+    alike = f"aggregate(split(c.alphabet, ''), 0.0D, (s, x) -> s + CASE WHEN x = '' THEN 0.0D ELSE pow({n} - length(replace(c.token, x, '')), 2) END)"
+    return f"({size} * {alike} / {n} - {n})"
 
 
-def _statistic() -> str:
-    """SQL for the combined statistic of c.token (n characters over c.alphabet)."""
+def _statistic(chi: str) -> str:
+    """SQL for the combined statistic of c.token; it is small for random strings."""
     n, size = "length(c.token)", "length(c.alphabet)"
-    alike = f"aggregate(array_distinct(split(c.token, '')), 0.0D, (s, x) -> s + CASE WHEN x = '' THEN 0.0D ELSE pow({n} - length(replace(c.token, x, '')), 2) END)"
-    chi = f"(({size} * {alike} / {n} - {n}) - ({size} - 1)) / sqrt(2.0D * ({size} - 1) * ({n} - 1) / {n})"
+    uniform = f"({chi} - ({size} - 1)) / sqrt(2.0D * ({size} - 1) * ({n} - 1) / {n})"
     high = f"translate(c.token, c.alphabet, concat(repeat('0', {size} div 2), repeat('1', {size} - {size} div 2)))"
-    runs = f"length(regexp_replace({high}, '0+|1+', 'x'))"
-    expected = f"(1.0D + 2.0D * ({n} - 1) * 0.25D)"
-    run = f"({runs} - {expected}) / sqrt(({n} - 1) * 0.25D)"
-    at = f"transform(sequence(1, {n}), i -> locate(substr(c.token, i, 1), c.alphabet) - ({size} + 1) / 2.0D)"
-    product = f"aggregate(zip_with(slice({at}, 1, {n} - 1), slice({at}, 2, {n} - 1), (x, y) -> x * y), 0.0D, (s, x) -> s + x)"
+    runs = f"length(regexp_replace({high}, '0++|1++', 'x'))"
+    run = f"({runs} - (1.0D + 2.0D * ({n} - 1) * 0.25D)) / sqrt(({n} - 1) * 0.25D)"
+    place = f"transform(filter(split(k, ''), y -> y != ''), y -> locate(y, c.alphabet) - ({size} + 1) / 2.0D)"
+    chunk = f"transform(array({place}), at -> aggregate(transform(at, (y, i) -> y * coalesce(get(at, i + 1), 0.0D)), 0.0D, (s, y) -> s + y))[0]"
+    product = f"aggregate(regexp_extract_all(c.token, '.{{1,{CHUNK}}}', 0), 0.0D, (s, k) -> s + {chunk})"
     serial = f"{product} / (({size} * {size} - 1) / 12.0D) / sqrt({n} - 1)"
-    return f"pow(greatest({chi}, 0.0D), 2) + pow({run}, 2) + pow({serial}, 2)"
+    return f"pow(greatest({uniform}, 0.0D), 2) + pow({run}, 2) + pow({serial}, 2)"
 
 
-def _tokens() -> str:
-    """SQL for array<struct<start, end, n, word, s>>: all tokens with a letter, and their statistics."""
+def _tokens(regex: str) -> str:
+    """SQL for array<struct<start, end, n, encoding, chi, s>>: all tokens and their statistics."""
     bare = "rtrim('=', translate(t.hit, '-_', '+/'))"
     which = "CASE " + " ".join(f"WHEN {bare} RLIKE '{p}' THEN {i}" for i, (p, _) in enumerate(ENCODINGS[:-1])) + f" ELSE {len(ENCODINGS) - 1} END"
     alphabets = "array(" + ", ".join(f"'{a}'" for _, a in ENCODINGS) + ")"
-    coded = f"transform(filter({located('text', TOKEN)}, t -> {bare} RLIKE '[A-Za-z]' AND length({bare}) >= {MIN_TOKEN}), t -> struct(t.start AS start, t.end AS end, {which} AS encoding, {bare} AS bare))"
-    ready = f"transform({coded}, t -> struct(t.start AS start, t.end AS end, t.encoding < {WORDS} AS word, CASE WHEN t.encoding = 0 THEN lower(t.bare) ELSE t.bare END AS token, element_at({alphabets}, t.encoding + 1) AS alphabet))"
-    return f"transform({ready}, c -> struct(c.start AS start, c.end AS end, length(c.token) AS n, c.word AS word, {_statistic()} AS s))"
+    coded = f"transform({located('text', regex)}, t -> struct(t.start AS start, t.end AS end, {which} AS encoding, {bare} AS bare))"
+    ready = f"transform(filter({coded}, t -> length(t.bare) >= {MIN_TOKEN}), t -> struct(t.start AS start, t.end AS end, t.encoding AS encoding, CASE WHEN t.encoding = {WORD} THEN lower(t.bare) ELSE t.bare END AS token, element_at({alphabets}, t.encoding + 1) AS alphabet))"
+    return f"transform({ready}, c -> struct(c.start AS start, c.end AS end, length(c.token) AS n, c.encoding AS encoding, {_chi()} AS chi, {_statistic(_chi())} AS s))"
 
 
 def _kind(kind: str, spans: str) -> str:
@@ -80,7 +100,7 @@ def _kind(kind: str, spans: str) -> str:
 
 
 def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: the id, its base spans and all tokens with their statistics; no text."""
+    """Per row: the id, its base spans, and whole tokens and other runs with their statistics; no text."""
     d = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     named = "lower(text)"
     keys = " OR ".join(f"contains({named}, '{k}')" for k in ("passw", "secret", "token", "api"))
@@ -91,42 +111,88 @@ def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         F.expr(_kind("assign", assign)).alias("assign"),
         F.expr(_kind("access", access)).alias("access"),
         F.expr(_kind("hex", located("text", HEX))).alias("hex"),
-        F.expr(_tokens()).alias("tokens"),
+        F.expr(_tokens(TOKEN)).alias("tokens"),
+        F.expr(_tokens(PART)).alias("parts"),
     )
     return settle(spans, "secret-spans")
 
 
+@dataclass
+class Ordinary:
+    """Chi-squared of n characters drawn as ordinary text uses an alphabet: mean and variance are of this form."""
+
+    size: int
+    two: float
+    three: float
+
+    def mean(self, n: str) -> str:
+        return f"({self.size} * (({n} - 1) * {self.two}D + 1) - {n})"
+
+    def deviation(self, n: str) -> str:
+        pairs, triples = self.two - self.two**2, max(self.three - self.two**2, 0.0)
+        return f"({self.size} / cast({n} AS double) * sqrt({n} * ({n} - 1D) * (2 * {pairs}D + 4 * ({n} - 2D) * {triples}D)))"
+
+
+def ordinary_text(docs: DataFrame, text: str = "text") -> list[Ordinary]:
+    """For each encoding, from the counts of the alphabet's characters in all texts (one row)."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    row = docs.agg(*(F.sum(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double").alias(f"c{i}") for i, c in enumerate(CHARACTERS))).first()
+    count = {c: (row[f"c{i}"] or 0.0) + 1.0 for i, c in enumerate(CHARACTERS)}
+    out = []
+    for _, alphabet in ENCODINGS:
+        one_case = alphabet == alphabet.upper() or alphabet == alphabet.lower()  # then letters are used as in either case
+        used = [count[c] + (count[c.swapcase()] if one_case and c.isalpha() else 0.0) for c in alphabet]
+        share = [x / sum(used) for x in used]
+        out.append(Ordinary(len(alphabet), sum(x**2 for x in share), sum(x**3 for x in share)))
+    return out
+
+
+def score(null: list[Ordinary], t: str) -> str:
+    """SQL for the standard score of a token's chi-squared in ordinary text; low scores are secrets."""
+    by = " ".join(f"WHEN {t}.encoding = {k} THEN ({t}.chi - {o.mean(f'{t}.n')}) / {o.deviation(f'{t}.n')}" for k, o in enumerate(null))
+    return f"CASE {by} END"
+
+
 def length_class(n: str) -> str:
     return "CASE " + " ".join(f"WHEN {n} >= {at} THEN {at}" for at in reversed(LENGTHS)) + f" ELSE {LENGTHS[0]} END"
 
 
-def thresholds(spans: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, float]:
-    """For each class of lengths the largest statistic of a discovery; one row for each class is collected."""
-    token = spans.select(F.explode("tokens").alias("t")).select("t.word", F.expr(length_class("t.n")).alias("class"), F.least(F.floor(F.col("t.s") / BIN), F.lit(int(MOST / BIN) + 1)).cast("int").alias("bin"))
-    counts = token.groupBy("class", "bin").agg(F.count(F.when(~F.col("word"), 1)).alias("candidates"), F.count(F.when(F.col("word"), 1)).alias("words"))
-    # at most len(LENGTHS) * (MOST / BIN + 2) rows from here on
-    grid = F.broadcast(counts)
-    at = counts.select(F.col("class").alias("c"), F.col("bin").alias("b")).join(grid, (F.col("class") <= F.col("c")))
-    sums = at.groupBy("c", "b").agg(
-        F.sum(F.when((F.col("class") == F.col("c")) & (F.col("bin") <= F.col("b")), F.col("candidates")).otherwise(0)).alias("found"),
-        F.sum(F.when(F.col("class") == F.col("c"), F.col("candidates")).otherwise(0)).alias("all"),
-        F.sum(F.when(F.col("bin") <= F.col("b"), F.col("words")).otherwise(0)).alias("low_words"),
-        F.sum("words").alias("all_words"),
-    )
-    false = F.col("all") * (F.col("low_words") + 1) / (F.col("all_words") + 1)
-    good = sums.filter((F.col("b") <= int(MOST / BIN)) & (false <= false_share * F.greatest("found", F.lit(1))))
-    return {r["c"]: (r["b"] + 1) * BIN for r in good.groupBy("c").agg(F.max("b").alias("b")).collect()}
+def limits(counts: list[tuple[int, int, int]], false_share: float) -> dict[int, float]:
+    """Benjamini and Hochberg's largest score for each class, from (class, bin, tokens that pass as random or not)."""
+    out = {}
+    for c in LENGTHS:
+        here = sorted((b, n) for k, b, n in counts if k == c)
+        total, found = sum(n for _, n in here), 0
+        for b, n in here:
+            found += n
+            at = LOWEST + (b + 1) * BIN
+            if at <= HIGHEST and 0.5 * math.erfc(-at / math.sqrt(2)) * total <= false_share * found:
+                out[c] = at
+    return out
+
+
+def thresholds(spans: DataFrame, null: list[Ordinary], false_share: float = FALSE_SHARE) -> dict[int, float]:
+    """For each class of lengths the largest score of a discovery; a few hundred rows of counts are collected."""
+    token = spans.select(F.explode(F.concat("tokens", "parts")).alias("t"))
+    # what doesn't pass as random is no discovery at any score, but counts as tested
+    place = f"CASE WHEN t.s < {MOST} THEN greatest(0, least({int((HIGHEST - LOWEST) / BIN)}, cast(floor((({score(null, 't')}) - ({LOWEST})) / {BIN}) AS int))) ELSE {int((HIGHEST - LOWEST) / BIN)} END"
+    counts = token.groupBy(F.expr(length_class("t.n")).alias("class"), F.expr(place).alias("bin")).agg(F.count("*").alias("n"))
+    return limits([tuple(r) for r in counts.collect()], false_share)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", false_share: float = FALSE_SHARE) -> DataFrame:
     """One row for each row: the id, base (spans of the patterns) and found (all spans), as arrays of
     struct<start, rank, end, kind> in the order of start and kind."""
     spans = measured(docs, text, doc_id)
-    limits = thresholds(spans, false_share)
-    limit = "CASE " + " ".join(f"WHEN ({length_class('t.n')}) = {c} THEN {s}D" for c, s in limits.items()) + " ELSE -1.0D END" if limits else "-1.0D"
+    null = ordinary_text(docs, text)
+    found = thresholds(spans, null, false_share)
+    limit = "CASE " + " ".join(f"WHEN ({length_class('t.n')}) = {c} THEN {z}D" for c, z in found.items()) + " END" if found else "cast(NULL AS double)"
+    random = lambda tokens: f"filter({tokens}, t -> coalesce(t.s < {MOST} AND {score(null, 't')} < {limit}, false))"
     base = spans.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    random = f"filter(tokens, t -> NOT t.word AND t.s < {limit} AND {no_overlap('t', 'base')})"
-    return base.select(F.col("id").alias(doc_id), "assign", "access", "hex", "base", F.array_sort(F.concat("base", F.expr(_kind("random", random)))).alias("found"))
+    base = base.withColumns({"whole": F.expr(random("tokens")), "other": F.expr(random("parts"))})
+    base = base.withColumns({"whole": F.expr(apart("whole", "base")), "other": F.expr(apart("other", "base"))})
+    base = base.withColumn("other", F.expr(apart("other", "whole")))
+    return base.select(F.col("id").alias(doc_id), "assign", "access", "hex", "base", F.array_sort(F.concat("base", F.expr(_kind("random", "whole")), F.expr(_kind("random", "other")))).alias("found"))
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -135,4 +201,5 @@ def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
     )
