@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession
 
 from touchline import catalog
+from touchline.session import HUGE_METHOD
 
 HEADLINE = ["model_rankings", "eval_summary", "backtest", "team_strength", "cross_season_flag", "temperature_fit", "weighted_consensus", "forecast", "odds_consensus", "upsert_merge", "event_time_match", "name_candidates"]
 
@@ -23,7 +24,8 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

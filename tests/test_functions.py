@@ -78,3 +78,29 @@ def test_names(spark):
     assert r["a"] == "fc koeln sued west" and r["b"] == "fussball nunoa e" and r["c"] == "porto" and r["d"] == "fc"
     assert r["e"] == 0.5 and r["f"] == 0.5 and r["g"] == pytest.approx(max(0.85 / 2, 0.9 * 5 / 11, 0.75 / 2), abs=1e-4) and r["h"] == 1.0 and r["j"]
     assert "st pauli" in r["i"]
+
+
+def test_low_score_model_pinned(spark):
+    """Rates 1.3 + d + 0.5 (fh - 0.5) and 1.0 - 0.7 d + 0.4 (fa - 0.5), worked out without Spark."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from touchline.operators import models
+
+    rows = [(80.0, 55.0, "WWDLW", "LLDLW"), (50.0, 50.0, "", ""), (None, 40.0, "WWW", "LLL")]
+    d = spark.createDataFrame([(i, *r, 50) for i, r in enumerate(rows)], "match_id long, home_strength double, away_strength double, home_form string, away_form string, win_probability int")
+    d = d.withColumns({c: F.lit(None).cast("double") for c in ("home_odds", "draw_odds", "away_odds")})
+    share = lambda f: (3 * f.count("W") + f.count("D")) / (3 * len(f)) if f else 0.5
+    for r in models.evaluate(d, {"dc": models.SERVER["dc"]}).collect():
+        h, a, fh, fa = rows[r["match_id"]]
+        diff = 0 if h is None else (h - a) / 100
+        lh, la = max(0.3, 1.3 + diff + 0.5 * (share(fh) - 0.5)), max(0.3, 1.0 - 0.7 * diff + 0.4 * (share(fa) - 0.5))
+        cell = {(i, j): math.exp(-lh - la) * lh**i * la**j / math.factorial(i) / math.factorial(j) for i in range(7) for j in range(7)}
+        for k, t in {(0, 0): 1 - lh * la * 0.13, (1, 0): 1 + la * 0.13, (0, 1): 1 + lh * 0.13, (1, 1): 0.87}.items():
+            cell[k] *= t
+        total = sum(cell.values())
+        assert abs(r["m_dc"]["prob_home"] - sum(p for (i, j), p in cell.items() if i > j) / total) < 1e-9
+        assert abs(r["m_dc"]["prob_away"] - sum(p for (i, j), p in cell.items() if i < j) / total) < 1e-9
+        best = max(cell, key=cell.get)
+        assert r["m_dc"]["score"] == f"{best[0]}:{best[1]}"

@@ -33,14 +33,26 @@ def _featured(spark: SparkSession, sf: str, name: str = "matches") -> DataFrame:
     return features.with_features(relation(spark, sf, name))
 
 
-def _model(name: str, registry: dict[str, models.Model] = models.SERVER) -> Query:
+def _model(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        m = models.evaluate(_featured(spark, sf), {name: registry[name]}).select("match_id", f"m_{name}.*")
+        m = models.evaluate(_featured(spark, sf), {name: models.SERVER[name]}).select("match_id", f"m_{name}.*")
         return m.select("match_id", "winner", "score", "confidence", *(F.round(c, 6).alias(c) for c in ("prob_home", "prob_draw", "prob_away")))
 
     return run
 
 
+def _client(name: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return models.evaluate(_featured(spark, sf), {name: models.CLIENT[name]}).select("match_id", f"m_{name}.*")
+
+    return run
+
+
+def _dixon_coles(spark: SparkSession, sf: str) -> DataFrame:
+    """Back-test rows of the one model that calibration looks at."""
+    return _probabilities(backtest(relation(spark, sf, "matches"), {"dc": models.SERVER["dc"]}))
+
+
 def _backtest(spark: SparkSession, sf: str) -> DataFrame:
     kept = ["match_id", "model_key", "log_loss_1x2", "predicted_score", "predicted_winner", "confidence_score", "points", "outcome_label", "predicted_1x2", "actual_1x2", "is_exact_hit", "is_tendency_hit", "score_error_abs", "goal_diff_error"]
     # whole hundredths: decimal ties of the sixth digit round differently in other engines
@@ -129,9 +141,9 @@ def queries() -> dict[str, Query]:
         "cross_season_flag": lambda s, d: _featured(s, d, "matches_multi").select("match_id", "home_crosses_year", "away_crosses_year"),
         "feature_coverage": lambda s, d: features.coverage(_featured(s, d)),
         **{f"model_{m}": _model(m) for m in models.SERVER},
-        **{f"client_{m}": _model(m, models.CLIENT) for m in models.CLIENT},
-        "reliability_curve": _on_results(lambda r: calibration.reliability(_probabilities(r))),
-        "temperature_fit": _on_results(lambda r: calibration.fit_temperatures(_probabilities(r))),
+        **{f"client_{m}": _client(m) for m in models.CLIENT},
+        "reliability_curve": lambda s, d: calibration.reliability(_dixon_coles(s, d)),
+        "temperature_fit": lambda s, d: calibration.fit_temperatures(_dixon_coles(s, d)),
         "forecast": _forecast,
         "forecast_kpis": lambda s, d: reports.forecast_kpis(forecast.forecast(_featured(s, d))),
         "devig_market": _on("matches", odds.devig),

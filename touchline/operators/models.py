@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid as g
+from ..functions import marginals as mg
 from ..functions.probs import Triple, clamp, normalise, split_home
 from .features import form_share
 
@@ -46,24 +47,34 @@ def _rate(base: float, slope: float, lift: float, diff: Column, form: Column) ->
     return F.greatest(F.lit(0.3), F.lit(base) + F.lit(slope) * diff + F.lit(lift) * (form - 0.5))
 
 
-def _grid_model(df: DataFrame, name: str, home: Column, away: Column, shift: bool) -> DataFrame:
-    df = df.withColumns({"_h": home, "_a": away})
-    df = df.withColumn("_grid", g.cells(F.col("_h"), F.col("_a")))
-    if shift:
-        df = df.withColumn("_grid", g.low_score_shift(F.col("_grid"), F.col("_h"), F.col("_a")))
-    score, top = g.best(F.col("_grid"))
-    df = _keep(df, "_p", g.outcomes(F.col("_grid"))).withColumns({"_score": score, "_top": top})
-    return df.withColumn(f"m_{name}", _out(g.winner_by_threshold(_three("_p")), F.col("_score"), F.floor(F.least(F.lit(85.0), 250 * F.col("_top"))), _three("_p")))
+def _poisson_rates() -> tuple[Column, Column]:
+    d = F.col("_d")
+    return _rate(1.4, 1.2, 0.6, d, F.col("_fh")), _rate(1.1, -0.8, 0.4, d, F.col("_fa"))
 
 
-def poisson(df: DataFrame) -> DataFrame:
+def _dixon_coles_rates() -> tuple[Column, Column]:
     d = F.col("_d")
-    return _grid_model(df, "poisson", _rate(1.4, 1.2, 0.6, d, F.col("_fh")), _rate(1.1, -0.8, 0.4, d, F.col("_fa")), False)
+    return _rate(1.3, 1.0, 0.5, d, F.col("_fh")), _rate(1.0, -0.7, 0.4, d, F.col("_fa"))
+
+
+#: Rates and dependence of low scores of the grid models.
+GRIDS: dict[str, tuple[Callable[[], tuple[Column, Column]], float]] = {"poisson": (_poisson_rates, 0.0), "dc": (_dixon_coles_rates, 0.13)}
+
+
+def _grid_model(df: DataFrame, name: str) -> DataFrame:
+    rates, rho = GRIDS[name]
+    df = mg.with_grid(df, *rates(), rho)
+    score, top = mg.best()
+    df = _keep(df, "_p", mg.outcomes()).withColumns({"_score": score, "_share": top})
+    return df.withColumn(f"m_{name}", _out(g.winner_by_threshold(_three("_p")), F.col("_score"), F.floor(F.least(F.lit(85.0), 250 * F.col("_share"))), _three("_p")))
+
+
+def poisson(df: DataFrame) -> DataFrame:
+    return _grid_model(df, "poisson")
 
 
 def dixon_coles(df: DataFrame) -> DataFrame:
-    d = F.col("_d")
-    return _grid_model(df, "dc", _rate(1.3, 1.0, 0.5, d, F.col("_fh")), _rate(1.0, -0.7, 0.5, d, F.col("_fa")), True)
+    return _grid_model(df, "dc")
 
 
 def elo(df: DataFrame) -> DataFrame:
@@ -112,34 +123,63 @@ def ensemble(df: DataFrame) -> DataFrame:
     return df.withColumn("m_ensemble", F.when(known, _out(g.winner_by_largest(p), part("dc", "score"), confidence, p, 4)).otherwise(F.col("m_dc")))
 
 
-def client_market(df: DataFrame) -> DataFrame:
-    """The dashboard's rule: one quote (2.0 where none) times 0.9, and the larger side wins."""
-    df = df.withColumn("_p", clamp(0.9 / F.coalesce("home_odds", F.lit(2.0)), 0.08, 0.92))
-    q, d = split_home(F.col("_p")), F.col("_d")
-    return df.withColumn("m_market", _out(g.winner_by_largest(q), _tip(0.9 + 1.2 * d, 0.8 - 0.6 * d), clamp(F.floor(100 * F.col("_p") + 0.5), 1, 99), q))
+def _client(winner: Column, score: Column, other: Column, confidence: Column, scores: Column | None = None) -> Column:
+    """What the dashboard shows of a model: the risk goes by the confidence before it is rounded."""
+    shown = clamp(F.floor(confidence + 0.5), 1, 99).cast("int")
+    risk = F.when(confidence >= 65, "low").when(confidence >= 45, "medium").otherwise("high")
+    listed = F.lit(None).cast("string") if scores is None else scores
+    return F.struct(winner.alias("winner"), score.alias("score"), other.alias("other_score"), shown.alias("confidence"), risk.alias("risk_level"), listed.alias("likeliest"))
 
 
-def client_ensemble(df: DataFrame) -> DataFrame:
-    d = F.col("_d")
-    score = ((F.col("win_probability") / 100) * 0.6 + 0.5 + 0.25 * d + 0.15 * (F.col("_fh") - F.col("_fa"))) / 1.6
-    df = df.withColumn("_p", clamp(score, 0.05, 0.95))
-    q = split_home(F.col("_p"))
-    return df.withColumn("m_ensemble", _out(g.winner_by_largest(q), _tip(1 + 1.8 * d, 0.9 - 0.9 * d), clamp(F.floor(100 * F.col("_p") + 0.5), 1, 99), q))
+def _half_up(home: Column, away: Column) -> Column:
+    goals = lambda x: F.greatest(F.floor(x + 0.5), F.lit(0)).cast("int").cast("string")
+    return F.concat_ws(":", goals(home), goals(away))
 
 
-def client_grid(model: Model, name: str) -> Model:
-    """A grid model whose winner is the largest outcome."""
+def client_grid(name: str) -> Model:
+    """A grid model whose winner is the largest outcome; its five likeliest scores in ten-thousandths."""
+    rates, rho = GRIDS[name]
 
     def run(df: DataFrame) -> DataFrame:
-        m = F.col(f"m_{name}")
-        p = (m["prob_home"], m["prob_draw"], m["prob_away"])
-        return model(df).withColumn(f"m_{name}", _out(g.winner_by_largest(p), m["score"], clamp(m["confidence"], 1, 99), p))
+        df = _keep(mg.with_grid(df, *rates(), rho), "_p", mg.outcomes()).withColumn("_five", mg.likeliest(5))
+        five = F.col("_five")
+        listed = F.array_join(F.transform(five, lambda x: F.concat_ws("=", x["score"], F.round(x["p"] * 10000).cast("int").cast("string"))), "|")
+        return df.withColumn(f"m_{name}", _client(g.winner_by_largest(_three("_p")), five[0]["score"], five[1]["score"], F.least(F.lit(85.0), 250 * five[0]["p"]), listed))
 
     return run
 
 
+def client_elo(df: DataFrame) -> DataFrame:
+    d, p = F.col("_d"), F.col("_p")
+    df = df.withColumn("_p", 1 / (1 + F.pow(F.lit(10.0), -(4 * d + 0.1))))
+    home, away = 1 + 1.8 * d, 0.9 - 0.9 * d
+    winner = F.when(p > 0.58, "home").when(p < 0.38, "away").otherwise("draw")
+    return df.withColumn("m_elo", _client(winner, _half_up(home, away), _half_up(F.greatest(F.lit(1.0), home), F.greatest(F.lit(0.0), away - 1)), 45 + 90 * F.abs(p - 0.5)))
+
+
+def _by_home(p: Column) -> Column:
+    return F.when(p > 0.55, "home").when(p < 0.40, "away").otherwise("draw")
+
+
+def client_market(df: DataFrame) -> DataFrame:
+    """The dashboard's rule: one quote (2.0 where none) times 0.9."""
+    df = df.withColumn("_p", clamp(1 / F.coalesce("home_odds", F.lit(2.0)) * 0.9, 0.08, 0.92))
+    p, d = F.col("_p"), F.col("_d")
+    home, away = 0.9 + 1.2 * d, 0.8 - 0.6 * d
+    return df.withColumn("m_market", _client(_by_home(p), _half_up(home, away), _half_up(home, away + 1), 40 + 45 * p))
+
+
+def client_ensemble(df: DataFrame) -> DataFrame:
+    d, form = F.col("_d"), F.col("_fh") - F.col("_fa")
+    raw = (F.col("win_probability") / 100) * 0.6 + (0.5 + d * 0.25 + form * 0.15)
+    df = df.withColumn("_p", clamp(raw / 1.6, 0.05, 0.95))
+    p = F.col("_p")
+    home, away = 1.2 + d * 1.5 + form * 0.5, 0.7 - d * 0.8 + (1 - form) * 0.3
+    return df.withColumn("m_ensemble", _client(_by_home(p), _half_up(home, away), _half_up(F.greatest(F.lit(0.0), home - 1), away), 50 + 80 * F.abs(p - 0.5)))
+
+
 SERVER: dict[str, Model] = {"poisson": poisson, "dc": dixon_coles, "elo": elo, "market": market, "ensemble": ensemble}
-CLIENT: dict[str, Model] = {"poisson": client_grid(poisson, "poisson"), "dc": client_grid(dixon_coles, "dc"), "elo": elo, "market": client_market, "ensemble": client_ensemble}
+CLIENT: dict[str, Model] = {"poisson": client_grid("poisson"), "dc": client_grid("dc"), "elo": client_elo, "market": client_market, "ensemble": client_ensemble}
 #: Votes of each model in the client's consensus.
 VOTES = {"ensemble": 3, "poisson": 2, "elo": 2, "dc": 2, "market": 1}
 

@@ -118,7 +118,7 @@ def weighted_consensus(results: DataFrame, votes: dict[str, int]) -> DataFrame:
     tally = results.groupBy("match_id", "predicted_score").agg(F.sum(w).alias("w"), F.min(F.coalesce(F.try_element_at(order, F.col("model_key")), F.lit(99))).alias("first"), F.count("*").alias("n_models"))
     top = tally.groupBy("match_id").agg(F.sum("w").alias("total"), F.max(F.struct("w", (-F.col("first")).alias("neg"), "predicted_score", "n_models")).alias("t"))
     share = F.round(F.col("t.w") / F.col("total"), 6)
-    return top.select("match_id", F.col("t.predicted_score").alias("score"), F.col("t.n_models").alias("n_models"), share.alias("share"), F.when(share >= 0.55, "strong").when(share >= 0.35, "medium").otherwise("weak").alias("band"))
+    return top.select("match_id", F.col("t.predicted_score").alias("score"), F.col("t.n_models").alias("n_models"), share.alias("share"), F.when(share >= 0.55, "strong").when(share >= 0.35, "moderate").otherwise("weak").alias("band"))
 
 
 def majority_vote(results: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def models() -> list[tuple[str, str]]:
     return [
         ("base", base),
         *grid("poisson", "1.4e0+1.2e0*d+0.6e0*(fh-0.5e0)", "1.1e0-0.8e0*d+0.4e0*(fa-0.5e0)", False),
-        *grid("dc", "1.3e0+1.0e0*d+0.5e0*(fh-0.5e0)", "1.0e0-0.7e0*d+0.5e0*(fa-0.5e0)", True),
+        *grid("dc", "1.3e0+1.0e0*d+0.5e0*(fh-0.5e0)", "1.0e0-0.7e0*d+0.4e0*(fa-0.5e0)", True),
         ("elo_p", "select match_id, d, 1/(1+pow(10e0, -(4*d+0.1e0))) as p from base"),
         ("m_elo", f"select match_id, case when p>0.58e0 then 'home' when p<0.38e0 then 'away' else 'draw' end as winner, {_TIP.format('1+1.8e0*d', '0.9e0-0.9e0*d')} as score, cast(least(99, floor(45+90*abs(p-0.5e0))) as int) as confidence, p as ph, (1-p)*0.481e0 as pd, (1-p)*0.519e0 as pa from elo_p"),
         ("mk1", "select match_id, d, home_odds o, draw_odds od, away_odds oa, coalesce(draw_odds>1 and away_odds>1, false) as full3, least(0.90e0, 1/home_odds/1.07e0) as one, 1/home_odds+1/draw_odds+1/away_odds as t from base"),
@@ -77,6 +77,32 @@ def models() -> list[tuple[str, str]]:
     ]
 
 
+_HALF_UP = "cast(cast(greatest(0, floor({0}+0.5e0)) as int) as varchar) || ':' || cast(cast(greatest(0, floor({1}+0.5e0)) as int) as varchar)"
+
+
+def clients() -> dict[str, str]:
+    """The dashboard's models over base and the grids' cells."""
+    risk = "case when c>=65 then 'low' when c>=45 then 'medium' else 'high' end as risk_level"
+    shown = f"cast(greatest(1, least(99, floor(c+0.5e0))) as int) as confidence, {risk}"
+    by_home = "case when p>0.55e0 then 'home' when p<0.40e0 then 'away' else 'draw' end"
+    plain = lambda winner, h, a, h2, a2, c, p: f"select match_id, {winner} as winner, {_HALF_UP.format(h, a)} as score, {_HALF_UP.format(h2, a2)} as other_score, {shown}, cast(null as varchar) as likeliest from (select *, {c} as c from (select *, {p} as p from base))"
+
+    def grid(name: str) -> str:
+        return f"""select match_id, {_LARGEST.format('ph', 'pd', 'pa')} as winner, score, other_score, {shown}, likeliest from (
+            select match_id, max(s) filter (rn=1) as score, max(s) filter (rn=2) as other_score, least(85e0, 250*max(p)) as c,
+              string_agg(s || '=' || cast(cast(round(p*10000) as int) as varchar), '|' order by rn) filter (rn<=5) as likeliest
+            from (select match_id, p, cast(h as varchar)||':'||cast(a as varchar) as s, row_number() over (partition by match_id order by p desc, h, a) as rn from {name}_p) group by 1
+          ) join {name}_sum using (match_id)"""
+
+    return {
+        "poisson": grid("poisson"), "dc": grid("dc"),
+        "elo": plain("case when p>0.58e0 then 'home' when p<0.38e0 then 'away' else 'draw' end", "1+1.8e0*d", "0.9e0-0.9e0*d", "greatest(1e0, 1+1.8e0*d)", "greatest(0e0, 0.9e0-0.9e0*d-1)", "45+90*abs(p-0.5e0)", "1/(1+pow(10e0, -(4*d+0.1e0)))"),
+        "market": plain(by_home, "0.9e0+1.2e0*d", "0.8e0-0.6e0*d", "0.9e0+1.2e0*d", "0.8e0-0.6e0*d+1", "40+45*p", "least(0.92e0, greatest(0.08e0, 1/coalesce(home_odds, 2e0)*0.9e0))"),
+        "ensemble": plain(by_home, "1.2e0+1.5e0*d+0.5e0*(fh-fa)", "0.7e0-0.8e0*d+0.3e0*(1-(fh-fa))", "greatest(0e0, 1.2e0+1.5e0*d+0.5e0*(fh-fa)-1)", "0.7e0-0.8e0*d+0.3e0*(1-(fh-fa))", "50+80*abs(p-0.5e0)",
+            "least(0.95e0, greatest(0.05e0, ((case when home_strength is null or away_strength is null then 50 else greatest(5e0, least(95e0, round_even(50+0.6e0*(home_strength-away_strength),0))) end)/100*0.6e0 + (0.5e0+0.25e0*d+0.15e0*(fh-fa)))/1.6e0))"),
+    }
+
+
 def results() -> list[tuple[str, str]]:
     sgn = lambda a, b: f"case when {a}>{b} then 'H' when {a}<{b} then 'A' when {a}={b} then 'D' end"
     return [
@@ -118,13 +144,14 @@ def sql() -> dict[str, str]:
         "history_days": res + f"select match_date, count(*) as match_count, count(*) filter (outcome_label='exact') as exact_count, count(*) filter (outcome_label='goal_diff') as goal_diff_count, count(*) filter (outcome_label='tendency') as tendency_count, count(*) filter (outcome_label='wrong') as wrong_count, round(100e0*count(*) filter (outcome_label<>'wrong')/count(*),1) as hit_rate from ({hist}) group by 1",
         "kpi_strip": res + "select count(*) as n, count(*) filter (outcome_label='exact') as exact, count(*) filter (outcome_label='goal_diff') as goal_diff, count(*) filter (outcome_label='tendency') as tendency, count(*) filter (outcome_label='wrong') as wrong, cast(floor(100e0*count(*) filter (outcome_label<>'wrong')/count(*)+0.5e0) as bigint) as hit_rate, cast(floor(100e0*count(*) filter (outcome_label='exact')/count(*)+0.5e0) as bigint) as exact_rate from results where model_key='ensemble'",
         "weighted_consensus": res + """, v as (select match_id, predicted_score, sum(case model_key when 'ensemble' then 3 when 'market' then 1 else 2 end) as w, min(case model_key when 'ensemble' then 0 when 'poisson' then 1 when 'elo' then 2 when 'dc' then 3 else 4 end) as f, count(*) as n_models from results group by 1, 2)
-            select match_id, predicted_score as score, n_models, round(w/sum_w,6) as share, case when round(w/sum_w,6)>=0.55e0 then 'strong' when round(w/sum_w,6)>=0.35e0 then 'medium' else 'weak' end as band from (select *, sum(w) over (partition by match_id) as sum_w from v) qualify row_number() over (partition by match_id order by w desc, f) = 1""",
+            select match_id, predicted_score as score, n_models, round(w/sum_w,6) as share, case when round(w/sum_w,6)>=0.55e0 then 'strong' when round(w/sum_w,6)>=0.35e0 then 'moderate' else 'weak' end as band from (select *, sum(w) over (partition by match_id) as sum_w from v) qualify row_number() over (partition by match_id order by w desc, f) = 1""",
         "majority_vote": res + """, v as (select match_id, predicted_winner as winner, count(*) as n_models from results group by 1, 2) select match_id, winner, n_models, n_models>=3 as is_strong from v qualify row_number() over (partition by match_id order by n_models desc, case winner when 'home' then 0 when 'draw' then 1 else 2 end) = 1""",
         "team_strength": feats + "select match_id, home_strength, away_strength, home_venue, away_venue, home_n_prior, away_n_prior from feats",
         "team_form_last5": feats + "select match_id, home_form, away_form from feats",
         "cross_season_flag": _with(*features(r.MATCHES_MULTI)) + "select match_id, home_crosses_year, away_crosses_year from feats",
         "feature_coverage": feats + "select count(*) as n_matches, count(*) filter (home_strength is not null and away_strength is not null) as with_strength, count(*) filter (home_form<>'' and away_form<>'') as with_form, count(*) filter (home_strength is null or away_strength is null) as fallback, count(*) filter (home_venue is not null and away_venue is not null) as with_venue, count(*) filter (home_crosses_year or away_crosses_year) as cross_season from feats",
         **{f"model_{m}": mod + rounded(m) for m in ("poisson", "dc", "elo", "market", "ensemble")},
+        **{f"client_{m}": mod + q for m, q in clients().items()},
         "reliability_curve": res + f", c as ({classes}) select class, cast(least(floor(p*10),9) as int) as bucket, round((least(floor(p*10),9)+0.5e0)/10,3) as mid, count(*) as n, round(avg(p),4) as mean_p, round(avg(hit::int),4) as hit_rate, round(avg(hit::int)-avg(p),4) as gap from c group by 1, 2, 3",
         "temperature_fit": res + f""", c as ({classes}), g as (select class, i, round(0.5e0+2*i/50,3) as t, p, hit from c, range(51) r(i)),
             q as (select class, t, case when t=1e0 then p else exp(ln(least(greatest(p,1e-7),1-1e-7))/t) end as q, hit from g),

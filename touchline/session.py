@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+#: Bytecode beyond this isn't compiled by the JVM's own compiler; Spark then splits the expressions of such a stage.
+HUGE_METHOD = "8000"
+
+
 def session(name: str = "touchline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """UTC, ANSI mode and adaptive execution; the master and partition count only where given."""
     b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.ansi.enabled", "true").config("spark.sql.adaptive.enabled", "true")
+    b = b.config("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
     if master:
         b = b.master(master)
     if shuffle_partitions:
