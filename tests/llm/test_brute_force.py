@@ -190,7 +190,7 @@ def test_quality_rules(docs):
     texts = dict(corpus())
     on = Counter()
     for host in (0, 1):
-        for t in {t for i, t in texts.items() if i % 2 == host}:
+        for t in [t for i, t in texts.items() if i % 2 == host]:
             on.update({(host, " ".join(WORD.findall(x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))))) for x in t.split("\n")})
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     removed = 0

@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency (operator 5).
 
 One pass over the texts takes the per-document counts and, for each line, a hash of its normalised
-form (words in lower case, one blank between them).  Lines are then counted over distinct documents
-(exact copies of a text count once) for each host; a line above the limit is removed everywhere on
+form (words in lower case, one blank between them).  Lines are then counted over distinct documents, each
+row being one (exact copies of a text count like others), for each host; a line above the limit is removed everywhere on
 that host, and a document that loses too many of its words that way is rejected.
 
 Nulls: a null text has no words and fails the base rule; a null host is a host of its own; rows are
@@ -31,7 +31,7 @@ MIN_KEPT_PERCENT = 30
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_SCAN = "text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:int>>"
+_SCAN = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:int>>"
 
 
 def scan_slice(s: tb.Slice) -> dict[str, np.ndarray]:
@@ -66,7 +66,6 @@ def scan_slice(s: tb.Slice) -> dict[str, np.ndarray]:
 
     by_low = tb.prefix_hash(tb.span_hash(low, w0, w1))
     return {
-        "text_hash": tb.span_hash(raw, s.start, s.end).view(np.int64),
         "n_words": n_words,
         "word_chars": count(dark),
         "n_symbols": count(_SYMBOL[s.buf]),
@@ -83,7 +82,7 @@ def _measure(s: tb.Slice) -> dict[str, pa.Array]:
     offsets = np.zeros(s.n + 1, np.int32)
     np.cumsum(np.bincount(x["line_row"], minlength=s.n), out=offsets[1:])
     line = pa.StructArray.from_arrays([pa.array(x["line_hash"]), pa.array(x["line_words"])], names=["h", "w"])
-    counts = {k: pa.array(x[k].astype(np.int64)) for k in ("text_hash", *COUNTS)}
+    counts = {k: pa.array(x[k].astype(np.int64)) for k in COUNTS}
     return counts | {"lines": pa.ListArray.from_arrays(pa.array(offsets), line)}
 
 
@@ -104,10 +103,11 @@ def apply_rules(
         F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried))).alias("side"),
     )
     scanned = settle(tb.scan_texts(numbered, "text", _measure, _SCAN), "rules-scan")
-    lines = scanned.select("row", "host", "text_hash", F.inline("lines"))
+    lines = scanned.select("row", "host", F.inline("lines"))
+    # a document's repeats of a line are taken together where it is read, without a shuffle
+    once = scanned.select("host", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
     common = (
-        lines.select("host", "h", "text_hash").distinct()
-        .groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+        once.groupBy("host", "h").agg(F.count("*").alias("n_docs"))
         .filter(F.col("n_docs") > max_docs_per_host)
         .select(F.col("host").alias("host2"), F.col("h").alias("h2"))
     )

@@ -23,7 +23,7 @@ rep as (select doc_id, count(distinct j) as n from twice, unnest(range(i, i + {l
 l as (select doc_id, source, text, x as line, regexp_extract_all(x, {_WORD}) as lw from w, unnest(string_split(text, chr(10))) t(x)),
 full_l as (select *, {_LOW.format("array_to_string(lw, ' ')")} as normal from l where len(lw) > 0),
 dup as (select doc_id, count(*) - count(distinct line) as n from full_l group by 1),
-common as (select source, normal from full_l group by 1, 2 having count(distinct text) > {lines_rules.MAX_DOCS_PER_HOST}),
+common as (select source, normal from full_l group by 1, 2 having count(distinct doc_id) > {lines_rules.MAX_DOCS_PER_HOST}),
 lost as (select doc_id, sum(len(lw)) as n from full_l f where exists (select 1 from common c where c.source is not distinct from f.source and c.normal = f.normal) group by 1),
 c as (select w.doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
   coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, cast(coalesce(lost.n, 0) as bigint) as n_removed_words

@@ -8,7 +8,8 @@ rows of each kind, taken by a hash of the id; scoring is one pass over all whole
 Where every text has a label, the rows that aren't held out, without their labels, are the unlabelled text.
 
 Nulls: a null text counts as empty and is scored like any other; a row with a null id is never held
-out; a null label is no label.  Repeated rows are scored alike.  With no positives every score is 0.5.
+out; a null label is no label.  Repeated rows are scored alike.  Without any row of label 1 that isn't held out, or
+without unlabelled text, there is nothing to learn from: that is an error, but for an empty table.
 """
 
 from __future__ import annotations
@@ -178,8 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     known = labels.filter(F.col("quality").isNotNull()).select(F.col(f"`{doc_id}`").alias("id")).distinct()
 
     def some(rows: DataFrame, n: int, salt: int) -> DataFrame:
-        part = min(1.0, sample_rows / max(1, n))
-        return rows.filter(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1_000_000)) < int(part * 1_000_000))
+        if n <= sample_rows:
+            return rows
+        # the share of 2**63 hashes: some rows at any size
+        return rows.filter(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit((1 << 63) - 1)) < sample_rows * (1 << 63) // n)
 
     def rows(df: DataFrame) -> np.ndarray:
         found = tb.scan_texts(df.select("text"), "text", _feature_array, "x array<double>").collect()
@@ -190,6 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     unlabelled = rows(some(d, docs.count(), 2).join(known, "id", "left_anti"))
     if not len(unlabelled):
         unlabelled = rows(some(d.filter(~held_out("id")), docs.count(), 2))
+    if (not len(positive) or not len(unlabelled)) and not docs.isEmpty():
+        raise ValueError("no trusted positives or no unlabelled text: the classifier can't be fitted")
     return fit(positive, unlabelled, negative)
 
 
