@@ -112,3 +112,18 @@ def test_pivots_bound_a_list():
     for i in range(len(sketch)):
         sketch[i, rng.choice(64, 6, replace=False)] = rng.integers(0, 256, 6, dtype=np.uint8)
     assert len(pivot_edges(sketch, 64, 43)) == len(sketch) - 1
+
+
+def test_rows_of_a_shuffled_input_are_numbered_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from touchline.llm.near_dups import drop_near_duplicates
+    from touchline.llm.store import fixed
+
+    path = str(tmp_path / "s")
+    spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(w), (F.col("id") % 100).cast("string")) for w in "abcdefgh")).alias("text")).write.parquet(path)
+    read = spark.read.parquet(path)
+    assert fixed(read.filter("doc_id >= 0").select("doc_id", "text")).inputFiles() == read.inputFiles()
+    mixed = read.repartition(7, F.rand())
+    assert set(fixed(mixed).inputFiles()).isdisjoint(read.inputFiles())
+    assert sorted(r[0] for r in drop_near_duplicates(mixed).select("doc_id").collect()) == list(range(100))

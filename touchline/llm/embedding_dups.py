@@ -40,8 +40,10 @@ VECTORS_PER_CELL = 512
 BLOCK = 1024
 #: Lengths of vectors, the commonest, that get codebooks; the vectors of any other length share one cell.
 MOST_LENGTHS = 64
-#: Rows that a scan gives at once, and sums of two bounds that it holds.
-POST_ROWS, POST_SUMS = 8192, 1 << 22
+#: Rows that a scan gives at once, and bounds that it holds.
+POST_ROWS, POST_BOUNDS = 8192, 1 << 18
+#: Sampled vectors, at least, for each code: this alone bounds the number of codes.
+SAMPLES_PER_CODE = 8
 
 
 @dataclass
@@ -73,10 +75,22 @@ class Index:
         return a * self.size + b
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, cell) for each cell that a vector reaches before the stop."""
-        a, b = self.bounds(x)
-        at, i, j = np.nonzero(a[:, :, None] + b[:, None, :] <= self.stop)
-        return at, i * self.size + j
+        """(vector, cell) for each cell that a vector reaches before the stop, nearest cells first.
+
+        Both halves' codes are gone through in the order of their bounds; the second half's run for a code of the first ends
+        where the sum passes the stop, so only cells that are reached take memory.
+        """
+        at, cells = [], []
+        for v, (a, b) in enumerate(zip(*self.bounds(x), strict=True)):
+            first, second = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+            near = np.searchsorted(b[second], self.stop - a[first], side="right")
+            near = near[: int(np.count_nonzero(near))]
+            i = np.repeat(first[: len(near)], near)
+            j = second[np.arange(len(i)) - np.repeat(np.cumsum(near) - near, near)]
+            order = np.argsort(a[i] + b[j], kind="stable")
+            at.append(np.full(len(i), v))
+            cells.append((i * self.size + j)[order])
+        return np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(cells or [np.zeros(0, np.int64)])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -123,7 +137,7 @@ def _post(indexes: dict[int, Index], threshold: float):
 
     def of_length(batch: pa.RecordBatch, index: Index) -> Iterator[pa.RecordBatch]:
         x = unit(_matrix(tb.column(batch, "vector")))
-        step = int(np.clip(POST_SUMS // index.size**2, 1, 1024))
+        step = int(np.clip(POST_BOUNDS // index.size, 1, 1024))
         for at in range(0, len(x), step):
             part = x[at : at + step]
             own = index.cells(part)
@@ -255,7 +269,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector: str = "
     indexes = {}
     for r in lengths:
         some = [v.vector for v in sample if len(v.vector) == r["dim"]]
-        codes = int(np.clip(np.sqrt(r["most"] / vectors_per_cell), 1, 256))
+        codes = int(np.clip(np.sqrt(r["most"] / vectors_per_cell), 1, max(1, len(some) // SAMPLES_PER_CODE)))
         if some and codes > 1 and r["dim"] > 1:
             indexes[r["dim"]] = fit(unit(np.array(some)), codes, threshold)
 

@@ -10,7 +10,7 @@ a banded bit-parallel edit distance, many pairs at a time.
 
 Shorter lines stay.  A document all of whose lines go keeps an empty text; ``drop_empty`` drops it.
 Nulls: a null text stays null; a null id comes after all others; repeated rows are later copies.
-``docs`` must give the same rows in the same order whenever it is read (a table of files does).
+A ``docs`` that isn't a plain scan of files is written to the shared folder first, so that its rows are numbered once.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .components import components
-from .store import forget, settle
+from .store import fixed, forget, settle
 
 EDITS = 2
 MIN_CHARS = 24
@@ -268,6 +268,7 @@ def _without(carried: list[str]) -> Callable:
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, drop_empty: bool = False) -> DataFrame:
     """``docs`` with its repeated lines removed, and n_removed_lines."""
+    docs = fixed(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("doc"), F.col(f"`{text}`").alias("text"))
     occurrences = settle(rows.mapInArrow(_occurrences(min_chars), "row long, doc long, number int, line long"), "occurrences")
     posted = rows.select("text").mapInArrow(_post(min_chars, edits), "key long, line long, note int")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .store import forget, settle
+from .store import fixed, forget, settle
 
 COORDS = 64
 LONG_LIST = 4096
@@ -368,6 +368,7 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one with the smallest id."""
+    docs = fixed(docs)
     found = near_duplicates(docs, **options).filter("first_row").select(F.col("row").alias("_row"))
     return docs.withColumn("_row", F.monotonically_increasing_id()).join(found, "_row", "left_semi").drop("_row")
 

@@ -33,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir; a local one only where none is set and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         named = tempfile.mkdtemp(prefix="touchline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/touchline-{spark.sparkContext.applicationId}"
@@ -57,3 +59,11 @@ def forget(df: DataFrame) -> None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
         if "/touchline-" in folder.toString():
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` where it only reads files, so that rows are numbered alike whenever it is read; else it is written first."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    return df if node.nodeName() in ("LogicalRelation", "Relation") else settle(df, "input")

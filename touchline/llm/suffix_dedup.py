@@ -14,8 +14,8 @@ smaller id, or in the same document before.  No shuffle ever holds all suffixes:
 3.  The spans found are merged for each document and cut out.
 
 Nulls: a null text is empty; a null id comes after all others; repeated ids are told apart by the
-order of the rows.  ``docs`` must give the same rows in the same order whenever it is read (a table
-of files does).
+order of the rows.  A ``docs`` that isn't a plain scan of files is written to the shared folder first, so
+that its rows are numbered once.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .store import fixed
 
 GRAM = 32
 #: Starts of strings that one finer piece serves.
@@ -426,6 +427,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100, long_group: int = LONG_GROUP, array_bytes: int = ARRAY_BYTES) -> tuple[DataFrame, DataFrame]:
     """(row, doc, text) of ``docs`` and the spans (row, b, e) of bytes to remove; spans may overlap."""
+    docs = fixed(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("doc"), F.col(f"`{text}`").alias("text"))
     found = rows.mapInArrow(_find_anchors(length), "h long, around long, doc long, row long, code long, again boolean")
     met = found.repartition("h").sortWithinPartitions("h", "around", "doc", "row", "code").mapInArrow(_meet, "row long, code long, n int")
