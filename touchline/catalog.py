@@ -117,6 +117,14 @@ def _aliases(spark: SparkSession, sf: str) -> DataFrame:
     return relation(spark, sf, "teams").select("team_id", F.explode(names.aliases(F.col("canonical_name"))).alias("alias"))
 
 
+def _alias_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Events scored against generated aliases too; every third team's aliases hold for one competition only."""
+    code = F.when(F.col("team_id") % 3 == 0, F.concat(F.lit("c"), (F.col("team_id") % 2).cast("string")))
+    known = _aliases(spark, sf).select("team_id", "alias", F.lit(None).cast("string").alias("source_system"), code.alias("competition_code"))
+    events = relation(spark, sf, "raw_names").withColumn("competition_code", F.concat(F.lit("c"), (F.col("event_id") % 2).cast("string")))
+    return resolve.candidates(events, relation(spark, sf, "teams"), aliases=known)
+
+
 def _decisions(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.decide(_candidates(spark, sf))
 
@@ -157,6 +165,7 @@ def queries() -> dict[str, Query]:
         "standings_strength": _on("standings", resolve.standings_strength),
         "name_normalise": lambda s, d: table(s, d, "part").select("p_partkey", names.normal(F.col("p_name")).alias("normal")),
         "name_candidates": _candidates,
+        "alias_candidates": _alias_candidates,
         "alias_generate": _aliases,
         "resolver_decisions": _decisions,
         "resolver_effects": _effects,

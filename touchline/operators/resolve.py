@@ -16,25 +16,46 @@ def in_scope(alias_value: Column, event_value: Column) -> Column:
     return alias_value.isNull() | (alias_value == event_value)
 
 
-def _pieces(form: Column) -> Column:
-    """Keys by which similar names meet: the words, and the words' leading three letters."""
-    words = F.filter(F.split(form, " "), lambda w: w != "")
-    return F.array_distinct(F.concat(words, F.transform(words, lambda w: F.concat(F.lit("~"), F.substring(w, 1, 3)))))
-
-
-def candidates(events: DataFrame, teams: DataFrame, stopwords: tuple[str, ...] = names.STOPWORDS_RESOLVE, weights: tuple[float, float, float] = TEAM_WEIGHTS, exact: float = 0.98, least: float = LEAST_SCORE, keep: int = KEEP) -> DataFrame:
+def _meeting(form: Column, event: bool) -> Column:
+    """Keys by which names meet that can be alike: a shared word, or, where one may hold the other, the shorter's
+    first three letters among the longer's runs of three."""
+    words = F.transform(F.filter(F.split(form, " "), lambda w: w != ""), lambda w: F.concat(F.lit("="), w))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(form) - (n - 1), F.lit(1))), lambda i: F.substring(form, i, F.lit(n)))
+    # names of less than three letters can only lie in names of four at most, if they are to be alike
+    grams = F.concat(runs(3), F.when(F.length(form) <= 4, F.concat(runs(1), runs(2))).otherwise(F.array().cast("array<string>")))
+    lead = F.array(F.substring(form, 1, 3))
+    marked = lambda mark, keys: F.transform(keys, lambda k: F.concat(F.lit(mark), k))
+    return F.when(form == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(words, marked("<", lead if event else grams), marked(">", grams if event else lead))))
+
+
+def _scored(events: DataFrame, known: DataFrame, exact: float, weights: tuple[float, float, float], least: float) -> DataFrame:
+    """(event_id, scope columns of both, team_id, score) for events (raw) and known names (form) that are alike."""
+    e = events.withColumn("piece", F.explode(_meeting(F.col("raw"), True)))
+    t = known.withColumn("piece", F.explode(_meeting(F.col("form"), False)))
+    ratio = F.least(F.length("raw"), F.length("form")) / F.greatest(F.length("raw"), F.length("form"))
+    pairs = e.join(t, "piece").filter(F.col("piece").startswith("=") | (ratio * weights[1] >= least)).drop("piece").distinct()
+    return pairs.withColumn("score", names.similarity(F.col("raw"), F.col("form"), exact, weights)).filter(F.col("score") >= least)
+
+
+def candidates(events: DataFrame, teams: DataFrame, stopwords: tuple[str, ...] = names.STOPWORDS_RESOLVE, weights: tuple[float, float, float] = TEAM_WEIGHTS, exact: float = 0.98, least: float = LEAST_SCORE, keep: int = KEEP, aliases: DataFrame | None = None) -> DataFrame:
     """The best teams of each event by name similarity: (event_id, team_id, canonical_name, score, rank).
 
-    Only names that share a word or a word's first three letters meet; a name inside another's word
-    without such a lead has a similarity that this leaves out.
+    ``aliases`` (team_id, alias, source_system, competition_code) are scored too, those whose scope is the
+    event's or open; a team has its best score.  No pair that can reach ``least`` is left out.
     """
     form = lambda c: names.without(names.normal(F.col(c)), stopwords)
-    e = events.select("event_id", form("raw_name").alias("raw")).withColumn("piece", F.explode(_pieces(F.col("raw"))))
-    t = teams.select("team_id", "canonical_name", form("canonical_name").alias("canon")).withColumn("piece", F.explode(_pieces(F.col("canon"))))
-    pairs = e.join(t, "piece").select("event_id", "raw", "team_id", "canonical_name", "canon").distinct()
-    scored = pairs.withColumn("score", names.similarity(F.col("raw"), F.col("canon"), exact, weights)).filter(F.col("score") >= least)
+    scope = ("source_system", "competition_code")
+    e = events.select("event_id", form("raw_name").alias("raw"), *((F.col(c) if c in events.columns else F.lit(None).cast("string")).alias(f"event_{c}") for c in scope))
+    found = _scored(e, teams.select("team_id", form("canonical_name").alias("form")), exact, weights, least).select("event_id", "team_id", "score")
+    if aliases is not None:
+        known = aliases.select("team_id", form("alias").alias("form"), *scope)
+        by_alias = _scored(e, known, 1.0, ALIAS_WEIGHTS, least)
+        for c in scope:
+            by_alias = by_alias.filter(in_scope(F.col(c), F.col(f"event_{c}")))
+        found = found.unionByName(by_alias.select("event_id", "team_id", "score"))
+    best = found.groupBy("event_id", "team_id").agg(F.max("score").alias("score")).join(teams.select("team_id", "canonical_name"), "team_id")
     w = Window.partitionBy("event_id").orderBy(F.desc("score"), "canonical_name", "team_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep).select("event_id", "team_id", "canonical_name", "score", "rank")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep).select("event_id", "team_id", "canonical_name", "score", "rank")
 
 
 def decide(found: DataFrame, approve: tuple[float, float] = (0.95, 0.08), provisional: tuple[float, float] = (0.78, 0.05)) -> DataFrame:

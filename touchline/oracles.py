@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .functions import names
 from .sources import relations as r
 
 
 def _with(*parts: tuple[str, str]) -> str:
-    return "with " + ",\n".join(f"{n} as ({q})" for n, q in parts) + "\n"
+    # chains of long expressions (fc...) are held, or they would be put into one another
+    return "with " + ",\n".join(f"{n} as {'materialized ' * n.startswith('fc')}({q})" for n, q in parts) + "\n"
 
 
 def features(matches: str = r.MATCHES) -> list[tuple[str, str]]:
@@ -120,6 +122,81 @@ def results() -> list[tuple[str, str]]:
     ]
 
 
+_NORMAL = r"trim(regexp_replace(regexp_replace(replace(replace(lower(trim({0})),'-',' '),'/',' '),'[^a-z0-9\s]','','g'),'\s+',' ','g'))"
+
+
+def resolver() -> list[tuple[str, str]]:
+    """Every event with every name: nothing is left out by how names meet."""
+    stop = ", ".join(f"'{w}'" for w in names.STOPWORDS_RESOLVE)
+    bare = lambda x: f"case when array_to_string(list_filter(string_split({x},' '), lambda w: w not in ({stop})),' ') = '' then {x} else array_to_string(list_filter(string_split({x},' '), lambda w: w not in ({stop})),' ') end"
+    pre, suf = "|".join(names.PREFIXES), "|".join(names.SUFFIXES)
+    prefix = lambda x: f"trim(regexp_replace({x}, '^(({pre})\\s+)+', ''))"
+    suffix = lambda x: f"trim(regexp_replace({x}, '(\\s+({suf}))+$', ''))"
+    years = lambda x: f"trim(regexp_replace(regexp_replace({x}, '\\b(18|19|20)[0-9]{{2}}\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+    affix = lambda x: suffix(prefix(x))
+
+    def scored(known: str, exact: str, weights: tuple[float, float, float], where: str) -> str:
+        words = "list_distinct(list_filter(string_split({0},' '), lambda w: w <> ''))"
+        return f"""select event_id, team_id, case when raw = form then {exact} else round_even(greatest(
+              {weights[0]}e0 * len(list_intersect(rw, fw)) / len(list_distinct(list_concat(rw, fw))),
+              {weights[1]}e0 * case when contains(raw, form) or contains(form, raw) then least(length(raw), length(form)) / greatest(length(raw), length(form)) else 0 end,
+              {weights[2]}e0 * coalesce(list_min(list_filter(range(1, least(len(rs), len(fs)) + 1), lambda i: rs[i] <> fs[i])) - 1, least(len(rs), len(fs))) / greatest(len(rs), len(fs))), 4) end as score
+            from (select *, {words.format('raw')} as rw, {words.format('form')} as fw, string_split(raw,' ') as rs, string_split(form,' ') as fs from raws cross join {known} where raw <> '' and form <> '' {where})"""
+
+    ranked = lambda q: f"select event_id, team_id, canonical_name, score, cast(row_number() over (partition by event_id order by score desc, canonical_name, team_id) as int) as rank from (select event_id, team_id, max(score) as score from ({q}) where score >= 0.45e0 group by 1, 2) join teams using (team_id) qualify rank <= 5"
+    by_team = scored("team_forms", "0.98e0", (0.80, 0.88, 0.70), "")
+    return [
+        ("teams", r.TEAMS), ("events_raw", r.RAW_NAMES),
+        ("team_norm", f"select team_id, canonical_name, {_NORMAL.format('canonical_name')} as n from teams"),
+        ("team_forms", f"select team_id, {bare('n')} as form from team_norm"),
+        ("raws", f"select event_id, 'c' || (event_id % 2) as code, {bare('n')} as raw from (select event_id, {_NORMAL.format('raw_name')} as n from events_raw)"),
+        ("bare_names", f"select team_id, n, {years('n')} as b, string_split(n,' ') as ws from team_norm"),
+        ("derived", f"""select team_id, unnest([n, b, {prefix('n')}, {suffix('n')}, {affix('n')}, {prefix('b')}, {affix('b')},
+            case when len(ws)>=2 then array_to_string(ws[-2:],' ') end, case when len(ws)>=3 then array_to_string(ws[-3:],' ') end]) as a from bare_names"""),
+        ("alias_list", f"select distinct team_id, alias from (select team_id, {affix(years('a'))} as alias from derived where a is not null) where length(alias) >= 3"),
+        ("alias_forms", f"select team_id, case when team_id % 3 = 0 then 'c' || (team_id % 2) end as scope, {bare('n')} as form from (select team_id, {_NORMAL.format('alias')} as n from alias_list)"),
+        ("found", ranked(by_team)),
+        ("found_by_alias", ranked(by_team + " union all " + scored("alias_forms", "1e0", (0.85, 0.90, 0.75), "and (scope is null or scope = code)"))),
+        ("decided", """select event_id, team_id, score, margin, case when score>=0.95e0 and margin>=0.08e0 then 'approved' when score>=0.78e0 and margin>=0.05e0 then 'provisional' else 'no_match' end as decision
+            from (select *, round_even(score - coalesce(lead(score) over (partition by event_id order by rank), 0), 4) as margin from found) where rank = 1"""),
+    ]
+
+
+def forecasts() -> list[tuple[str, str]]:
+    odds = "case when home_odds<=1.10e0 then 0.90e0 when home_odds<=1.25e0 then 0.80e0 when home_odds<=1.50e0 then 0.65e0 when home_odds<=2e0 then 0.50e0 when home_odds<=2.5e0 then 0.35e0 when home_odds is not null then 0.20e0 end"
+    share = lambda c: f"case when {c} <> '' then {_SHARE.format(c)} end"
+    three = lambda f, src: f"select * exclude (p1, p2, p3), {', '.join(f.format(f'p{i}') + f' as p{i}' for i in (1, 2, 3))} from {src}"
+    normal, held = "{0}/(p1+p2+p3)", "greatest(0.08e0, least(0.70e0, {0}))"
+    before = lambda i: " + ".join(f"(r{j} {'>' if j > i else '>='} r{i})::int" for j in (1, 2, 3) if j != i)
+    edge = lambda n: f"round_even({n}_pct/100e0 - fair_{'home' if n == 'win' else n}, 6)"
+    value = lambda s: f"coalesce(coalesce(bookmaker_count,0)>=5 and confidence_score>=35 and edge_{s} between 0.03e0 and 0.25e0 and ev_{s} between 0.05e0 and 0.50e0, false)"
+    return [
+        ("fc1", f"select *, case when home_strength is not null then greatest(0e0, least(1e0, home_strength/100)) end as hs, case when away_strength is not null then greatest(0e0, least(1e0, away_strength/100)) end as aws, {share('home_form')} as sh, {share('away_form')} as sa, {odds} as f_market from feats"),
+        ("fc2", "select *, hs/(hs+aws+1e-9) as f_strength, case when sa is not null then (sh+0.5e0)/(sh+sa+1) else sh end as f_form from fc1"),
+        ("fc3", """select *, (f_strength is not null)::int + (f_form is not null)::int + 1 + (f_market is not null)::int as n_known,
+            (coalesce(0.36e0*f_strength,0)+coalesce(0.22e0*f_form,0)+0.08e0*0.52e0+coalesce(0.04e0*f_market,0)) / (case when f_strength is not null then 0.36e0 else 0 end + case when f_form is not null then 0.22e0 else 0 end + 0.08e0 + case when f_market is not null then 0.04e0 else 0 end) as x from fc2"""),
+        ("fc4", "select *, greatest(0.05e0, least(0.90e0, x - case when aws > hs or hs is null then coalesce(greatest(aws - hs, 0e0)*0.25e0, 0) else 0 end)) as home from fc3"),
+        ("fc5", "select *, greatest(0.08e0, 0.27e0*exp(-3.5e0*abs(home-0.5e0))) as draw from fc4"),
+        ("fc6", "select *, greatest(0.05e0, 1-home-draw) as away, coalesce(home_odds>1 and draw_odds>1 and away_odds>1, false) as ok, 1/home_odds+1/draw_odds+1/away_odds as t from fc5"),
+        ("fc7", "select *, case when ok then round_even(1/home_odds/t,6) end as fair_home, case when ok then round_even(1/draw_odds/t,6) end as fair_draw, case when ok then round_even(1/away_odds/t,6) end as fair_away, case when ok then round_even(t,6) end as overround, home+draw+away as mass from fc6"),
+        ("fc8", "select *, " + ", ".join(f"case when ok then 0.75e0*({s}/mass)+0.25e0*fair_{s} else {s}/mass end as p{i}" for i, s in ((1, "home"), (2, "draw"), (3, "away"))) + " from fc7"),
+        ("fc9", three(normal, "fc8")), ("fc10", three(held, "fc9")), ("fc11", three(normal, "fc10")), ("fc12", three(held, "fc11")), ("fc13", three(normal, "fc12")),
+        ("fc14", "select *, " + ", ".join(f"p{i}/(p1+p2+p3)*100e0 as v{i}" for i in (1, 2, 3)) + " from fc13"),
+        ("fc15", "select *, " + ", ".join(f"v{i}-floor(v{i}) as r{i}" for i in (1, 2, 3)) + ", 100-floor(v1)-floor(v2)-floor(v3) as rest from fc14"),
+        ("fc16", "select *, " + ", ".join(f"cast(floor(v{i}) + ({before(i)} < rest)::int as int) as {n}_pct" for i, n in ((1, "win"), (2, "draw"), (3, "away"))) + " from fc15"),
+        ("fc17", """select *, case when win_pct>=away_pct and win_pct>=draw_pct then 'home' when away_pct>=win_pct and away_pct>=draw_pct then 'away' else 'draw' end as predicted_winner, greatest(win_pct, draw_pct, away_pct) as top,
+            list_filter([case when n_known<=2 then 'Wenig Datenbasis' end, case when abs(sh-sa)<0.15e0 then 'Ausgeglichene Form' end, case when abs(hs-aws)<0.10e0 then 'Ausgeglichene Stärke' end,
+              case when abs(win_pct/100e0-fair_home)>0.18e0 then 'Starke Abweichung zum Markt Heim' end, case when abs(away_pct/100e0-fair_away)>0.18e0 then 'Starke Abweichung zum Markt Auswärts' end], lambda t: t is not null) as tags from fc16"""),
+        ("fc18", f"""select *, top>=70 as is_strong_tip, case when len(tags)>=3 or n_known<=1 then 'high' when len(tags)>=1 then 'medium' else 'low' end as risk_level, array_to_string(tags, ',') as risk_tags,
+            cast(floor(greatest(0e0, least(1e0, n_known/7*0.5e0 + abs(top-50)/50*0.4e0 - len(tags)*0.05e0))*100) as int) as confidence_score,
+            {edge('win')} as edge_home, {edge('draw')} as edge_draw, {edge('away')} as edge_away,
+            case when home_odds>1 then round_even(win_pct/100e0*home_odds-1,6) end as ev_home, case when draw_odds>1 then round_even(draw_pct/100e0*draw_odds-1,6) end as ev_draw, case when away_odds>1 then round_even(away_pct/100e0*away_odds-1,6) end as ev_away from fc17"""),
+        ("fc19", f"select *, {value('home')} as value_home, {value('draw')} as value_draw, {value('away')} as value_away from fc18"),
+        ("forecast", """select match_id, win_pct, draw_pct, away_pct, confidence_score, predicted_winner, is_strong_tip, risk_level, risk_tags, fair_home, fair_draw, fair_away, overround, edge_home, edge_draw, edge_away, ev_home, ev_draw, ev_away, value_home, value_draw, value_away,
+            case when value_home and (not value_draw or ev_home>=ev_draw) and (not value_away or ev_home>=ev_away) then 'home' when value_draw and (not value_away or ev_draw>=ev_away) then 'draw' when value_away then 'away' end as top_value from fc19"""),
+    ]
+
+
 _RANKING = """count(*) as matches_evaluated, cast(sum(points) as bigint) as total_points, round(sum(points)/count(*), 2) as avg_points,
   count(*) filter (points=4) as exact_hits, round(100e0*count(*) filter (points=4)/count(*), 1) as exact_rate,
   count(*) filter (points=2) as tendency_hits, round(100e0*count(*) filter (points=2)/count(*), 1) as tendency_rate,
@@ -157,6 +234,14 @@ def sql() -> dict[str, str]:
             q as (select class, t, case when t=1e0 then p else exp(ln(least(greatest(p,1e-7),1-1e-7))/t) end as q, hit from g),
             l as (select class, t, count(*) as n, round(avg(case when hit then -ln(least(greatest(q,1e-7),1-1e-7)) else -ln(1-least(greatest(q,1e-7),1-1e-7)) end),9) as loss from q group by 1, 2)
             select class, n as n_samples, case when n<200 then 1e0 else t end as temperature, round(loss,6) as loss from l qualify row_number() over (partition by class order by loss, t) = 1""",
+        "forecast": _with(*features(), *forecasts()) + "select * from forecast",
+        "forecast_kpis": _with(*features(), *forecasts()) + "select count(*) as total, count(*) filter (is_strong_tip) as strong, cast(floor(avg(confidence_score)+0.5e0) as bigint) as mean_confidence, count(*) filter (risk_level='high') as risky from forecast",
+        "name_candidates": _with(*resolver()) + "select * from found",
+        "alias_candidates": _with(*resolver()) + "select * from found_by_alias",
+        "alias_generate": _with(*resolver()) + "select team_id, alias from alias_list",
+        "resolver_decisions": _with(*resolver()) + "select * from decided",
+        "resolver_effects": _with(*resolver()) + f"""select e.event_id, coalesce(decision,'no_match') as decision, case when decision<>'no_match' then team_id end as team_id, {_NORMAL.format('raw_name')} as alias_normalized,
+            case decision when 'provisional' then 'scoped' when 'approved' then 'global' end as alias_scope, case when coalesce(decision,'no_match')='no_match' then 'ignored' else 'resolved' end as status from events_raw e left join decided using (event_id)""",
         "devig_market": _with(("matches", r.MATCHES)) + "select match_id, " + ", ".join(f"case when home_odds>1 and draw_odds>1 and away_odds>1 then round_even({x}, 6) end as {n}" for n, x in (("fair_home", "1/home_odds/(1/home_odds+1/draw_odds+1/away_odds)"), ("fair_draw", "1/draw_odds/(1/home_odds+1/draw_odds+1/away_odds)"), ("fair_away", "1/away_odds/(1/home_odds+1/draw_odds+1/away_odds)"), ("overround", "1/home_odds+1/draw_odds+1/away_odds"))) + " from matches",
         "odds_consensus": _with(("snaps", r.ODDS_SNAPSHOTS), ("last", "select * from snaps qualify row_number() over (partition by match_id, bookmaker_id order by snapshot_ts desc, seq desc, home_odds desc, draw_odds desc, away_odds desc) = 1")) + "select match_id, round(median(home_odds),6) as median_home_odds, round(median(draw_odds),6) as median_draw_odds, round(median(away_odds),6) as median_away_odds, count(distinct bookmaker_id) as bookmaker_count from last group by 1",
         "refresh_changed_only": _with(("a", "select o_orderkey as match_id, o_orderstatus as status, o_orderpriority as code from orders"), ("b", "select o_orderkey as match_id, case when o_orderkey % 10 = 0 then 'X' else o_orderstatus end as status, case when o_orderkey % 15 = 0 then null else o_orderpriority end as code from orders where o_orderkey % 2 = 0")) + "select b.* from a join b using (match_id) where a.status is distinct from b.status or a.code is distinct from b.code",
