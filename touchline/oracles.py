@@ -244,12 +244,12 @@ def sql() -> dict[str, str]:
             case decision when 'provisional' then 'scoped' when 'approved' then 'global' end as alias_scope, case when coalesce(decision,'no_match')='no_match' then 'ignored' else 'resolved' end as status from events_raw e left join decided using (event_id)""",
         "devig_market": _with(("matches", r.MATCHES)) + "select match_id, " + ", ".join(f"case when home_odds>1 and draw_odds>1 and away_odds>1 then round_even({x}, 6) end as {n}" for n, x in (("fair_home", "1/home_odds/(1/home_odds+1/draw_odds+1/away_odds)"), ("fair_draw", "1/draw_odds/(1/home_odds+1/draw_odds+1/away_odds)"), ("fair_away", "1/away_odds/(1/home_odds+1/draw_odds+1/away_odds)"), ("overround", "1/home_odds+1/draw_odds+1/away_odds"))) + " from matches",
         "odds_consensus": _with(("snaps", r.ODDS_SNAPSHOTS), ("last", "select * from snaps qualify row_number() over (partition by match_id, bookmaker_id order by snapshot_ts desc, seq desc, home_odds desc, draw_odds desc, away_odds desc) = 1")) + "select match_id, round(median(home_odds),6) as median_home_odds, round(median(draw_odds),6) as median_draw_odds, round(median(away_odds),6) as median_away_odds, count(distinct bookmaker_id) as bookmaker_count from last group by 1",
-        "refresh_changed_only": _with(("a", "select o_orderkey as match_id, o_orderstatus as status, o_orderpriority as code from orders"), ("b", "select o_orderkey as match_id, case when o_orderkey % 10 = 0 then 'X' else o_orderstatus end as status, case when o_orderkey % 15 = 0 then null else o_orderpriority end as code from orders where o_orderkey % 2 = 0")) + "select b.* from a join b using (match_id) where a.status is distinct from b.status or a.code is distinct from b.code",
-        "upsert_merge": _with(("a", "select o_orderkey as k, o_orderstatus as status, o_totalprice as price from orders where o_orderkey % 3 <> 0"), ("b", "select o_orderkey as k, 'N' as status, o_totalprice+1 as price from orders where o_orderkey % 2 = 0")) + "select coalesce(a.k,b.k) as k, case when b.k is null then a.status else b.status end as status, case when a.k is null then b.price else a.price end as price from a full outer join b on a.k=b.k",
-        "insert_if_absent": _with(("a", "select distinct o_custkey as k from orders where o_custkey % 4 <> 0")) + "select c_custkey as k, c_name as name from customer where c_custkey not in (select k from a)",
+        "refresh_changed_only": _with(("a", "select o_orderkey as match_id, o_orderstatus as status, o_orderpriority as code from orders"), ("b", "select o_orderkey as match_id, case when o_orderpriority like '1%' then 'X' else o_orderstatus end as status, case when o_orderstatus = 'P' then null else o_orderpriority end as code from orders")) + "select b.* from a join b using (match_id) where a.status is distinct from b.status or a.code is distinct from b.code",
+        "upsert_merge": _with(("a", "select o_orderkey as k, o_orderstatus as status, o_totalprice as price from orders where o_orderstatus <> 'F'"), ("b", "select o_orderkey as k, 'N' as status, o_totalprice+1 as price from orders where o_orderstatus <> 'O'")) + "select coalesce(a.k,b.k) as k, case when b.k is null then a.status else b.status end as status, case when a.k is null then b.price else a.price end as price from a full outer join b on a.k=b.k",
+        "insert_if_absent": _with(("a", "select distinct o_custkey as k from orders where o_orderpriority like '1%'")) + "select c_custkey as k, c_name as name from customer where c_custkey not in (select k from a)",
         "dirty_semi_join": "select o_orderkey, o_custkey from orders where exists (select 1 from lineitem where l_orderkey=o_orderkey and l_returnflag='R')",
         "unresolved_anti_join": "select c_custkey, c_nationkey from customer where not exists (select 1 from nation where n_nationkey=c_nationkey and n_regionkey<>1)",
-        "event_time_match": _with(("matches", r.MATCHES), ("e", "select match_id+1000000 as event_id, competition_code, home_team_id, away_team_id, case when match_id % 13 = 0 then null else kickoff_at + to_minutes(cast(match_id % 300 as bigint)) end as at from matches where match_id % 3 <> 0")) + "select m.match_id, min(e.event_id) as event_id from matches m join e on e.competition_code=m.competition_code and (e.home_team_id=m.home_team_id) and (e.away_team_id=m.away_team_id) and (e.at is null or abs(epoch_us(e.at)-epoch_us(m.kickoff_at)) <= 10800000000) group by 1",
+        "event_time_match": _with(("matches", r.MATCHES), ("e", "select match_id+1000000 as event_id, competition_code, home_team_id, away_team_id, case when match_id % 13 = 0 then null else kickoff_at + to_minutes(cast(match_id % 300 as bigint)) end as at from matches")) + "select m.match_id, min(e.event_id) as event_id from matches m join e on e.competition_code=m.competition_code and (e.home_team_id=m.home_team_id) and (e.away_team_id=m.away_team_id) and (e.at is null or abs(epoch_us(e.at)-epoch_us(m.kickoff_at)) <= 10800000000) group by 1",
         "standings_strength": _with(("s", r.STANDINGS)) + "select comp_id, team_id, cast(greatest(0, least(100, round_even(35+55*case when hi>lo then (hi-position)/(hi-lo) else 0.5e0 end + least(points/10, 10), 0))) as int) as strength from (select *, min(position) over (partition by comp_id) as lo, max(position) over (partition by comp_id) as hi from s)",
         "name_normalise": "select p_partkey, trim(regexp_replace(regexp_replace(replace(replace(lower(trim(p_name)),'-',' '),'/',' '),'[^a-z0-9\\s]','','g'),'\\s+',' ','g')) as normal from part",
         "league_chips": _with(("matches", r.MATCHES)) + "select competition_code, count(*) as n_matches, cast(min(kickoff_at) as timestamp) as first_kickoff from matches group by 1",
