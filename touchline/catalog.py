@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracle_jobs, oracles
 from .functions import names
-from .operators import calibration, features, forecast, merge, models, odds, reports, resolve
+from .operators import calibration, client, competitions, detect, features, forecast, merge, models, odds, reports, resolve, scans
 from .plans.backtest import backtest
 from .sources.relations import relation, table
 
@@ -134,6 +134,127 @@ def _effects(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.effects(_decisions(spark, sf), relation(spark, sf, "raw_names"))
 
 
+AS_OF = "2024-01-15 12:00:00"
+
+
+def _competition_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return competitions.candidates(relation(spark, sf, "competition_events"), relation(spark, sf, "competitions"))
+
+
+def _competition_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return competitions.decide(relation(spark, sf, "competition_events"), _competition_candidates(spark, sf))
+
+
+def _competition_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Every mapping of the old table, half of which is of codes that events resolve anew."""
+    events = relation(spark, sf, "competition_events")
+    old = table(spark, sf, "customer").select(F.lit("odds_api").alias("source_system"), F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("external_code"), F.lit("OLD").alias("competition_code"), F.col("c_name").alias("external_name"), F.lit(False).alias("is_active"))
+    return competitions.mappings(old, events, _competition_decisions(spark, sf))
+
+
+def _competition_notes(spark: SparkSession, sf: str) -> DataFrame:
+    events = relation(spark, sf, "competition_events").withColumns({"status": F.lit("new"), "context": F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("seen"), F.lit("1")))})
+    noted = competitions.with_note(events, _competition_decisions(spark, sf), AS_OF)
+    said = F.get_json_object(F.try_element_at("context", F.lit("auto_resolve_decision")), "$.decision")
+    return noted.select("event_id", "status", F.size("context").alias("n_keys"), said.alias("decision"))
+
+
+def _detected(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.stored(detect.best_events(relation(spark, sf, "named_matches"), relation(spark, sf, "api_events"), relation(spark, sf, "team_aliases")))
+
+
+def _detected_events(spark: SparkSession, sf: str) -> DataFrame:
+    out = detect.alias_events(_detected(spark, sf), relation(spark, sf, "team_aliases"))
+    return out.select("competition_code", "raw_name", "raw_normalized", "side", "status", F.get_json_object("context", "$.match_id").cast("long").alias("match_id"))
+
+
+def _extracted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Snapshots and unmatched matches; one bookmaker corrects a price, the other's last price isn't always valid."""
+    known = relation(spark, sf, "team_aliases")
+    price = lambda name, p: F.struct(name.alias("name"), p.cast("double").alias("price"))
+    home, away, draw, n = F.col("home_team"), F.col("away_team"), F.lit("Draw"), F.col("event_id")
+    book = lambda key, *outcomes: F.struct(F.lit(key).alias("key"), F.upper(F.lit(key)).alias("title"), F.lit("t").alias("last_update"), F.array(F.struct(F.lit("h2h").alias("key"), F.array(*outcomes).alias("outcomes"))).alias("markets"))
+    books = F.array(
+        book("b1", price(home, F.lit(9.9)), price(draw, F.lit(3.0)), price(away, 2 + n % 7), price(home, 1.5 + n % 10)),
+        book("b2", price(home, 1.25 + n % 4), price(draw, F.lit(3.5)), price(away, F.lit(2.5)), price(away, F.when(n % 3 == 0, 1.0).otherwise(2.75))),
+    )
+    sides = lambda p: {f"{s}_names": F.col(f"{p}{s}_set") for s in detect.SIDES}
+    m = detect.known_forms(relation(spark, sf, "named_matches"), ["match_id"], known, "f_", names.STOPWORDS_MATCH).withColumns(sides("f_") | {"league": F.col("sport_key")})
+    e = relation(spark, sf, "api_events").withColumn("competition_code", F.expr("substring(sport_key, 7)"))
+    e = detect.known_forms(e, ["event_id"], known, "f_", names.STOPWORDS_MATCH).withColumns(sides("f_") | {"league": F.col("sport_key"), "bookmakers": books})
+    cast = lambda df: df.withColumn("kickoff_at", F.col("kickoff_at").cast("timestamp"))
+    return odds.extract(cast(m), cast(e), AS_OF)
+
+
+def _unmatched_events(spark: SparkSession, sf: str) -> DataFrame:
+    out = detect.unmatched_alias_events(_extracted(spark, sf)[1], relation(spark, sf, "api_events"), relation(spark, sf, "team_aliases"))
+    return out.select("competition_code", "raw_name", "raw_normalized", "side", "status", F.get_json_object("context", "$.db_home_team").alias("db_home_team"))
+
+
+def _forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    return forecast.forecast(_featured(spark, sf))
+
+
+def _agent(spark: SparkSession, sf: str) -> DataFrame:
+    """Every eleventh match has an opinion from outside."""
+    given = relation(spark, sf, "matches").filter("match_id % 11 = 0").select("match_id", F.lit("home").alias("winner"), F.lit("2:1").alias("score"), F.lit(None).cast("string").alias("other_score"), (F.col("match_id") % 100).alias("confidence"))
+    return client.agent(_featured(spark, sf), _forecasts(spark, sf), given)
+
+
+def _mapping(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of odds feeds for the competitions of matches but one; of two of a code the later."""
+    codes = relation(spark, sf, "matches").select("competition_code").distinct().filter("competition_code <> 'error'")
+    rows = codes.select("competition_code", F.inline(F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(on).alias("is_active"), F.lit(at).alias("updated_at")) for t, on, at in (("old", True, 1), ("new", True, 2), ("off", False, 3))))))
+    return scans.active_map(rows.select("competition_code", F.lit("odds_api").alias("source_system"), F.concat_ws("_", "tag", "competition_code").alias("external_code"), "is_active", "updated_at"), "odds_api")
+
+
+def _window(spark: SparkSession, sf: str) -> DataFrame:
+    m = scans.upcoming(relation(spark, sf, "matches"), AS_OF, 7, back_hours=2)
+    return scans.mapped(m, _mapping(spark, sf)).select("match_id", "competition_code", "external_code", "kickoff_at")
+
+
+def _dirty_window(spark: SparkSession, sf: str) -> DataFrame:
+    dirty = table(spark, sf, "events").filter("event_type = 'view'").select(F.col("event_id").alias("match_id"))
+    return scans.upcoming(relation(spark, sf, "matches"), AS_OF, 3, dirty=dirty).select("match_id", "kickoff_at")
+
+
+def _pending(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderstatus") == "O", "new").otherwise("resolved").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return scans.pending(e, 200)
+
+
+def _enriched(spark: SparkSession, sf: str) -> DataFrame:
+    extra = table(spark, sf, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("match_id"), F.col("o_orderpriority").alias("level"), F.when(F.col("o_orderstatus") == "O", 70).alias("home_strength"))
+    return scans.enriched(relation(spark, sf, "matches_multi"), extra, "match_id", {"level": "none", "home_strength": 50}).select("match_id", "level", "home_strength")
+
+
+def _strengths(spark: SparkSession, sf: str) -> DataFrame:
+    m = relation(spark, sf, "matches").withColumn("away_team_id", F.when(F.col("match_id") % 17 != 0, F.col("away_team_id")))
+    table_rows = resolve.standings_strength(relation(spark, sf, "standings")).filter("team_id % 3 = 0 AND team_id < 30")
+    return scans.with_strengths(m, table_rows, scans.recent_form(m)).select("match_id", "home_strength", "away_strength", "form_home", "form_away")
+
+
+def _seasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Form over the year before and the year itself, shown for the latter."""
+    m = relation(spark, sf, "matches_multi")
+    of = lambda year: m.filter(F.year("kickoff_at") == F.lit(year))
+    both = scans.seasons(of(1997), of(1996))
+    return features.with_features(both).filter("is_current").select("match_id", "home_form", "away_form", "home_crosses_year")
+
+
+def _season_names(spark: SparkSession, sf: str) -> DataFrame:
+    y = F.year("o_orderdate").cast("string")
+    written = F.when(F.col("o_orderkey") % 4 == 0, F.concat(y, F.lit("/"), F.substring(y, 3, 2))).when(F.col("o_orderkey") % 4 == 1, y).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit(" "), F.substring(y, 3, 2), F.lit("/x"))).otherwise(F.concat(F.lit("S"), y))
+    year = scans.season_year(written)
+    return table(spark, sf, "orders").select("o_orderkey", year.alias("season_year"), scans.previous_year(year).alias("previous_year"))
+
+
+def _merged_results(spark: SparkSession, sf: str) -> DataFrame:
+    r = _results(spark, sf).select("match_id", "model_key", "points")
+    local = r.filter("model_key = 'elo' OR match_id % 2 = 0").withColumn("points", F.col("points") + 10)
+    return scans.not_yet_there(r, local, ["match_id", "model_key"])
+
+
 def queries() -> dict[str, Query]:
     return {
         "backtest": _backtest,
@@ -170,6 +291,36 @@ def queries() -> dict[str, Query]:
         "alias_generate": _aliases,
         "resolver_decisions": _decisions,
         "resolver_effects": _effects,
+        "competition_aliases": _on("competitions", competitions.aliases),
+        "competition_candidates": _competition_candidates,
+        "competition_decisions": lambda s, d: _competition_decisions(s, d).select("event_id", "competition_code", "confidence", "margin", "decision"),
+        "competition_map": _competition_map,
+        "competition_notes": _competition_notes,
+        "decision_counts": lambda s, d: _competition_decisions(s, d).groupBy("decision").agg(F.count("*").alias("n")),
+        "detected_candidates": lambda s, d: _detected(s, d).select("match_id", "event_id", "api_home", "api_away", "score", "dedup_key"),
+        "detected_alias_events": _detected_events,
+        "odds_extract": lambda s, d: _extracted(s, d)[0].select("match_id", "bookmaker_key", "bookmaker_name", "home_odds", "draw_odds", "away_odds"),
+        "odds_unmatched": lambda s, d: _extracted(s, d)[1].select("match_id", "competition_code", "home_team", "away_team"),
+        "odds_unmatched_alias_events": _unmatched_events,
+        "agent_opinion": _agent,
+        "forecast_badges": lambda s, d: client.badge(_forecasts(s, d)).select("match_id", "badge", "prob_class"),
+        "strong_tips": lambda s, d: _forecasts(s, d).filter("is_strong_tip").select("match_id", "predicted_winner", "win_pct").orderBy(F.desc("win_pct"), "match_id"),
+        "high_risk": lambda s, d: _forecasts(s, d).filter("risk_level = 'high'").select("match_id", "confidence_score"),
+        "upcoming_mapped": _window,
+        "upcoming_dirty": _dirty_window,
+        "not_past": _on("matches", lambda m: scans.not_past(m, AS_OF).select("match_id", "kickoff_at")),
+        "unmapped_competitions": lambda s, d: scans.unresolved(relation(s, d, "matches"), _mapping(s, d)),
+        "pending_events": _pending,
+        "enriched_matches": _enriched,
+        "recent_form": _on("matches", scans.recent_form),
+        "match_strengths": _strengths,
+        "teams_by_competition": _on("matches", scans.teams_by_competition),
+        "season_features": _seasons,
+        "season_names": _season_names,
+        "model_summary": _on_results(reports.model_summary),
+        "results_csv": _on_results(client.csv_lines),
+        "results_merged": _merged_results,
+        "short_names": lambda s, d: table(s, d, "part").select("p_partkey", client.short_name(F.col("p_name")).alias("short_name")),
         "league_chips": _on("matches", reports.league_chips),
         "matches_by_day": _on("matches", reports.by_day),
         "search_filter": lambda s, d: reports.search(table(s, d, "part"), "AN", ["p_name", "p_type"]).select("p_partkey", "p_name"),
@@ -181,4 +332,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql()
+    return oracles.sql() | oracle_jobs.sql()

@@ -54,6 +54,21 @@ SPECIAL_ALIASES = {
     "paris saint germain fc": ["paris saint germain", "psg"],
     "club atletico de madrid": ["atletico madrid", "atletico de madrid"],
 }
+# Aliases of competitions beside those derived from their names.
+SPECIAL_COMPETITIONS = {
+    "PREMIER_LEAGUE": ["premier league", "epl", "english premier league", "england premier league"],
+    "BUNDESLIGA": ["bundesliga", "germany bundesliga", "deutschland bundesliga"],
+    "LA_LIGA": ["la liga", "spain la liga", "spanien la liga"],
+    "SERIE_A": ["serie a", "italy serie a", "italien serie a"],
+    "LIGUE_1": ["ligue 1", "france ligue 1", "frankreich ligue 1"],
+    "EREDIVISIE": ["eredivisie", "netherlands eredivisie", "niederlande eredivisie"],
+    "PRIMEIRA_LIGA": ["primeira liga", "portugal primeira liga"],
+    "CHAMPIONSHIP": ["championship", "efl championship", "english championship"],
+    "CHAMPIONS_LEAGUE": ["champions league", "uefa champions league", "ucl"],
+    "EUROPA_LEAGUE": ["europa league", "uefa europa league", "uel"],
+    "SUPER_LIG": ["super lig", "superlig", "turkey super lig", "turkei super lig"],
+}
+
 
 
 def _folding() -> tuple[str, str]:
@@ -65,8 +80,8 @@ def _folding() -> tuple[str, str]:
 _FROM, _TO = _folding()
 
 
-def normal(text: Column, underscore: bool = False) -> Column:
-    """Lower case, umlauts spelled out, accents dropped, other signs gone, single blanks.
+def normal(text: Column, underscore: bool = False, signs: str = "") -> Column:
+    """Lower case, umlauts spelled out, accents dropped, other signs gone (or ``signs`` for each), single blanks.
 
     Accents fold for the Latin blocks; other letters are dropped.
     """
@@ -75,7 +90,7 @@ def normal(text: Column, underscore: bool = False) -> Column:
         x = F.replace(x, F.lit(a), F.lit(b))
     x = F.translate(x, _FROM, _TO)
     x = F.regexp_replace(x, "[/_-]" if underscore else "[/-]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9\s]", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9\s]", signs), r"\s+", " "))
 
 
 def without(normalised: Column, stopwords: tuple[str, ...]) -> Column:

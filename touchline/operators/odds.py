@@ -20,19 +20,31 @@ def valid(odds: Column) -> Column:
 
 
 def flatten(events: DataFrame) -> DataFrame:
-    """One row for each event and bookmaker with all three valid head-to-head odds; the last valid price of a side wins."""
+    """One row for each event and bookmaker whose last head-to-head prices of all three sides are valid odds."""
     o = F.col("outcome")
-    side = F.when(o["name"] == F.col("home_team"), "home").when(o["name"] == F.col("away_team"), "away").when(F.lower(o["name"]) == "draw", "draw")
+    name = F.trim(o["name"])
+    side = F.when(name == F.col("home_team"), "home").when(name == F.col("away_team"), "away").when(F.lower(name) == "draw", "draw")
     rows = (
         events.select("id", "sport_key", "home_team", "away_team", F.explode("bookmakers").alias("b"))
         .select("id", "sport_key", "home_team", "away_team", F.col("b.key").alias("bookmaker_key"), F.col("b.title").alias("bookmaker_name"), F.col("b.last_update").alias("last_update"), F.posexplode("b.markets").alias("m_at", "m"))
         .filter(F.col("m.key") == "h2h")
         .select("*", F.posexplode("m.outcomes").alias("o_at", "outcome"))
-        .withColumn("side", side).filter(F.col("side").isNotNull() & valid(o["price"]))
+        .withColumn("side", side).filter(F.col("side").isNotNull() & o["price"].isNotNull())
     )
     last = lambda s: F.max_by(F.when(F.col("side") == s, o["price"]), F.when(F.col("side") == s, F.struct("m_at", "o_at")))
     wide = rows.groupBy("id", "sport_key", "home_team", "away_team", "bookmaker_key", "bookmaker_name", "last_update").agg(*(last(s).alias(f"{s}_odds") for s in ("home", "draw", "away")))
-    return wide.filter("home_odds IS NOT NULL AND draw_odds IS NOT NULL AND away_odds IS NOT NULL")
+    return wide.filter(valid(F.col("home_odds")) & valid(F.col("draw_odds")) & valid(F.col("away_odds")))
+
+
+def extract(matches: DataFrame, events: DataFrame, at: str, minutes: int = BAND_MINUTES) -> tuple[DataFrame, DataFrame]:
+    """(snapshots of matched events, matches without an event).
+
+    ``matches`` as for ``match_events``; ``events`` also with id, sport_key, home_team, away_team and bookmakers.
+    """
+    met = match_events(matches, events, minutes)
+    prices = flatten(events.select(F.col("event_id").alias("id"), "sport_key", "home_team", "away_team", "bookmakers"))
+    rows = met.join(prices, met["event_id"] == prices["id"]).select("match_id", "bookmaker_key", "bookmaker_name", F.lit("1x2").alias("market_type"), F.lit("ft").alias("period"), F.lit(at).cast("timestamp_ntz").alias("snapshot_ts"), "last_update", "home_odds", "draw_odds", "away_odds")
+    return rows, matches.join(met, "match_id", "left_anti")
 
 
 def latest(snapshots: DataFrame) -> DataFrame:

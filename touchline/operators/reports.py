@@ -110,6 +110,12 @@ def season(matches: DataFrame) -> DataFrame:
     return years.orderBy(F.desc("n_matches"), "season").limit(1)
 
 
+def model_summary(results: DataFrame) -> DataFrame:
+    """Each model's averages over the results that have a value."""
+    share = lambda c: F.round(100 * F.avg(F.col(c).cast("int")), 1)
+    return results.groupBy("model_key").agg(F.count("*").alias("n"), F.round(F.avg("points"), 2).alias("avg_points"), share("is_tendency_hit").alias("tendency_pct"), share("is_exact_hit").alias("exact_pct"), F.round(F.avg("score_error_abs"), 2).alias("avg_error"), F.round(F.avg("brier_score_1x2"), 4).alias("avg_brier"))
+
+
 def weighted_consensus(results: DataFrame, votes: dict[str, int]) -> DataFrame:
     """Each match's score with most votes, its share and band; of equals the one of the first model."""
     weight = F.create_map(*(F.lit(x) for kv in votes.items() for x in kv))

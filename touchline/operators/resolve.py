@@ -16,7 +16,7 @@ def in_scope(alias_value: Column, event_value: Column) -> Column:
     return alias_value.isNull() | (alias_value == event_value)
 
 
-def _meeting(form: Column, event: bool) -> Column:
+def meeting(form: Column, event: bool) -> Column:
     """Keys by which names meet that can be alike: a shared word, or, where one may hold the other, the shorter's
     first three letters among the longer's runs of three."""
     words = F.transform(F.filter(F.split(form, " "), lambda w: w != ""), lambda w: F.concat(F.lit("="), w))
@@ -28,10 +28,10 @@ def _meeting(form: Column, event: bool) -> Column:
     return F.when(form == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(words, marked("<", lead if event else grams), marked(">", grams if event else lead))))
 
 
-def _scored(events: DataFrame, known: DataFrame, exact: float, weights: tuple[float, float, float], least: float) -> DataFrame:
+def scored(events: DataFrame, known: DataFrame, exact: float, weights: tuple[float, float, float], least: float) -> DataFrame:
     """(event_id, scope columns of both, team_id, score) for events (raw) and known names (form) that are alike."""
-    e = events.withColumn("piece", F.explode(_meeting(F.col("raw"), True)))
-    t = known.withColumn("piece", F.explode(_meeting(F.col("form"), False)))
+    e = events.withColumn("piece", F.explode(meeting(F.col("raw"), True)))
+    t = known.withColumn("piece", F.explode(meeting(F.col("form"), False)))
     ratio = F.least(F.length("raw"), F.length("form")) / F.greatest(F.length("raw"), F.length("form"))
     pairs = e.join(t, "piece").filter(F.col("piece").startswith("=") | (ratio * weights[1] >= least)).drop("piece").distinct()
     return pairs.withColumn("score", names.similarity(F.col("raw"), F.col("form"), exact, weights)).filter(F.col("score") >= least)
@@ -46,10 +46,10 @@ def candidates(events: DataFrame, teams: DataFrame, stopwords: tuple[str, ...] =
     form = lambda c: names.without(names.normal(F.col(c)), stopwords)
     scope = ("source_system", "competition_code")
     e = events.select("event_id", form("raw_name").alias("raw"), *((F.col(c) if c in events.columns else F.lit(None).cast("string")).alias(f"event_{c}") for c in scope))
-    found = _scored(e, teams.select("team_id", form("canonical_name").alias("form")), exact, weights, least).select("event_id", "team_id", "score")
+    found = scored(e, teams.select("team_id", form("canonical_name").alias("form")), exact, weights, least).select("event_id", "team_id", "score")
     if aliases is not None:
         known = aliases.select("team_id", form("alias").alias("form"), *scope)
-        by_alias = _scored(e, known, 1.0, ALIAS_WEIGHTS, least)
+        by_alias = scored(e, known, 1.0, ALIAS_WEIGHTS, least)
         for c in scope:
             by_alias = by_alias.filter(in_scope(F.col(c), F.col(f"event_{c}")))
         found = found.unionByName(by_alias.select("event_id", "team_id", "score"))
