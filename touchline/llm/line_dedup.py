@@ -6,7 +6,8 @@ id of the document, then place) stays and the others go.  A line is split into `
 one of which survives whole in any line that near.  Each different line posts its segments under its length,
 and probes, for its own and each shorter length that is near enough, the few substrings that a
 surviving segment could be.  Lines that meet and whose character counts allow it are verified with
-a banded bit-parallel edit distance, many pairs at a time.
+a banded bit-parallel edit distance, many pairs at a time.  The posts of a key with more than ``block``
+lines are dealt out in blocks that meet two by two, so no task holds or compares all lines of one key.
 
 Shorter lines stay.  A document all of whose lines go keeps an empty text; ``drop_empty`` drops it.
 Nulls: a null text stays null; a null id comes after all others; repeated rows are later copies.
@@ -31,6 +32,10 @@ EDITS = 2
 MIN_CHARS = 24
 #: Kinds of characters that are counted, modulo 8, to rule out pairs before they are compared.
 BAG = 9
+#: The lowest bit of a note above the counts; from here on it tells the side of a line whose key is of two blocks.
+SIDE = 2 + 3 * BAG
+#: Lines of a key that are compared in one task, about; a key with more is cut into blocks.
+BLOCK = 4096
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
 
@@ -177,8 +182,11 @@ def _post(min_chars: int, edits: int) -> Callable:
     return run
 
 
-def _meet(edits: int) -> Callable:
-    """Posts sorted by key, line -> pairs of different lines whose counts of characters allow a link."""
+def _meet(edits: int, block: int) -> Callable:
+    """Posts sorted by key, line -> pairs of different lines whose counts of characters allow a link; key is null there.
+
+    The posts of a key with more than ``block`` of them pass through as (line, line, key, note) instead.
+    """
 
     def allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         ok = ((x & 1) & (y >> 1 & 1)) | ((y & 1) & (x >> 1 & 1))
@@ -186,7 +194,8 @@ def _meet(edits: int) -> Callable:
         for c in range(BAG):
             d = ((x >> (2 + 3 * c)) - (y >> (2 + 3 * c))) & 7
             apart += np.minimum(d, 8 - d)
-        return (ok == 1) & (apart <= 2 * edits)
+        met = (x >> SIDE != y >> SIDE) | (x >> SIDE == 0)
+        return (ok == 1) & met & (apart <= 2 * edits)
 
     def pairs(key: np.ndarray, line: np.ndarray, note: np.ndarray) -> pa.RecordBatch:
         # a line may come from many tasks, and may probe and post at one key
@@ -210,23 +219,60 @@ def _meet(edits: int) -> Callable:
                 right.append(j)
         a, b = (line[np.concatenate(x)] if x else line[:0] for x in (left, right))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.nulls(both.shape[1], pa.int64()), pa.nulls(both.shape[1], pa.int32())], names=["a", "b", "key", "note"])
+
+    def posts_of(key: np.ndarray, line: np.ndarray, note: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(line), pa.array(line), pa.array(key), pa.array(note)], names=["a", "b", "key", "note"])
+
+    def split(now: list[np.ndarray], passing: bool) -> Iterator[pa.RecordBatch]:
+        """Whole keys; the first one only passes through where its earlier posts did."""
+        key = now[0]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([cut, [len(key)]]))
+        long = size > block
+        long[0] |= passing
+        long = np.repeat(long, size)
+        for take, give in ((~long, pairs), (long, posts_of)):
+            if take.any():
+                yield give(*(x[take] for x in now))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, passing = None, None  # passing: the key whose posts pass through
         for batch in batches:
             now = [tb.column(batch, c).to_numpy() for c in ("key", "line", "note")]
             now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            if not len(now[0]):
+                continue
+            last = now[0][-1]
+            whole = int(np.searchsorted(now[0], last))
             if whole:
-                yield pairs(*(x[:whole] for x in now))
+                yield from split([x[:whole] for x in now], now[0][0] == passing)
             rest = [x[whole:] for x in now]
+            if len(rest[0]) > block or last == passing:
+                yield posts_of(*rest)
+                rest, passing = [x[:0] for x in rest], last
         if rest is not None and len(rest[0]):
-            yield pairs(*rest)
+            yield from split(rest, rest[0][0] == passing)
 
     return run
 
 
+def _met(posted: DataFrame, edits: int, block: int) -> DataFrame:
+    """Pairs (a, b) of lines that meet at a key, each once."""
+    shape = "a long, b long, key long, note int"
+    found = settle(posted.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_meet(edits, block), shape), "line-meetings")
+    pairs = found.filter("key IS NULL").select("a", "b")
+    long = found.filter("key IS NOT NULL").groupBy("key", F.col("a").alias("line")).agg(F.bit_or("note").alias("note"))
+    # blocks of half the size, so that two of them fit in one comparison; the key of two blocks is a hash of their numbers
+    blocks = long.groupBy("key").agg(F.ceil(F.count("*") / (block // 2)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("line"), F.col("blocks"))
+    dealt = long.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0)  # two blocks: only lines of different sides
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "line", F.col("note").bitwiseOR(F.shiftleft(side, SIDE)).alias("note"))
+    between = dealt.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_meet(edits, _LAST), shape).select("a", "b")
+    return settle(pairs.unionByName(between).distinct(), "line-pairs")
+
+
 def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         line, text = [], []
@@ -266,13 +312,13 @@ def _without(carried: list[str]) -> Callable:
     return run
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, drop_empty: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, drop_empty: bool = False, block: int = BLOCK) -> DataFrame:
     """``docs`` with its repeated lines removed, and n_removed_lines."""
     docs = fixed(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("doc"), F.col(f"`{text}`").alias("text"))
     occurrences = settle(rows.mapInArrow(_occurrences(min_chars), "row long, doc long, number int, line long"), "occurrences")
     posted = rows.select("text").mapInArrow(_post(min_chars, edits), "key long, line long, note int")
-    pairs = settle(posted.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_meet(edits), "a long, b long").distinct(), "line-pairs")
+    pairs = _met(posted, edits, block)
 
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
     # a line of very many documents is reduced to one place before it is dealt out
