@@ -41,3 +41,13 @@ reach as (select a as doc_id, a as root from e union select e.b, reach.root from
 r as (select doc_id, min(root) as root from reach group by 1)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(r.root, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(r.root, d.doc_id)) as kept
 from documents d left join n using (doc_id) left join r using (doc_id)"""
+
+OP12 = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(cast(embedding as double[]), lambda x: floor(256 * x)) as e
+  from embeddings where embedding is not null and label is not null and len(list_filter(cast(embedding as double[]), lambda x: x is null or not isfinite(x))) = 0 and len(embedding) > 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_inner_product(a.e, b.e) as bigint) as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, cast(row_number() over w as int) as rank, other as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, other) qualify row_number() over w <= 10"""
