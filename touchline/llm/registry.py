@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dups, line_dedup, lines_rules, mixing, near_dups, oracles, packing, pii_scan, quality_model, secret_scan, suffix_dedup
+from . import bpe_codec, embedding_dups, hard_negatives, line_dedup, lines_rules, mixing, near_dups, oracles, packing, pii_scan, quality_model, secret_scan, suffix_dedup, whitening
 from .store import table
 
 
@@ -59,9 +59,22 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(docs, shingle=3, percent=85).drop("first_row", "row")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, shifted)
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_mixing_sources, op4_quality_classifier, op5_quality_rules, op6_suffix_array_dedup, op7_packing, op8_secret_scan, op9_pii_scan, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_mixing_sources, op4_quality_classifier, op5_quality_rules, op6_suffix_array_dedup, op7_packing, op8_secret_scan, op9_pii_scan, op10_minhash_near_dedup, op11_embedding_whitening, op12_hard_negatives, op13_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": oracles.OP1, "op5_quality_rules": oracles.OP5, "op10_minhash_near_dedup": oracles.OP10}
+    return {"op1_embedding_near_dedup": oracles.OP1, "op5_quality_rules": oracles.OP5, "op10_minhash_near_dedup": oracles.OP10, "op12_hard_negatives": oracles.OP12}
