@@ -119,15 +119,29 @@ def _aliases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _alias_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Events scored against generated aliases too; every third team's aliases hold for one competition only."""
+    """Events scored against generated aliases too."""
+    return resolve.candidates(_scoped_events(spark, sf), relation(spark, sf, "teams"), aliases=_known_aliases(spark, sf))
+
+
+def _scoped_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw names with the source and competition that they were seen in."""
+    return relation(spark, sf, "raw_names").withColumns({"source_system": F.lit("odds_api"), "competition_code": F.concat(F.lit("c"), (F.col("event_id") % 2).cast("string"))})
+
+
+def _known_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated aliases; every third team's hold for one competition only."""
     code = F.when(F.col("team_id") % 3 == 0, F.concat(F.lit("c"), (F.col("team_id") % 2).cast("string")))
-    known = _aliases(spark, sf).select("team_id", "alias", F.lit(None).cast("string").alias("source_system"), code.alias("competition_code"))
-    events = relation(spark, sf, "raw_names").withColumn("competition_code", F.concat(F.lit("c"), (F.col("event_id") % 2).cast("string")))
-    return resolve.candidates(events, relation(spark, sf, "teams"), aliases=known)
+    return _aliases(spark, sf).select("team_id", "alias", F.lit(None).cast("string").alias("source_system"), code.alias("competition_code"))
+
+
+def _decided(spark: SparkSession, sf: str) -> DataFrame:
+    """A decision for every event, by aliases and canonical names."""
+    events = _scoped_events(spark, sf)
+    return resolve.decide(resolve.candidates(events, relation(spark, sf, "teams"), aliases=_known_aliases(spark, sf), explain=True), events)
 
 
 def _decisions(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.decide(_candidates(spark, sf))
+    return _decided(spark, sf).select("event_id", "team_id", "score", "margin", "decision")
 
 
 def _effects(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,7 +275,9 @@ def _merged_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
+    from . import catalog_jobs
+
+    return catalog_jobs.queries() | {
         "backtest": _backtest,
         "model_rankings": _on_results(reports.model_rankings),
         "model_rankings_merged": _on_results(lambda r: reports.model_rankings(r, by_version=False)),
@@ -337,4 +353,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql() | oracle_jobs.sql()
+    from . import catalog_jobs
+
+    return oracles.sql() | oracle_jobs.sql() | catalog_jobs.oracle_sql()

@@ -73,3 +73,19 @@ def likeliest(n: int) -> Column:
     """The ``n`` likeliest scores as array<struct<neg, at, p, score>>, in order."""
     all_cells = [F.struct((-_cell(i, j) / F.col("_mass")).alias("neg"), F.lit(i * GOALS + j).alias("at"), (_cell(i, j) / F.col("_mass")).alias("p"), F.lit(f"{i}:{j}").alias("score")) for i in range(GOALS) for j in range(GOALS)]
     return F.slice(F.array_sort(F.array(*all_cells)), 1, n)
+
+
+#: Goals looked at for either side, and the cap of a win's probability.
+WIN_GOALS, WIN_CAP = 5, 0.90
+
+
+def with_win_probability(df: DataFrame, home: Column, away: Column, name: str = "win_probability") -> DataFrame:
+    """``df`` with the probability that the first side scores more, both up to five goals, at most 0.9.
+
+    The second side's probabilities are summed up as they go, so there are five products and no grid.
+    """
+    df = df.withColumns({"_wh": home, "_wa": away}).withColumns({f"_w{k}": poisson(k, F.col("_wa")) for k in range(WIN_GOALS)})
+    fewer = {f"_w_{k}": sum((F.col(f"_w{j}") for j in range(1, k)), F.col("_w0")) for k in range(1, WIN_GOALS + 1)}
+    df = df.withColumns(fewer)
+    total = sum((poisson(k, F.col("_wh")) * F.col(f"_w_{k}") for k in range(1, WIN_GOALS + 1)), F.lit(0.0))
+    return df.withColumn(name, F.when(F.col("_wh").isNotNull() & F.col("_wa").isNotNull(), F.least(F.lit(WIN_CAP), total))).drop("_wh", "_wa", *(f"_w{k}" for k in range(WIN_GOALS)), *fewer)

@@ -66,3 +66,73 @@ def csv_lines(results: DataFrame) -> DataFrame:
     """One unquoted line of eight values for each result; unknown versions and competitions are empty."""
     columns = ("match_id", "model_key", "model_version", "predicted_score", "actual_score", "points", "confidence_score", "competition_code")
     return results.select(F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("line"))
+
+
+# What the dashboard shows where a column is missing or null.
+DEFAULTS = {"competition_code": "", "competition_name": "", "league_abbr": "", "flag": "🌍", "home_team": "Heim", "away_team": "Auswärts", "confidence_score": 0, "predicted_winner": "draw", "is_strong_tip": False, "risk_level": "low", "analysis_text": "", "ai_reason": ""}
+DRAW = "Unentschieden"
+_LISTS = ("form_home", "form_away", "risk_tags")
+_SIDES = ("home", "draw", "away")
+_MARKET = {
+    "odds": {s: f"market_{s}{'_win' if s == 'home' else ''}_odds" for s in _SIDES}, "probs": {s: f"market_{s}_prob_fair" for s in _SIDES},
+    "edge": {s: f"edge_{s}" for s in _SIDES}, "ev": {s: f"ev_{s}" for s in _SIDES}, "value": {s: f"value_{s}" for s in _SIDES},
+}
+
+
+def view_model(rows: DataFrame) -> DataFrame:
+    """Prediction rows as the dashboard reads them: defaults filled in, the leading outcome, and a nested ``market``.
+
+    Columns that ``rows`` doesn't have count as null.  ``market`` holds has_odds and has_model (all three sides known), the
+    provider, number of bookmakers, margin, times, and a struct for each of odds, probs, edge, ev and value.
+    """
+    def col(name: str, kind: str, *others: str) -> Column:
+        have = [F.col(n) for n in (name, *others) if n in rows.columns]
+        return F.coalesce(*have).cast(kind) if have else F.lit(None).cast(kind)
+
+    kinds = {"confidence_score": "int", "is_strong_tip": "boolean"}
+    fill = {n: F.coalesce(col(n, kinds.get(n, "string")), F.lit(d)).alias(n) for n, d in DEFAULTS.items()}
+    lists = {n: F.coalesce(col(n, "array<string>"), F.array().cast("array<string>")).alias(n) for n in _LISTS}
+    share = {s: F.coalesce(col(n, "int"), F.lit(0)).alias(n) for s, n in zip(_SIDES, ("win_probability", "draw_probability", "away_probability"), strict=True)}
+    winner = col("predicted_winner", "string")
+    lead = lambda h, a, d: F.when(winner == "home", h).when(winner == "away", a).otherwise(d)
+    whole = lambda part: F.lit(True) if not _MARKET[part] else _all(*(col(n, "double").isNotNull() for n in _MARKET[part].values()))
+    side = lambda part: F.struct(*((F.coalesce(col(n, "boolean"), F.lit(False)) if part == "value" else col(n, "double")).alias(s) for s, n in _MARKET[part].items())).alias(part)
+    market = F.struct(
+        whole("odds").alias("has_odds"), whole("probs").alias("has_model"), col("market_odds_provider", "string").alias("provider"),
+        col("market_bookmaker_count", "int", "market_odds_bookmaker_count").alias("bookmaker_count"), col("market_overround", "double").alias("overround"),
+        col("market_odds_fetched_at", "timestamp").alias("fetched_at"), col("market_last_update_ts", "timestamp", "market_odds_updated_at").alias("updated_at"),
+        *map(side, _MARKET),
+    )
+    return rows.select(
+        col("match_id", "string", "id").alias("id"), col("kickoff_at", "timestamp").alias("kickoff_at"),
+        *fill.values(), col("home_strength", "int").alias("home_strength"), col("away_strength", "int").alias("away_strength"), *lists.values(), *share.values(),
+        lead(share["home"], share["away"], share["draw"]).alias("lead_prob"), lead(fill["home_team"], fill["away_team"], F.lit(DRAW)).alias("lead_label"), market.alias("market"),
+    )
+
+
+def _all(*conditions: Column) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+# Number formats of the drawer; an unknown number is a dash.
+DASH = "–"
+
+
+def percent(share: Column) -> Column:
+    """A share as whole per cent, halves rounded up."""
+    return F.when(share.isNull(), DASH).otherwise(F.concat(F.floor(share.cast("double") * 100 + 0.5).cast("string"), F.lit("%")))
+
+
+def signed_percent(share: Column, digits: int = 1) -> Column:
+    """A share as a percentage with its sign; 0 has a plus."""
+    x = share.cast("double") * 100
+    return F.when(share.isNull(), DASH).otherwise(F.concat(F.when(x >= 0, "+").otherwise(""), F.format_string(f"%.{digits}f%%", x)))
+
+
+def signed(number: Column, digits: int = 2) -> Column:
+    """A number with its sign; 0 has a plus."""
+    x = number.cast("double")
+    return F.when(number.isNull(), DASH).otherwise(F.concat(F.when(x >= 0, "+").otherwise(""), F.format_string(f"%.{digits}f", x)))

@@ -184,6 +184,71 @@ CLIENT: dict[str, Model] = {"poisson": client_grid("poisson"), "dc": client_grid
 VOTES = {"ensemble": 3, "poisson": 2, "elo": 2, "dc": 2, "market": 1}
 
 
+#: The ensemble is left out of a back-test unless asked for, and the primary model stands for it in reports.
+ENSEMBLE_ENABLED, PRIMARY = False, "dc"
+
+
+def registry(ensemble_enabled: bool = ENSEMBLE_ENABLED, known: dict[str, Model] = SERVER) -> dict[str, Model]:
+    """The models that a back-test runs."""
+    return {k: m for k, m in known.items() if ensemble_enabled or k != "ensemble"}
+
+
+_ODDS, _STRENGTHS = ("home_odds", "draw_odds", "away_odds"), ("home_strength", "away_strength")
+#: What each model reads that can be out of its range.
+READS = {"poisson": _STRENGTHS, "dc": _STRENGTHS, "elo": _STRENGTHS, "market": (*_STRENGTHS, *_ODDS), "ensemble": (*_STRENGTHS, *_ODDS)}
+RESULT = "struct<winner: string, score: string, confidence: int, prob_home: double, prob_draw: double, prob_away: double>"
+
+
+def _fine(c: str) -> Column:
+    """Unknown, or a finite number; odds also above 0, as models divide by them."""
+    x = F.col(c).cast("double")
+    ok = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.coalesce(ok & (x > 0) if c in _ODDS else ok, F.col(c).isNull())
+
+
+def evaluate_isolated(featured: DataFrame, models: dict[str, Model] = SERVER, reads: dict[str, tuple[str, ...]] = READS, result: str = RESULT) -> DataFrame:
+    """Like ``evaluate``, with a column e_<name> that says why a model gives nothing; the other models run all the same.
+
+    A model that can't be planned, as a column is missing or of another kind, is null in all rows.  A row in which a
+    model's inputs are out of range is null for that model, which is then worked out as if they were unknown, so
+    that a division by a zero price doesn't end the job.
+    """
+    df = _inputs(featured)
+    for name, model in models.items():
+        checked = [c for c in reads.get(name, ()) if c in featured.columns]
+        bad = F.array_compact(F.array(*(F.when(~_fine(c), F.lit(c)) for c in checked))) if checked else F.array().cast("array<string>")
+        marked = df.withColumn("_bad", bad)
+        ok = F.size("_bad") == 0
+        masked = marked.withColumns({f"_own_{c}": F.col(c) for c in checked} | {c: F.when(ok, F.col(c)) for c in checked})
+        try:
+            out = model(masked)
+            found = out.schema[f"m_{name}"].dataType
+            said = F.when(~ok, F.concat(F.lit("bad input: "), F.array_join("_bad", ", ")))
+            out = out.withColumns({f"m_{name}": F.when(ok, F.col(f"m_{name}")).otherwise(F.lit(None).cast(found)), f"e_{name}": said, **{c: F.col(f"_own_{c}") for c in checked}})
+        except Exception as error:  # noqa: BLE001  whatever a model raises, the others run
+            reason = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"[:200]
+            out = df.withColumns({f"m_{name}": F.lit(None).cast(result), f"e_{name}": F.lit(reason)})
+        df = out.drop("_bad", *(f"_own_{c}" for c in checked))
+    return df.select(*featured.columns, *(f"m_{name}" for name in models), *(f"e_{name}" for name in models))
+
+
+def long_form_isolated(featured: DataFrame, models: dict[str, Model] = SERVER) -> DataFrame:
+    """One row for each match and model with its result, or nulls and the reason in ``failed``."""
+    entries = F.array(*(F.struct(F.lit(name).alias("model_key"), F.col(f"m_{name}").alias("m"), F.col(f"e_{name}").alias("failed")) for name in models))
+    kept = featured.columns
+    return evaluate_isolated(featured, models).select(*kept, F.explode(entries).alias("e")).select(*kept, "e.model_key", "e.m.*", "e.failed")
+
+
+def main_models(rows: DataFrame) -> DataFrame:
+    """Rows of models without the agent's (``is_ai_agent``)."""
+    return rows.filter(~F.coalesce("is_ai_agent", F.lit(False)))
+
+
+def agent_result(rows: DataFrame) -> DataFrame:
+    """The agent's rows."""
+    return rows.filter("is_ai_agent")
+
+
 def evaluate(featured: DataFrame, models: dict[str, Model] = SERVER) -> DataFrame:
     """Each model's struct as a column m_<name> beside the columns of ``featured``."""
     df = _inputs(featured)

@@ -59,6 +59,28 @@ def history(results: DataFrame, model_key: str = "ensemble") -> DataFrame:
     return results.filter((F.col("model_key") == model_key) & F.col("outcome_label").isNotNull()).select(*kept, F.to_date("kickoff_at").alias("match_date")).orderBy(F.desc("kickoff_at"), "match_id")
 
 
+#: Columns of the history view.
+HISTORY = ("match_id", "home_team", "away_team", "flag", "league_abbr", "competition_code", "season", "kickoff_at", "predicted_score", "predicted_winner", "confidence_score", "actual_score", "actual_winner", "actual_home_goals", "actual_away_goals", "points", "outcome_label", "model_version", "created_at")
+
+
+def history_view(results: DataFrame, model_key: str = "ensemble") -> DataFrame:
+    """All columns of the history of one model's finished matches; unordered, for pages by key (see sources.pages).
+
+    The display columns that ``results`` doesn't have are null.
+    """
+    goals = {"actual_home_goals": "home_goals", "actual_away_goals": "away_goals"}
+    winner = F.when(F.col("home_goals") > F.col("away_goals"), "home").when(F.col("home_goals") < F.col("away_goals"), "away").when(F.col("home_goals") == F.col("away_goals"), "draw")
+
+    def col(name: str) -> Column:
+        if name in results.columns:
+            return F.col(name)
+        if name == "actual_winner":
+            return winner.alias(name)
+        return F.col(goals[name]).alias(name) if name in goals else F.lit(None).cast("string").alias(name)
+
+    return results.filter((F.col("model_key") == model_key) & F.col("actual_score").isNotNull() & F.col("kickoff_at").isNotNull()).select(*map(col, HISTORY))
+
+
 def history_days(results: DataFrame, model_key: str = "ensemble") -> DataFrame:
     """Counts of outcomes and the hit rate for each day."""
     label = F.col("outcome_label")
@@ -127,6 +149,26 @@ def weighted_consensus(results: DataFrame, votes: dict[str, int]) -> DataFrame:
     return top.select("match_id", F.col("t.predicted_score").alias("score"), F.col("t.n_models").alias("n_models"), share.alias("share"), F.when(share >= 0.55, "strong").when(share >= 0.35, "moderate").otherwise("weak").alias("band"))
 
 
+def supported_consensus(results: DataFrame, votes: dict[str, int]) -> DataFrame:
+    """Each match's consensus with its weight, the weight of all models, and the models behind it in the order of ``votes``.
+
+    Of scores of equal weight the one counts that the first model names; models that ``votes`` doesn't name weigh 1
+    and come last, by name.
+    """
+    weight = F.create_map(*(F.lit(x) for kv in votes.items() for x in kv))
+    place = F.create_map(*(F.lit(x) for i, k in enumerate(votes) for x in (k, i)))
+    at = F.coalesce(F.try_element_at(place, F.col("model_key")), F.lit(len(votes)))
+    each = F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("model_key").alias("model"))))  # the models of one match
+    tally = results.groupBy("match_id", "predicted_score").agg(F.sum(F.coalesce(F.try_element_at(weight, F.col("model_key")), F.lit(1))).alias("w"), each.alias("models"))
+    first = F.col("models")[0]
+    top = tally.groupBy("match_id").agg(F.sum("w").alias("total_weight"), F.min(F.struct((-F.col("w")).alias("less"), first["at"].alias("at"), first["model"].alias("first"), "predicted_score", "w", "models")).alias("t"))
+    share = F.round(F.col("t.w") / F.col("total_weight"), 6)
+    return top.select(
+        "match_id", F.col("t.predicted_score").alias("consensus_score"), F.col("t.w").alias("weight_sum"), "total_weight",
+        F.transform("t.models", lambda m: m["model"]).alias("models_supporting"), F.when(share >= 0.55, "strong").when(share >= 0.35, "moderate").otherwise("weak").alias("confidence"),
+    )
+
+
 def majority_vote(results: DataFrame) -> DataFrame:
     """The winner most models name, if three or more do strong."""
     n = results.groupBy("match_id", "predicted_winner").agg(F.count("*").alias("n"))

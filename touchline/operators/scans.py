@@ -14,11 +14,14 @@ def between(at: str, start: str, end: str, open_ended: bool = False) -> Column:
     return F.coalesce(inside, F.lit(open_ended))
 
 
-def upcoming(rows: DataFrame, as_of: str, days: int, back_hours: int = 0, at: str = "kickoff_at", dirty: DataFrame | None = None, key: str = "match_id") -> DataFrame:
-    """Rows from ``back_hours`` before to ``days`` after the given time, only those in ``dirty`` if there is one."""
+def upcoming(rows: DataFrame, as_of: str, days: int, back_hours: int = 0, at: str = "kickoff_at", dirty: DataFrame | None = None, key: str = "match_id", closed: bool = False) -> DataFrame:
+    """Rows from ``back_hours`` before to ``days`` after the given time, only those in ``dirty`` if there is one.
+
+    ``closed`` takes the last moment in, as the look-ahead for odds does; that for predictions leaves it out.
+    """
     now = F.lit(as_of).cast("timestamp_ntz")
     low, high = now - F.make_dt_interval(hours=F.lit(back_hours)), now + F.make_dt_interval(days=F.lit(days))
-    out = rows.filter((F.col(at) >= low) & (F.col(at) < high))
+    out = rows.filter((F.col(at) >= low) & ((F.col(at) <= high) if closed else (F.col(at) < high)))
     return out if dirty is None else out.join(dirty.select(key), key, "left_semi")
 
 
@@ -43,6 +46,11 @@ def unresolved(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.join(mapping, "competition_code", "left_anti").groupBy("competition_code").agg(F.count("*").alias("n_matches"))
 
 
+def unresolved_list(rows: DataFrame, mapping: DataFrame, columns: tuple[str, ...] = ("competition_code", "competition_name", "country")) -> DataFrame:
+    """The distinct competitions of rows without an external code, by all their columns, to warn of."""
+    return rows.join(mapping, "competition_code", "left_anti").select(*columns).distinct()
+
+
 def pending(events: DataFrame, n: int, status: str = "new") -> DataFrame:
     """The ``n`` oldest events of a status; the batch size is what this selection is for."""
     return events.filter(F.col("status") == status).orderBy("created_at", "event_id").limit(n)

@@ -105,10 +105,10 @@ def clients() -> dict[str, str]:
     }
 
 
-def results() -> list[tuple[str, str]]:
+def results(matches: str = r.MATCHES) -> list[tuple[str, str]]:
     sgn = lambda a, b: f"case when {a}>{b} then 'H' when {a}<{b} then 'A' when {a}={b} then 'D' end"
     return [
-        *features(), *models(),
+        *features(matches), *models(),
         ("long_results", " union all ".join(f"select '{k}' as model_key, * from m_{k}" for k in ("poisson", "dc", "elo", "market", "ensemble"))),
         ("parsed", f"""select l.*, m.competition_code, m.kickoff_at, m.home_goals as hg, m.away_goals as ag, cast(split_part(score,':',1) as int) as sh, cast(split_part(score,':',2) as int) as sa, ph+pd+pa as tp, {sgn('m.home_goals', 'm.away_goals')} as actual_1x2 from long_results l join matches m using (match_id)"""),
         ("results", f"""select match_id, model_key, '1.0' as model_version, competition_code, cast(kickoff_at as timestamp) as kickoff_at, score as predicted_score, winner as predicted_winner, confidence as confidence_score, ph as prob_home, pd as prob_draw, pa as prob_away, hg as home_goals, ag as away_goals,
@@ -135,12 +135,12 @@ def resolver() -> list[tuple[str, str]]:
     years = lambda x: f"trim(regexp_replace(regexp_replace({x}, '\\b(18|19|20)[0-9]{{2}}\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
     affix = lambda x: suffix(prefix(x))
 
-    def scored(known: str, exact: str, weights: tuple[float, float, float], where: str) -> str:
+    def scored(known: str, exact: str, weights: tuple[float, float, float], where: str, alias: str = "cast(null as varchar)") -> str:
         words = "list_distinct(list_filter(string_split({0},' '), lambda w: w <> ''))"
         return f"""select event_id, team_id, case when raw = form then {exact} else round_even(greatest(
               {weights[0]}e0 * len(list_intersect(rw, fw)) / len(list_distinct(list_concat(rw, fw))),
               {weights[1]}e0 * case when contains(raw, form) or contains(form, raw) then least(length(raw), length(form)) / greatest(length(raw), length(form)) else 0 end,
-              {weights[2]}e0 * coalesce(list_min(list_filter(range(1, least(len(rs), len(fs)) + 1), lambda i: rs[i] <> fs[i])) - 1, least(len(rs), len(fs))) / greatest(len(rs), len(fs))), 4) end as score
+              {weights[2]}e0 * coalesce(list_min(list_filter(range(1, least(len(rs), len(fs)) + 1), lambda i: rs[i] <> fs[i])) - 1, least(len(rs), len(fs))) / greatest(len(rs), len(fs))), 4) end as score, {alias} as alias, raw, form
             from (select *, {words.format('raw')} as rw, {words.format('form')} as fw, string_split(raw,' ') as rs, string_split(form,' ') as fs from raws cross join {known} where raw <> '' and form <> '' {where})"""
 
     ranked = lambda q: f"select event_id, team_id, canonical_name, score, cast(row_number() over (partition by event_id order by score desc, canonical_name, team_id) as int) as rank from (select event_id, team_id, max(score) as score from ({q}) where score >= 0.45e0 group by 1, 2) join teams using (team_id) qualify rank <= 5"
@@ -154,11 +154,14 @@ def resolver() -> list[tuple[str, str]]:
         ("derived", f"""select team_id, unnest([n, b, {prefix('n')}, {suffix('n')}, {affix('n')}, {prefix('b')}, {affix('b')},
             case when len(ws)>=2 then array_to_string(ws[-2:],' ') end, case when len(ws)>=3 then array_to_string(ws[-3:],' ') end]) as a from bare_names"""),
         ("alias_list", f"select distinct team_id, alias from (select team_id, {affix(years('a'))} as alias from derived where a is not null) where length(alias) >= 3"),
-        ("alias_forms", f"select team_id, case when team_id % 3 = 0 then 'c' || (team_id % 2) end as scope, {bare('n')} as form from (select team_id, {_NORMAL.format('alias')} as n from alias_list)"),
+        ("alias_forms", f"select team_id, case when team_id % 3 = 0 then 'c' || (team_id % 2) end as scope, alias, {bare('n')} as form from (select team_id, alias, {_NORMAL.format('alias')} as n from alias_list)"),
         ("found", ranked(by_team)),
-        ("found_by_alias", ranked(by_team + " union all " + scored("alias_forms", "1e0", (0.85, 0.90, 0.75), "and (scope is null or scope = code)"))),
-        ("decided", """select event_id, team_id, score, margin, case when score>=0.95e0 and margin>=0.08e0 then 'approved' when score>=0.78e0 and margin>=0.05e0 then 'provisional' else 'no_match' end as decision
-            from (select *, round_even(score - coalesce(lead(score) over (partition by event_id order by rank), 0), 4) as margin from found) where rank = 1"""),
+        ("all_scored", by_team + " union all " + scored("alias_forms", "1e0", (0.85, 0.90, 0.75), "and (scope is null or scope = code)", "alias")),
+        ("found_by_alias", ranked("select * from all_scored")),
+        ("best_two", "select event_id, team_id, canonical_name, score, round_even(score - coalesce(lead(score) over (partition by event_id order by rank), 0), 4) as margin, rank, count(*) over (partition by event_id) as n from found_by_alias"),
+        ("decided", """select event_id, team_id, canonical_name, coalesce(score, 0e0) as score, coalesce(margin, 0e0) as margin, coalesce(n, 0) as n_candidates,
+            case when score>=0.95e0 and margin>=0.08e0 then 'approve' when score>=0.78e0 and margin>=0.05e0 then 'approve_provisional' else 'no_match' end as decision
+            from events_raw left join (select * from best_two where rank = 1) using (event_id)"""),
     ]
 
 
@@ -239,9 +242,9 @@ def sql() -> dict[str, str]:
         "name_candidates": _with(*resolver()) + "select * from found",
         "alias_candidates": _with(*resolver()) + "select * from found_by_alias",
         "alias_generate": _with(*resolver()) + "select team_id, alias from alias_list",
-        "resolver_decisions": _with(*resolver()) + "select * from decided",
+        "resolver_decisions": _with(*resolver()) + "select event_id, team_id, score, margin, decision from decided",
         "resolver_effects": _with(*resolver()) + f"""select e.event_id, coalesce(decision,'no_match') as decision, case when decision<>'no_match' then team_id end as team_id, {_NORMAL.format('raw_name')} as alias_normalized,
-            case decision when 'provisional' then 'scoped' when 'approved' then 'global' end as alias_scope, case when coalesce(decision,'no_match')='no_match' then 'ignored' else 'resolved' end as status from events_raw e left join decided using (event_id)""",
+            case decision when 'approve_provisional' then 'scoped' when 'approve' then 'global' end as alias_scope, case when coalesce(decision,'no_match')='no_match' then 'ignored' else 'resolved' end as status from events_raw e left join decided using (event_id)""",
         "devig_market": _with(("matches", r.MATCHES)) + "select match_id, " + ", ".join(f"case when home_odds>1 and draw_odds>1 and away_odds>1 then round_even({x}, 6) end as {n}" for n, x in (("fair_home", "1/home_odds/(1/home_odds+1/draw_odds+1/away_odds)"), ("fair_draw", "1/draw_odds/(1/home_odds+1/draw_odds+1/away_odds)"), ("fair_away", "1/away_odds/(1/home_odds+1/draw_odds+1/away_odds)"), ("overround", "1/home_odds+1/draw_odds+1/away_odds"))) + " from matches",
         "odds_consensus": _with(("snaps", r.ODDS_SNAPSHOTS), ("last", "select * from snaps qualify row_number() over (partition by match_id, bookmaker_id order by snapshot_ts desc, seq desc, home_odds desc, draw_odds desc, away_odds desc) = 1")) + "select match_id, round(median(home_odds),6) as median_home_odds, round(median(draw_odds),6) as median_draw_odds, round(median(away_odds),6) as median_away_odds, count(distinct bookmaker_id) as bookmaker_count from last group by 1",
         "refresh_changed_only": _with(("a", "select o_orderkey as match_id, o_orderstatus as status, o_orderpriority as code from orders"), ("b", "select o_orderkey as match_id, case when o_orderpriority like '1%' then 'X' else o_orderstatus end as status, case when o_orderstatus = 'P' then null else o_orderpriority end as code from orders")) + "select b.* from a join b using (match_id) where a.status is distinct from b.status or a.code is distinct from b.code",

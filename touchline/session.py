@@ -1,20 +1,40 @@
-"""A session with the settings that the library assumes."""
+"""A session with the settings that the library assumes, and the folder that its tables are written to."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
 #: Bytecode beyond this isn't compiled by the JVM's own compiler; Spark then splits the expressions of such a stage.
 HUGE_METHOD = "8000"
+CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def session(name: str = "touchline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """UTC, ANSI mode and adaptive execution; the master and partition count only where given."""
+def session(name: str = "touchline", master: str | None = None, shuffle_partitions: int | None = None, checkpoint_dir: str | None = None) -> SparkSession:
+    """UTC, ANSI mode and adaptive execution; the master, partition count and checkpoint folder only where given."""
     b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.ansi.enabled", "true").config("spark.sql.adaptive.enabled", "true")
     b = b.config("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
     if master:
         b = b.master(master)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoint_dir:
+        b = b.config(CHECKPOINT_DIR, checkpoint_dir)
     return b.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
+
+    Where the setting is missing, a session of one process takes a local folder; a cluster's session is refused.
+    """
+    named = spark.conf.get(CHECKPOINT_DIR, None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the cluster shares")
+        named = tempfile.mkdtemp(prefix="touchline-")
+        spark.conf.set(CHECKPOINT_DIR, named)
+    return f"{named.rstrip('/')}/touchline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

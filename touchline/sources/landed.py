@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.odds import EVENT_SCHEMA
+
 MATCH_SCHEMA = """id long, utcDate string, status string, competition struct<code:string, name:string>,
   homeTeam struct<id:long, name:string, shortName:string>, awayTeam struct<id:long, name:string, shortName:string>,
   score struct<fullTime:struct<home:int, away:int>>"""
@@ -12,10 +14,80 @@ STANDINGS_SCHEMA = """competition struct<code:string>,
   standings array<struct<type:string, table:array<struct<position:int, points:int, team:struct<id:long, name:string>>>>>"""
 
 
+SPORT_SCHEMA = "key string, `group` string, title string, description string, active boolean, has_outrights boolean"
+
+
 def matches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MATCH_SCHEMA).json(path)
 
 
+def payloads(spark: SparkSession, path: str, schema: str, whole_files: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(parsed, rejects) of stored answers, one in each file or, without ``whole_files``, one in each line.
+
+    The schema is an array or a struct.  ``parsed`` has source_file and a column ``payload`` of it; fields of another kind are null in it.  An answer
+    that is no JSON, is empty, or isn't of the schema's shape at all (an error message where a list is due), is a
+    row of ``rejects`` with its text, so that nothing is lost without a trace.  A row holds one answer, whose
+    size the service bounds.
+    """
+    text = spark.read.option("wholetext", whole_files).text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
+    is_list = schema.lstrip().lower().startswith("array")
+    fits = F.trim("text").startswith("[" if is_list else "{")
+    # a broken answer parses to a null (list) or to the corrupt column (object)
+    kind = schema if is_list else f"{schema.rstrip()[:-1]}, _broken: string>"
+    read = text.withColumn("payload", F.when(fits, F.from_json("text", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})))
+    bad = F.col("payload").isNull() if is_list else F.col("payload").isNull() | F.col("payload._broken").isNotNull()
+    bad = F.coalesce(bad, F.lit(True))
+    reason = F.when(F.trim("text") == "", "empty").when(~fits, "another shape").otherwise("no JSON")
+    return read.filter(~bad).select("source_file", "payload"), read.filter(bad).select("source_file", "text", reason.alias("reason"))
+
+
+def odds_events(spark: SparkSession, path: str, whole_files: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of stored odds answers: a row for each event with an id, with commence_at as a timestamp."""
+    parsed, rejects = payloads(spark, path, f"array<struct<{_colons(EVENT_SCHEMA)}>>", whole_files)
+    rows = parsed.select("source_file", F.inline("payload"))
+    return rows.filter(F.col("id").isNotNull()).withColumn("commence_at", F.try_to_timestamp("commence_time")), rejects
+
+
+def sports(spark: SparkSession, path: str, whole_files: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(sports, rejects) of stored lists of sports; a sport that doesn't say whether it is active is."""
+    parsed, rejects = payloads(spark, path, f"array<struct<{_colons(SPORT_SCHEMA)}>>", whole_files)
+    rows = parsed.select(F.inline("payload")).filter(F.coalesce("active", F.lit(True)) & F.col("key").isNotNull())
+    return rows.groupBy("key").agg(*(F.max(c).alias(c) for c in ("group", "title"))), rejects
+
+
+def by_sport(rows: DataFrame, sport: str = "sport_key") -> DataFrame:
+    """How many matches and competitions are asked for of each sport."""
+    return rows.groupBy(sport).agg(F.count("*").alias("n_matches"), F.countDistinct("competition_code").alias("n_competitions"))
+
+
+#: A form of n matches asks for this many times n, and at least for LEAST_ASKED, as some have no score.
+ASKED_TIMES, LEAST_ASKED = 3, 15
+
+
+def recent_team_matches(spark: SparkSession, path: str, limit: int = 5, whole_files: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(matches, rejects) of stored answers on one team each: team_id and its last ``limit`` finished matches with a score, newest first.
+
+    Of each team the answers' first max(3 * limit, 15) matches are looked at, by time; ``rank`` is 1 for the newest.
+    """
+    parsed, rejects = payloads(spark, path, f"struct<team_id: long, matches: array<struct<{_colons(MATCH_SCHEMA)}>>>", whole_files)
+    rows = parsed.select(F.col("payload.team_id").alias("team_id"), F.inline("payload.matches")).filter("status = 'FINISHED'")
+    rows = rows.select("team_id", F.col("id").alias("match_id"), F.try_to_timestamp("utcDate").alias("kickoff_at"), F.col("homeTeam.id").alias("home_team_id"), F.col("awayTeam.id").alias("away_team_id"), F.col("score.fullTime.home").alias("home_goals"), F.col("score.fullTime.away").alias("away_goals"))
+    rows = rows.dropDuplicates(["team_id", "match_id"])
+    order = Window.partitionBy("team_id").orderBy(F.desc_nulls_last("kickoff_at"), F.desc("match_id"))
+    asked = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= max(ASKED_TIMES * limit, LEAST_ASKED))
+    scored = asked.filter("home_goals IS NOT NULL AND away_goals IS NOT NULL").withColumn("rank", F.row_number().over(order))
+    return scored.filter(F.col("rank") <= limit).drop("at"), rejects
+
+
+def _colons(schema: str) -> str:
+    """A schema's columns written as the fields of a struct."""
+    out, depth = [], 0
+    for part in schema.split(","):
+        out.append(part.strip() if depth else part.strip().replace(" ", ": ", 1))
+        depth += part.count("<") - part.count(">")
+    return ", ".join(out)
+
+
 def _name(team: str) -> Column:
     return F.coalesce(F.nullif(F.col(f"{team}.name"), F.lit("")), F.col(f"{team}.shortName"))
 
