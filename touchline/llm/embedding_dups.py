@@ -94,7 +94,9 @@ class Index:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by the largest component first, whose square could be beyond a double or below it."""
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(1)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -247,8 +249,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector: str = "
 
     All links are found, so any ``recall`` that a caller asks for is reached.
     """
-    v, squares = F.col(f"`{vector}`"), F.aggregate(F.col(f"`{vector}`"), F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))
-    finite = F.coalesce((squares > 0) & (squares < float("inf")) & ~F.isnan(squares), F.lit(False))
+    v = F.col(f"`{vector}`")
+    known = F.forall(v, lambda y: F.coalesce(~F.isnan(y) & (F.abs(y.cast("double")) < float("inf")), F.lit(False)))
+    finite = F.coalesce(known & F.exists(v, lambda y: y != 0), F.lit(False))
     base = settle(
         vectors.select(
             F.monotonically_increasing_id().alias("row"),

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,9 @@ from .store import settle
 WINDOW = 1024
 END_ID = 0
 RANK_BUCKETS = 64
+#: Texts with a run of so many white-space characters are encoded from the JSON file of the vocabulary: the same ids, slower.
+LONG_BLANK = 100_000
+_BLANK = re.compile(r"\s+")
 
 
 def default_vocabulary() -> str:
@@ -51,9 +55,29 @@ def _encoding(path: str):
     return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={a["content"]: a["id"] for a in added})
 
 
+@lru_cache(maxsize=2)
+def _plain_encoding(path: str):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(str(Path(path).with_suffix(".json")))
+    own.no_truncation()
+    own.no_padding()
+    return own
+
+
+def long_blank(text: str, least: int = LONG_BLANK) -> bool:
+    """Whether a text has a run of white space that is too long for the faster encoder's pattern, which looks back over it."""
+    return len(text) >= least and any(m.end() - m.start() >= least for m in _BLANK.finditer(text))
+
+
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Ids of a text and the end id, as little-endian unsigned 32-bit numbers."""
-    ids = _encoding(path).encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
+    if not text:
+        ids = np.zeros(0, np.uint32)
+    elif long_blank(text):
+        ids = np.array(_plain_encoding(path).encode(text, add_special_tokens=False).ids, np.uint32)
+    else:
+        ids = _encoding(path).encode_to_numpy(text, allowed_special="all")
     return np.append(ids, END_ID).astype("<u4")
 
 
