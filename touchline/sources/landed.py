@@ -29,7 +29,7 @@ def payloads(spark: SparkSession, path: str, schema: str, whole_files: bool = Tr
     row of ``rejects`` with its text, so that nothing is lost without a trace.  A row holds one answer, whose
     size the service bounds.
     """
-    text = spark.read.option("wholetext", whole_files).text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
+    text = spark.read.text(path, wholetext=whole_files).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
     is_list = schema.lstrip().lower().startswith("array")
     fits = F.trim("text").startswith("[" if is_list else "{")
     # a broken answer parses to a null (list) or to the corrupt column (object)
