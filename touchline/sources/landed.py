@@ -31,13 +31,13 @@ def payloads(spark: SparkSession, path: str, schema: str, whole_files: bool = Tr
     """
     text = spark.read.text(path, wholetext=whole_files).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
     is_list = schema.lstrip().lower().startswith("array")
-    fits = F.trim("text").startswith("[" if is_list else "{")
+    fits = F.col("text").rlike(r"^\s*\[" if is_list else r"^\s*\{")
     # a broken answer parses to a null (list) or to the corrupt column (object)
     kind = schema if is_list else f"{schema.rstrip()[:-1]}, _broken: string>"
     read = text.withColumn("payload", F.when(fits, F.from_json("text", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})))
     bad = F.col("payload").isNull() if is_list else F.col("payload").isNull() | F.col("payload._broken").isNotNull()
     bad = F.coalesce(bad, F.lit(True))
-    reason = F.when(F.trim("text") == "", "empty").when(~fits, "another shape").otherwise("no JSON")
+    reason = F.when(F.col("text").rlike(r"^\s*$"), "empty").when(~fits, "another shape").otherwise("no JSON")
     return read.filter(~bad).select("source_file", "payload"), read.filter(bad).select("source_file", "text", reason.alias("reason"))
 
 
