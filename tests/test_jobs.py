@@ -305,3 +305,45 @@ def test_windows_closed_or_open(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-03 00:00:00")], "match_id int, t string").select("match_id", F.col("t").cast("timestamp_ntz").alias("kickoff_at"))
     ids = lambda closed: [r["match_id"] for r in scans.upcoming(rows, "2024-01-01 00:00:00", 2, closed=closed).collect()]
     assert ids(False) == [1] and ids(True) == [1, 2]
+
+
+def test_a_forecast_can_be_filtered(spark):
+    from touchline import catalog
+    from touchline.operators.forecast import forecast
+
+    f = forecast(catalog._featured(spark, "/root/testdata/sf0.001")) if os.path.isdir("/root/testdata/sf0.001") else pytest.skip("no test data")
+    rows = f.select("match_id", "risk_level", "win_pct", "confidence_score").collect()
+    want = {r["match_id"] for r in rows if r["risk_level"] == "medium" and r["win_pct"] > 40 and r["confidence_score"] > 20}
+    got = {r["match_id"] for r in f.filter("risk_level = 'medium' and win_pct > 40 and confidence_score > 20").select("match_id").collect()}
+    assert got == want
+
+
+def plain_normal(text):
+    import re
+    import unicodedata
+
+    x = (text or "").strip().lower()
+    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+        x = x.replace(a, b)
+    x = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", re.sub("[/-]", " ", x))).strip()
+
+
+def test_names_are_decomposed(spark):
+    from touchline.functions import names
+
+    texts = ["ﬁrst ﬂoor", "Ｆｕｌｌ　Ｗｉｄｔｈ １２", "½ time", "№ 5 ™", "Ångström-Ünïon", "ǆ Ǆ", "𝐁old 𝑖t", "Łódź Ø", "a/b-c", "x² ³", "Ĳssel ŉ", "'quote' \\ back", "ﬃ ﬀ", None, ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(names.normal(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in got] == [plain_normal(t) for t in texts]
+
+
+def test_matches_without_a_kickoff(spark):
+    from touchline.operators.features import with_features
+
+    at = lambda d: f"2024-01-{d:02d} 12:00:00"
+    rows = [(1, at(1), 1, 2, 1, 0), (2, at(2), 2, 1, 2, 2), (3, None, 1, 2, 0, 3), (4, at(4), 1, 2, 4, 0), (5, None, 1, 9, None, None)]
+    m = spark.createDataFrame(rows, "match_id int, t string, home_team_id int, away_team_id int, home_goals int, away_goals int").withColumn("kickoff_at", F.to_timestamp("t"))
+    by = {r["match_id"]: r for r in with_features(m, undated=True).collect()}
+    assert by[3]["home_form"] == by[5]["home_form"] == "WDWL" and by[3]["home_n_prior"] == 4 and by[5]["away_n_prior"] == 0 and by[5]["away_form"] == ""
+    assert by[4]["home_form"] == "DW" and not by[3]["home_crosses_year"]
+    assert {r["match_id"]: r["home_form"] for r in with_features(m).collect()}[3] == ""

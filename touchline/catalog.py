@@ -83,8 +83,9 @@ def _upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _absent(spark: SparkSession, sf: str) -> DataFrame:
-    old = table(spark, sf, "orders").filter("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("k"))
-    return merge.insert_absent(old, table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), ["k"])
+    """Customers without a pending order among all orders."""
+    old = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("status"))
+    return merge.insert_absent(old, table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.lit("P").alias("status"), F.col("c_name").alias("name")), ["k", "status"])
 
 
 def _semi(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,11 +210,6 @@ def _forecasts(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.forecast(_featured(spark, sf))
 
 
-def _forecast_rows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """Forecast columns to filter by: the generator keeps a filter from being written out into all steps of the forecast."""
-    return _forecasts(spark, sf).select(F.inline(F.array(F.struct(*columns))))
-
-
 def _agent(spark: SparkSession, sf: str) -> DataFrame:
     """Every eleventh match has an opinion from outside."""
     given = relation(spark, sf, "matches").filter("match_id % 11 = 0").select("match_id", F.lit("home").alias("winner"), F.lit("2:1").alias("score"), F.lit(None).cast("string").alias("other_score"), (F.col("match_id") % 100).alias("confidence"))
@@ -249,7 +245,7 @@ def _enriched(spark: SparkSession, sf: str) -> DataFrame:
 
 def _strengths(spark: SparkSession, sf: str) -> DataFrame:
     m = relation(spark, sf, "matches").withColumn("away_team_id", F.when(F.col("match_id") % 17 != 0, F.col("away_team_id")))
-    table_rows = resolve.standings_strength(relation(spark, sf, "standings")).filter("team_id % 3 = 0 AND team_id < 30")
+    table_rows = resolve.standings_strength(relation(spark, sf, "standings")).filter("strength >= 50")
     return scans.with_strengths(m, table_rows, scans.recent_form(m)).select("match_id", "home_strength", "away_strength", "form_home", "form_away")
 
 
@@ -325,8 +321,8 @@ def queries() -> dict[str, Query]:
         "odds_unmatched_alias_events": _unmatched_events,
         "agent_opinion": _agent,
         "forecast_badges": lambda s, d: client.badge(_forecasts(s, d)).select("match_id", "badge", "prob_class"),
-        "strong_tips": lambda s, d: _forecast_rows(s, d, "match_id", "predicted_winner", "win_pct", "is_strong_tip").filter("is_strong_tip").select("match_id", "predicted_winner", "win_pct").orderBy(F.desc("win_pct"), "match_id"),
-        "high_risk": lambda s, d: _forecast_rows(s, d, "match_id", "confidence_score", "risk_level").filter("risk_level = 'high'").select("match_id", "confidence_score"),
+        "strong_tips": lambda s, d: _forecasts(s, d).filter("is_strong_tip").select("match_id", "predicted_winner", "win_pct").orderBy(F.desc("win_pct"), "match_id"),
+        "high_risk": lambda s, d: _forecasts(s, d).filter("risk_level = 'high'").select("match_id", "confidence_score"),
         "upcoming_mapped": _window,
         "upcoming_dirty": _dirty_window,
         "not_past": _on("matches", lambda m: scans.not_past(m, AS_OF).select("match_id", "kickoff_at")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import catalog, oracle_jobs, oracles
 from .functions import marginals, names
-from .operators import calibration, client, forecast, merge, models, odds, reports, resolve, scans
+from .operators import calibration, client, features, forecast, merge, models, odds, reports, resolve, scans
 from .plans.backtest import backtest
 from .plans.runlog import RunLog
 from .session import scratch
@@ -272,8 +272,22 @@ def _unresolved_list(spark: SparkSession, sf: str) -> DataFrame:
     return scans.unresolved_list(shown, catalog._mapping(spark, sf).filter("competition_code <> 'click'"))
 
 
+def _undated(spark: SparkSession, sf: str) -> DataFrame:
+    """Some matches have no kickoff: all of their teams' matches are their history."""
+    m = relation(spark, sf, "matches").withColumn("kickoff_at", F.when(F.col("match_id") % 11 > 0, F.col("kickoff_at")))
+    return features.with_features(m, undated=True).select("match_id", "home_strength", "away_strength", "home_venue", "away_venue", "home_form", "away_form", F.col("home_n_prior").cast("long").alias("home_n_prior"))
+
+
+def _text_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecasts with texts on injuries, load and motivation."""
+    f = catalog._featured(spark, sf).withColumns({n: F.expr(q) for n, q in oracles.TEXTS.items()})
+    return forecast.forecast(f).select("match_id", "win_pct", "draw_pct", "away_pct", "confidence_score", "risk_level", F.array_join("risk_tags", ",").alias("risk_tags"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "undated_features": _undated,
+        "forecast_text_factors": _text_factors,
         "run_log": _run_log,
         "patched_matches": _patched,
         "decision_log": _decision_log,
@@ -339,7 +353,10 @@ def oracle_sql() -> dict[str, str]:
     plain = f"select * replace (case when match_id % 13 <= 1 then null else home_odds end as home_odds) from ({r.MATCHES})"
     snaps = oracles.sql()["odds_consensus"]
     newest = "select match_id, kickoff_at, competition_code, home_goals, away_goals from m"
+    undated = [(n, q.replace("b.k < a.k", "(a.k is null or b.k < a.k)").replace("order by b.k desc", "order by b.k desc nulls last")) for n, q in oracles.features(f"select * replace (case when match_id % 11 > 0 then kickoff_at end as kickoff_at) from ({r.MATCHES})")]
     return {
+        "undated_features": w(*undated) + "select match_id, home_strength, away_strength, home_venue, away_venue, home_form, away_form, home_n_prior from feats",
+        "forecast_text_factors": w(*oracles.features(), *oracles.texts()) + "select match_id, win_pct, draw_pct, away_pct, confidence_score, risk_level, risk_tags from forecast",
         "run_log": res + "select 'backtest' as job_name, '1.0' as system_version, 'first' as notes, 'success' as status, count(*) as n_rows, cast(sum(points) as bigint) as points, true as is_over, cast(null as boolean) as says_why from results union all select 'broken', '1.0', 'first', 'failed', null, null, true, true",
         "patched_matches": w(("m", r.MATCHES_MULTI), ("o", "select o_orderkey from orders where o_orderstatus = 'P' and year(o_orderdate) between 1996 and 1998")) + f"""select match_id, case when o_orderkey is null then competition_code when match_id % 2 = 0 then null else 'patched' end as competition_code,
             case when o_orderkey is null then home_goals when match_id % 2 = 0 then null else 9 end as home_goals, away_goals, case when o_orderkey is null then timestamp '2000-01-01 00:00:00' else timestamp '{AT}' end as updated_at, cast(year(kickoff_at) as int) as season from m left join o on o_orderkey = match_id""",

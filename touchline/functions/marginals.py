@@ -7,7 +7,7 @@ in plain, compiled expressions; only ``likeliest`` spells the grid out, for the
 
 from __future__ import annotations
 
-from functools import reduce
+from math import factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,43 +16,52 @@ from .grid import GOALS, poisson
 from .probs import Triple
 
 
-def tau(home: Column, away: Column, rho: float) -> dict[tuple[int, int], Column]:
-    """Factors of the four low scores.  With a positive rho draws get rarer."""
-    return {(0, 0): 1 - home * away * rho, (1, 0): 1 + away * rho, (0, 1): 1 + home * rho, (1, 1): F.lit(1 - rho)}
+def tau(rho: float) -> dict[tuple[int, int], str]:
+    """Factors of the four low scores, over the rates _h and _a.  With a positive rho draws get rarer."""
+    return {(0, 0): f"(1 - _h * _a * {rho}d)", (1, 0): f"(1 + _a * {rho}d)", (0, 1): f"(1 + _h * {rho}d)", (1, 1): f"{1 - rho}d"}
 
 
 def with_grid(df: DataFrame, home: Column, away: Column, rho: float = 0.0) -> DataFrame:
     """``df`` with the grid's columns: _h0 to _h6 and _a0 to _a6, the low scores' cells _l00 to _l11, the masses
     of the outcomes _m0 to _m2, _mass, what all cells are divided by, and _top and _cell, the largest cell and its place.
 
-    Each is a column of its own, so that no expression is worked out twice.
+    Each is a column of its own, so that no expression is worked out twice.  They are given as SQL texts, a call
+    for each step, as building them column by column took longer than small tables need to be read.
     """
-    df = df.withColumns({"_h": home, "_a": away})
-    df = df.withColumns({f"_{s}{k}": poisson(k, F.col(f"_{s}")) for s in "ha" for k in range(GOALS)})
-    low = {(i, j): F.col(f"_h{i}") * F.col(f"_a{j}") for i in (0, 1) for j in (0, 1)}
+    def add(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
+        kept = [f"`{c}`" for c in frame.columns if c not in columns]
+        return frame.selectExpr(*kept, *(f"{text} as {name}" for name, text in columns.items()))
+
+    beyond = range(2, GOALS)
+    df = add(df.withColumns({"_h": home, "_a": away}), {f"_{s}{k}": f"exp(-_{s}) * power(_{s}, {k}d) / {factorial(k)}d" for s in "ha" for k in range(GOALS)})
+    low = {(i, j): f"_h{i} * _a{j}" for i in (0, 1) for j in (0, 1)}
     if rho:
-        low = {k: F.greatest(low[k] * t, F.lit(0.0)) for k, t in tau(F.col("_h"), F.col("_a"), rho).items()}
+        low = {k: f"greatest({low[k]} * {t}, 0d)" for k, t in tau(rho).items()}
     # fewer goals than k, for either side
-    fewer = {f"_{s}_{k}": sum((F.col(f"_{s}{j}") for j in range(1, k)), F.col(f"_{s}0")) for s in "ha" for k in range(2, GOALS)}
-    df = df.withColumns({f"_l{i}{j}": c for (i, j), c in low.items()} | fewer)
-    more = lambda s, other: sum((F.col(f"_{s}{k}") * F.col(f"_{other}_{k}") for k in range(2, GOALS)), F.lit(0.0))
-    level = sum((F.col(f"_h{k}") * F.col(f"_a{k}") for k in range(2, GOALS)), F.col("_l00") + F.col("_l11"))
-    df = df.withColumns({"_m0": F.col("_l10") + more("h", "a"), "_m1": level, "_m2": F.col("_l01") + more("a", "h")})
-    df = df.withColumns({"_mass": F.col("_m0") + F.col("_m1") + F.col("_m2") if rho else F.lit(1.0), **_first("h", 2), **_first("a", 0), **_first("a", 2)})
+    fewer = {f"_{s}_{k}": " + ".join(f"_{s}{j}" for j in range(k)) for s in "ha" for k in beyond}
+    df = add(df, {f"_l{i}{j}": c for (i, j), c in low.items()} | fewer)
+    more = lambda s, other: " + ".join(["0d", *(f"_{s}{k} * _{other}_{k}" for k in beyond)])
+    level = " + ".join(["_l00 + _l11", *(f"_h{k} * _a{k}" for k in beyond)])
+    df = add(df, {"_m0": f"_l10 + ({more('h', 'a')})", "_m1": level, "_m2": f"_l01 + ({more('a', 'h')})"} | {f"_{s}{n}_top": _top(s, n) for s, n in (("h", 2), ("a", 0), ("a", 2))})
+    df = add(df, {"_mass": "_m0 + _m1 + _m2" if rho else "1d"} | {f"_{s}{n}_at": _at(s, n) for s, n in (("h", 2), ("a", 0), ("a", 2))})
     # beyond the low scores the largest cell lies where both marginals are largest
-    cells = [(F.col(f"_l{i}{j}"), F.lit(i * GOALS + j)) for i in (0, 1) for j in (0, 1)]
-    cells += [(F.col(f"_h{i}") * F.col("_a2_top"), i * GOALS + F.col("_a2_at")) for i in (0, 1)]
-    cells += [(F.col("_h2_top") * F.col("_a0_top"), F.col("_h2_at") * GOALS + F.col("_a0_at"))]
-    df = df.withColumns({f"_c{n}": p for n, (p, _) in enumerate(cells)}).withColumn("_top", F.greatest(*(F.col(f"_c{n}") for n in range(len(cells)))))
+    cells = [(f"_l{i}{j}", f"{i * GOALS + j}") for i in (0, 1) for j in (0, 1)]
+    cells += [(f"_h{i} * _a2_top", f"{i * GOALS} + _a2_at") for i in (0, 1)]
+    cells += [("_h2_top * _a0_top", f"_h2_at * {GOALS} + _a0_at")]
+    df = add(df, {f"_c{n}": p for n, (p, _) in enumerate(cells)})
+    df = add(df, {"_top": f"greatest({', '.join(f'_c{n}' for n in range(len(cells)))})"})
     # all cells of an equal probability, the first in the order of home, then away goals
-    return df.withColumn("_cell", F.least(*(F.when(F.col(f"_c{n}") == F.col("_top"), at) for n, (_, at) in enumerate(cells))))
+    return add(df, {"_cell": "least(" + ", ".join(f"case when _c{n} = _top then {at} end" for n, (_, at) in enumerate(cells)) + ")"})
+
+
+def _top(side: str, start: int) -> str:
+    """The largest probability of a side from so many goals on."""
+    return "greatest(" + ", ".join(f"_{side}{k}" for k in range(start, GOALS)) + ")"
 
 
-def _first(side: str, start: int) -> dict[str, Column]:
-    """The largest probability of a side from so many goals on, and the first number of goals that has it."""
-    top = F.greatest(*(F.col(f"_{side}{k}") for k in range(start, GOALS)))
-    at = reduce(lambda rest, k: F.when(F.col(f"_{side}{k}") == top, k).otherwise(rest), range(GOALS - 2, start - 1, -1), F.lit(GOALS - 1))
-    return {f"_{side}{start}_top": top, f"_{side}{start}_at": at}
+def _at(side: str, start: int) -> str:
+    """The first number of goals that has it."""
+    return "case " + " ".join(f"when _{side}{k} = _{side}{start}_top then {k}" for k in range(start, GOALS - 1)) + f" else {GOALS - 1} end"
 
 
 def _cell(i: int, j: int) -> Column:

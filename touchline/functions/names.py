@@ -71,24 +71,33 @@ SPECIAL_COMPETITIONS = {
 
 
 
-def _folding() -> tuple[str, str]:
-    """Letters of the Latin blocks and the plain letters that they decompose to."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0].isascii()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs).lower()
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Letters and the ASCII that they decompose to once their marks are gone: those of one sign as two texts, the others by letter."""
+    one, many = {}, {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii())
+        if plain:
+            (one if len(plain) == 1 else many)[c] = plain
+    return "".join(one), "".join(one.values()), many
 
 
-_FROM, _TO = _folding()
+_FROM, _TO, _LONGER = _folding()
 
 
-def normal(text: Column, underscore: bool = False, signs: str = "") -> Column:
-    """Lower case, umlauts spelled out, accents dropped, other signs gone (or ``signs`` for each), single blanks.
+def _spelled(x: Column) -> Column:
+    """Ligatures, fractions and the like written out, for the few texts that have them."""
+    keys, values = ("\x1f".join(v).replace("\\", "\\\\").replace("'", "\\'") for v in (_LONGER, _LONGER.values()))
+    known = F.expr(f"map_from_arrays(split('{keys}', '\x1f'), split('{values}', '\x1f'))")  # folded into one constant
+    written = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+    return F.when(x.rlike("[" + "".join(_LONGER) + "]"), written).otherwise(x)
+
 
-    Accents fold for the Latin blocks; other letters are dropped.
-    """
+def normal(text: Column, underscore: bool = False, signs: str = "") -> Column:
+    """Lower case, umlauts spelled out, letters decomposed and their marks dropped, other signs gone (or ``signs`` for each), single blanks."""
     x = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    x = F.translate(x, _FROM, _TO)
+    x = F.translate(_spelled(x), _FROM, _TO)
     x = F.regexp_replace(x, "[/_-]" if underscore else "[/-]", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9\s]", signs), r"\s+", " "))
 

@@ -34,6 +34,29 @@ def capped(p: Triple) -> Triple:
     return p
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: written out, an expression that uses a value three times holds it three times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+SIDES = ("home", "draw", "away")
+
+
+def three(p: Triple) -> Column:
+    return F.struct(*(x.alias(s) for x, s in zip(p, SIDES, strict=True)))
+
+
+def steps(p: Column, *each) -> Column:
+    """A struct of home, draw and away put through steps from three columns to three, each bound to the one before.
+
+    The expression grows by the step, not by its power, so that filters on what follows from it can be moved through it.
+    """
+    bound = lambda step: lambda v: three(step(tuple(v[s] for s in SIDES)))
+    for step in each:
+        p = let(p, bound(step))
+    return p
+
+
 def split_home(p: Column) -> Triple:
     """A home win probability alone: the rest goes to draw and away as 0.481 to 0.519."""
     p = clamp(p, 0.0, 1.0)

@@ -43,8 +43,29 @@ def form_share(form: Column, empty: float | None = 0.5) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(empty)).otherwise((3 * won + drawn) / (3 * n))
 
 
-def team_state(matches: DataFrame) -> DataFrame:
-    """(match_id, is_home) with the team's prior strength, venue strength, blend, form and counts."""
+def _whole_history(rows: DataFrame) -> DataFrame:
+    """The state of matches without a kickoff: all their teams' matches with a result count, their own too, those without a kickoff as the oldest."""
+    played = F.col("gf").isNotNull() & F.col("ga").isNotNull()
+    pts = F.when(F.col("symbol") == "W", 3).when(F.col("symbol") == "D", 1).otherwise(0)
+    newest = [F.desc_nulls_last("kickoff_at"), "match_id"]
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))
+    done = rows.filter(played).select("team_id", "is_home", "symbol", pts.alias("pts"), (F.col("gf") - F.col("ga")).cast("long").alias("gd"), nth("team_id").alias("nth"), nth("team_id", "is_home").alias("nth_venue"))
+    last = lambda c, n, at="nth": F.sum(F.when(F.col(at) <= n, c))
+    signs = F.array_sort(F.collect_list(F.when(F.col("nth") <= LAST_FORM, F.struct("nth", "symbol"))))
+    state = done.groupBy("team_id").agg(
+        F.count("*").cast("int").alias("n_prior"), last(F.lit(1), LAST).alias("n"), last(F.col("pts"), LAST).alias("s_pts"), last(F.col("gd"), LAST).alias("s_gd"), F.array_join(F.transform(signs, lambda x: x["symbol"]), "").alias("form"),
+    )
+    at_venue = done.groupBy("team_id", "is_home").agg(F.count("*").cast("int").alias("n_prior_venue"), *(last(c, LAST_VENUE, "nth_venue").alias(n) for c, n in ((F.lit(1), "v_n"), (F.col("pts"), "v_pts"), (F.col("gd"), "v_gd"))))
+    asked = rows.filter("kickoff_at IS NULL").select("match_id", "team_id", "is_home", "kickoff_at")
+    found = asked.join(state, "team_id", "left").join(at_venue, ["team_id", "is_home"], "left")
+    return found.withColumns({"n_prior": F.coalesce("n_prior", F.lit(0)), "n_prior_venue": F.coalesce("n_prior_venue", F.lit(0)), "oldest": F.lit(None).cast("timestamp")})
+
+
+def team_state(matches: DataFrame, undated: bool = False) -> DataFrame:
+    """(match_id, is_home) with the team's prior strength, venue strength, blend, form and counts.
+
+    A match without a kickoff has no earlier matches; with ``undated`` the whole history of its teams counts.
+    """
     rows = team_rows(matches)
     pts = F.when(F.col("symbol") == "W", 3).when(F.col("symbol") == "D", 1).otherwise(0)
     gd = (F.col("gf") - F.col("ga")).cast("long")
@@ -76,6 +97,9 @@ def team_state(matches: DataFrame) -> DataFrame:
         F.count(past).over(earlier("team_id", "is_home")).cast("int").alias("n_prior_venue"),
     )
     found = asked.join(state, ["team_id", "n_prior"], "left").join(at_venue, ["team_id", "is_home", "n_prior_venue"], "left")
+    if undated:
+        whole = _whole_history(rows)
+        found = found.filter("kickoff_at IS NOT NULL").select(*whole.columns).unionByName(whole)
     general, special = strength(F.col("n"), F.col("s_pts"), F.col("s_gd")), strength(F.col("v_n"), F.col("v_pts"), F.col("v_gd"))
     return found.select(
         "match_id", "is_home", "n_prior", "n_prior_venue",
@@ -86,9 +110,9 @@ def team_state(matches: DataFrame) -> DataFrame:
     )
 
 
-def with_features(matches: DataFrame) -> DataFrame:
+def with_features(matches: DataFrame, undated: bool = False) -> DataFrame:
     """``matches`` with home_ and away_ strength, form and counts of earlier matches, and win_probability."""
-    state = team_state(matches)
+    state = team_state(matches, undated)
     columns = ("n_prior", "n_prior_venue", "strength", "venue", "form", "crosses_year")
 
     def side(home: bool) -> DataFrame:

@@ -118,7 +118,7 @@ def sql() -> dict[str, str]:
         "pending_events": "select o_orderkey as event_id, 'new' as status, o_orderdate as created_at from orders where o_orderstatus = 'O' order by o_orderdate, o_orderkey limit 200",
         "enriched_matches": "select o_orderkey as match_id, case when o_orderstatus <> 'F' then coalesce(o_orderpriority, 'none') else 'none' end as level, cast(case when o_orderstatus = 'O' then 70 else 50 end as int) as home_strength from orders",
         "recent_form": _with(("mm", r.MATCHES), ("long", _LONG)) + _FORM,
-        "match_strengths": _with(("m0", r.MATCHES), ("mm", "select * replace (case when match_id % 17 <> 0 then away_team_id end as away_team_id) from m0"), ("long", _LONG), ("f", _FORM), ("st", oracles.sql()["standings_strength"]), ("s", "select team_id, strength from st where team_id % 3 = 0 and team_id < 30"))
+        "match_strengths": _with(("m0", r.MATCHES), ("mm", "select * replace (case when match_id % 17 <> 0 then away_team_id end as away_team_id) from m0"), ("long", _LONG), ("f", _FORM), ("st", oracles.sql()["standings_strength"]), ("s", "select team_id, strength from st where strength >= 50"))
         + "select match_id, coalesce(sh.strength, fh.strength, 50) as home_strength, coalesce(sa.strength, fa.strength, 50) as away_strength, coalesce(fh.form, '') as form_home, coalesce(fa.form, '') as form_away from mm left join s sh on sh.team_id = home_team_id left join s sa on sa.team_id = away_team_id left join f fh on fh.team_id = home_team_id left join f fa on fa.team_id = away_team_id",
         "teams_by_competition": matches + "select competition_code, home_team_id as team_id from m union select competition_code, away_team_id from m",
         "season_features": _with(*oracles.features(f"select * from ({r.MATCHES_MULTI}) where year(kickoff_at) in (1996, 1997)")) + "select match_id, home_form, away_form, home_crosses_year from feats where year(kickoff_at) = 1997",

@@ -165,6 +165,37 @@ def resolver() -> list[tuple[str, str]]:
     ]
 
 
+#: Made-up texts of a match's injuries, load and motivation, valid in both engines.
+TEXTS = {
+    "injuries_home": "case match_id % 5 when 0 then 'A, B' when 1 then ' None ' when 2 then '' when 3 then 'X,, Y ,Z' end",
+    "injuries_away": "case match_id % 3 when 0 then 'K' when 1 then '-' else 'Q, R' end",
+    "load_home": "case match_id % 4 when 0 then 'high' when 1 then 'medium' when 2 then 'strange' end",
+    "load_away": "case match_id % 7 when 0 then 'high' when 1 then 'low' end",
+    "motivation_home": "case match_id % 6 when 0 then 'Kampf um den Titel' when 1 then 'ABSTIEG droht' when 2 then '' when 3 then 'Mittelfeld' end",
+    "motivation_away": "case match_id % 5 when 0 then 'Cup Final' when 1 then '' end",
+}
+
+
+def texts() -> list[tuple[str, str]]:
+    """The forecast's steps with the factors and tags of the text columns."""
+    words = "titel|meister|scudetto|treble|ungeschlagen|abstieg|relegation|champions league|championship|cup final|finale|klassenerhalt"
+    named = lambda c: f"case when lower(trim(coalesce({c},''))) in ('','none','keine','-') then 0 else len(list_filter(string_split(lower(trim({c})), ','), lambda x: trim(x) <> '')) end"
+    wants = lambda c: f"case when regexp_matches(lower(coalesce({c},'')), '{words}') then 0.65e0 else 0.5e0 end"
+    worn = lambda c: f"case {c} when 'medium' then 0.03e0 when 'high' then 0.07e0 else 0e0 end"
+    steps = dict(forecasts())
+    steps["fc1"] = steps["fc1"].replace("from feats", "from (select *, " + ", ".join(f"{q} as {n}" for n, q in TEXTS.items()) + " from feats)")
+    steps["fc2"] = f"""select *, case when ih <> 0 or ia <> 0 then greatest(0e0, least(1e0, 0.5e0+(ia-ih)*0.06e0)) end as f_injuries,
+        case when coalesce(motivation_home,'') <> '' or coalesce(motivation_away,'') <> '' then greatest(0e0, least(1e0, ({wants('motivation_home')}+1-{wants('motivation_away')})/2)) end as f_motivation,
+        case when load_home is not null or load_away is not null then greatest(0e0, least(1e0, 0.5e0+{worn('load_away')}-{worn('load_home')})) end as f_load
+        from (select *, {named('injuries_home')} as ih, {named('injuries_away')} as ia from ({steps['fc2']}))"""
+    more = (("injuries", "0.12e0"), ("motivation", "0.10e0"), ("load", "0.08e0"))
+    steps["fc3"] = steps["fc3"].replace("as n_known", "".join(f" + (f_{k} is not null)::int" for k, _ in more) + " as n_known")
+    steps["fc3"] = steps["fc3"].replace("+0.08e0*0.52e0", "+0.08e0*0.52e0" + "".join(f"+coalesce({v}*f_{k},0)" for k, v in more)).replace("+ 0.08e0 +", "+ 0.08e0 " + " ".join(f"+ case when f_{k} is not null then {v} else 0 end" for k, v in more) + " +")
+    told = ("load_home = 'high' then 'Hohe Spielplan-Belastung Heim'", "load_away = 'high' then 'Hohe Spielplan-Belastung Auswärts'", "ih >= 2 then 'Mehrere Ausfälle Heim'", "ia >= 2 then 'Mehrere Ausfälle Auswärts'")
+    steps["fc17"] = steps["fc17"].replace("'Wenig Datenbasis' end,", "'Wenig Datenbasis' end, " + " ".join(f"case when {t} end," for t in told))
+    return list(steps.items())
+
+
 def forecasts() -> list[tuple[str, str]]:
     odds = "case when home_odds<=1.10e0 then 0.90e0 when home_odds<=1.25e0 then 0.80e0 when home_odds<=1.50e0 then 0.65e0 when home_odds<=2e0 then 0.50e0 when home_odds<=2.5e0 then 0.35e0 when home_odds is not null then 0.20e0 end"
     share = lambda c: f"case when {c} <> '' then {_SHARE.format(c)} end"
@@ -249,7 +280,7 @@ def sql() -> dict[str, str]:
         "odds_consensus": _with(("snaps", r.ODDS_SNAPSHOTS), ("last", "select * from snaps qualify row_number() over (partition by match_id, bookmaker_id order by snapshot_ts desc, seq desc, home_odds desc, draw_odds desc, away_odds desc) = 1")) + "select match_id, round(median(home_odds),6) as median_home_odds, round(median(draw_odds),6) as median_draw_odds, round(median(away_odds),6) as median_away_odds, count(distinct bookmaker_id) as bookmaker_count from last group by 1",
         "refresh_changed_only": _with(("a", "select o_orderkey as match_id, o_orderstatus as status, o_orderpriority as code from orders"), ("b", "select o_orderkey as match_id, case when o_orderpriority like '1%' then 'X' else o_orderstatus end as status, case when o_orderstatus = 'P' then null else o_orderpriority end as code from orders")) + "select b.* from a join b using (match_id) where a.status is distinct from b.status or a.code is distinct from b.code",
         "upsert_merge": _with(("a", "select o_orderkey as k, o_orderstatus as status, o_totalprice as price from orders where o_orderstatus <> 'F'"), ("b", "select o_orderkey as k, 'N' as status, o_totalprice+1 as price from orders where o_orderstatus <> 'O'")) + "select coalesce(a.k,b.k) as k, case when b.k is null then a.status else b.status end as status, case when a.k is null then b.price else a.price end as price from a full outer join b on a.k=b.k",
-        "insert_if_absent": _with(("a", "select distinct o_custkey as k from orders where o_orderpriority like '1%'")) + "select c_custkey as k, c_name as name from customer where c_custkey not in (select k from a)",
+        "insert_if_absent": "select c_custkey as k, 'P' as status, c_name as name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')",
         "dirty_semi_join": "select o_orderkey, o_custkey from orders where exists (select 1 from lineitem where l_orderkey=o_orderkey and l_returnflag='R')",
         "unresolved_anti_join": "select c_custkey, c_nationkey from customer where not exists (select 1 from nation where n_nationkey=c_nationkey and n_regionkey<>1)",
         "event_time_match": _with(("matches", r.MATCHES), ("e", "select match_id+1000000 as event_id, competition_code, home_team_id, away_team_id, case when match_id % 13 = 0 then null else kickoff_at + to_minutes(cast(match_id % 300 as bigint)) end as at from matches")) + "select m.match_id, min(e.event_id) as event_id from matches m join e on e.competition_code=m.competition_code and (e.home_team_id=m.home_team_id) and (e.away_team_id=m.away_team_id) and (e.at is null or abs(epoch_us(e.at)-epoch_us(m.kickoff_at)) <= 10800000000) group by 1",
