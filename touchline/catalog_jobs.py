@@ -284,8 +284,60 @@ def _text_factors(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.forecast(f).select("match_id", "win_pct", "draw_pct", "away_pct", "confidence_score", "risk_level", F.array_join("risk_tags", ",").alias("risk_tags"))
 
 
+def _land_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches as the fixtures service answers, one in each line: some are to come, some lack a name, a date or a score."""
+    m = relation(spark, sf, "named_matches").join(relation(spark, sf, "matches").select("match_id", "home_team_id", "away_team_id", "home_goals", "away_goals"), "match_id")
+    k = F.col("match_id")
+    side = lambda s: F.struct(F.col(f"{s}_team_id").alias("id"), F.when(k % 6 == 0, "").when(k % 35 > 0, F.col(f"{s}_team")).alias("name"), F.when(k % 35 > 0, F.concat(F.lit("s "), f"{s}_team")).alias("shortName"))
+    goals = F.when(k % 9 > 0, F.struct(F.struct(F.col("home_goals").alias("home"), F.col("away_goals").alias("away")).alias("fullTime")))
+    date = F.when(k % 50 == 0, "soon").otherwise(F.date_format("kickoff_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    row = F.struct(k.alias("id"), date.alias("utcDate"), F.when(k % 4 == 0, "TIMED").otherwise("FINISHED").alias("status"), F.struct(F.col("competition_code").alias("code")).alias("competition"), side("home").alias("homeTeam"), side("away").alias("awayTeam"), goals.alias("score"))
+    path = scratch(spark, "fixtures")
+    m.select(F.to_json(row).alias("value")).write.text(path)
+    return landed.matches(spark, path)
+
+
+def _landed_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Finished matches with what is stored of every third."""
+    m = relation(spark, sf, "matches").filter("match_id % 3 = 0")
+    stored = m.select(F.concat(F.lit("football_data_"), F.col("match_id").cast("string")).alias("external_id"), F.when(F.col("match_id") % 2 == 0, "Own name").otherwise("").alias("home_team"), F.lit(None).cast("string").alias("away_team"), F.lit("f").alias("flag"), F.lit("L").alias("league_abbr"), F.lit(None).cast("string").alias("competition_code"), F.col("home_odds").alias("market_home_win_odds"), F.col("draw_odds").alias("market_draw_odds"), F.col("away_odds").alias("market_away_odds"))
+    out = landed.results(_land_matches(spark, sf), stored, "2024")
+    return out.withColumn("has_kickoff", F.col("kickoff_at").isNotNull()).drop("kickoff_at", "draw_odds", "away_odds")
+
+
+def _seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated aliases that the table doesn't have for their team and scope."""
+    new = catalog._aliases(spark, sf).select("team_id", F.col("alias").alias("alias_normalized"), F.lit(None).cast("string").alias("source_system"), F.lit("").alias("competition_code"))
+    return merge.insert_absent(_stored_aliases(spark, sf), new, resolve.ALIAS_KEY, resolve.ALIAS_SCOPE)
+
+
+def _changed_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders whose list of flags was stored before a third of their lines came; a missing list is an empty one."""
+    o, lines = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status")), table(spark, sf, "lineitem")
+    flags = lambda some: lines.filter(some).groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
+    old = o.join(flags("l_shipdate < timestamp '1998-01-01 00:00:00'"), "k", "left")
+    new = o.join(flags("true"), "k", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
+    return merge.changed(old, new, ["k"], ["status", "flags"], lists=["flags"]).withColumn("flags", F.array_join("flags", ","))
+
+
+def _violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of which some were spoilt on the way."""
+    k = F.col("match_id") % 10
+    spoilt = {"points": F.when(k == 0, 3).otherwise(F.col("points")), "outcome_label": F.when(k == 1, "lucky").when(k != 2, F.col("outcome_label")), "predicted_1x2": F.when(k == 3, "X").otherwise(F.col("predicted_1x2")), "actual_1x2": F.when(k == 4, "").otherwise(F.col("actual_1x2"))}
+    return merge.violations(catalog._results(spark, sf).withColumns(spoilt))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "landed_coming": lambda s, d: landed.coming(_land_matches(s, d)).select("external_id", "competition_code", "home_team", "away_team", "home_team_id", "away_team_id"),
+        "landed_results": _landed_results,
+        "seeded_aliases": _seeded,
+        "changed_lists": _changed_lists,
+        "result_violations": _violations,
+        "team_decision_counts": lambda s, d: resolve.decision_counts(catalog._decided(s, d)),
+        "model_rankings_named": lambda s, d: reports.named_rankings(catalog._results(s, d)).select("model_key", "model_name", "matches_evaluated", "total_points", "avg_points"),
+        "day_labels": lambda s, d: relation(s, d, "matches").withColumn("kickoff_at", F.when(F.col("match_id") % 20 > 0, F.col("kickoff_at"))).select("match_id", client.day_key(F.col("kickoff_at")).alias("day"), client.weekday(F.col("kickoff_at")).alias("weekday"), client.is_today(F.col("kickoff_at"), catalog.AS_OF).alias("is_today")),
+        "matches_between": lambda s, d: relation(s, d, "matches").filter(scans.between("kickoff_at", "2024-01-05 00:00:00", "2024-01-07 00:00:00")).select("match_id", "kickoff_at"),
         "undated_features": _undated,
         "forecast_text_factors": _text_factors,
         "run_log": _run_log,
@@ -354,7 +406,19 @@ def oracle_sql() -> dict[str, str]:
     snaps = oracles.sql()["odds_consensus"]
     newest = "select match_id, kickoff_at, competition_code, home_goals, away_goals from m"
     undated = [(n, q.replace("b.k < a.k", "(a.k is null or b.k < a.k)").replace("order by b.k desc", "order by b.k desc nulls last")) for n, q in oracles.features(f"select * replace (case when match_id % 11 > 0 then kickoff_at end as kickoff_at) from ({r.MATCHES})")]
+    landed_rows = w(("n", r.NAMED_MATCHES), ("m", r.MATCHES))
+    shown = lambda side: f"case when n.match_id % 35 = 0 then null when n.match_id % 6 = 0 then 's ' || {side}_team else {side}_team end"
     return {
+        "landed_coming": landed_rows + f"select cast(n.match_id as varchar) as external_id, n.competition_code, {shown('home')} as home_team, {shown('away')} as away_team, home_team_id, away_team_id from n join m using (match_id) where n.match_id % 4 = 0 and n.match_id % 50 <> 0 and n.match_id % 35 <> 0",
+        "landed_results": landed_rows + f"""select 'football_data_' || n.match_id as external_id, home_team_id, away_team_id, cast(home_goals as int) as home_goals, cast(away_goals as int) as away_goals, case when n.match_id % 6 = 0 then 'Own name' else coalesce({shown('home')}, '?') end as home_team, coalesce({shown('away')}, '?') as away_team,
+            case when n.match_id % 3 = 0 then 'f' else '' end as flag, case when n.match_id % 3 = 0 then 'L' else n.competition_code end as league_abbr, n.competition_code, case when n.match_id % 3 = 0 then home_odds end as home_odds, '2024' as season, n.match_id % 50 <> 0 as has_kickoff from n join m using (match_id) where n.match_id % 9 > 0""",
+        "seeded_aliases": resolver + f"select team_id, alias as alias_normalized, cast(null as varchar) as source_system, '' as competition_code from alias_list a where not exists (select 1 from teams t where t.team_id = a.team_id and {normal.format("'FC ' || t.canonical_name")} = a.alias)",
+        "changed_lists": w(("a", "select l_orderkey as k, list_sort(list(distinct l_returnflag)) as f from lineitem where l_shipdate < timestamp '1998-01-01 00:00:00' group by 1"), ("b", "select l_orderkey as k, list_sort(list(distinct l_returnflag)) as f from lineitem group by 1")) + "select o_orderkey as k, o_orderstatus as status, array_to_string(coalesce(b.f, []), ',') as flags from orders left join a on a.k = o_orderkey left join b on b.k = o_orderkey where coalesce(a.f, []) <> coalesce(b.f, [])",
+        "result_violations": res + "select count(*) filter (match_id % 10 = 0) as bad_points, count(*) filter (match_id % 10 = 1) as bad_label, count(*) filter (match_id % 10 = 3) as bad_predicted, count(*) filter (match_id % 10 = 4) as bad_actual from results",
+        "team_decision_counts": resolver + "select v.decision, count(d.event_id) as n from (values ('approve'), ('approve_provisional'), ('no_match'), ('reject')) v(decision) left join decided d on d.decision = v.decision group by 1",
+        "model_rankings_named": res + "select model_key, case model_key when 'dc' then 'Dixon–Coles' when 'market' then 'Markt' else upper(model_key[1]) || model_key[2:] end as model_name, count(*) as matches_evaluated, cast(sum(points) as bigint) as total_points, round(sum(points)/count(*), 2) as avg_points from results group by 1, 2",
+        "day_labels": matches + "select match_id, case when match_id % 20 > 0 then strftime(kickoff_at, '%Y-%m-%d') else 'unknown' end as day, case when match_id % 20 > 0 then (['Sonntag','Montag','Dienstag','Mittwoch','Donnerstag','Freitag','Samstag'])[dayofweek(kickoff_at) + 1] else '?' end as weekday, match_id % 20 > 0 and cast(kickoff_at as date) = date '2024-01-15' as is_today from m",
+        "matches_between": matches + "select match_id, kickoff_at from m where kickoff_at >= timestamp '2024-01-05 00:00:00' and kickoff_at < timestamp '2024-01-07 00:00:00'",
         "undated_features": w(*undated) + "select match_id, home_strength, away_strength, home_venue, away_venue, home_form, away_form, home_n_prior from feats",
         "forecast_text_factors": w(*oracles.features(), *oracles.texts()) + "select match_id, win_pct, draw_pct, away_pct, confidence_score, risk_level, risk_tags from forecast",
         "run_log": res + "select 'backtest' as job_name, '1.0' as system_version, 'first' as notes, 'success' as status, count(*) as n_rows, cast(sum(points) as bigint) as points, true as is_over, cast(null as boolean) as says_why from results union all select 'broken', '1.0', 'first', 'failed', null, null, true, true",

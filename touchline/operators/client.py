@@ -136,3 +136,22 @@ def signed(number: Column, digits: int = 2) -> Column:
     """A number with its sign; 0 has a plus."""
     x = number.cast("double")
     return F.when(number.isNull(), DASH).otherwise(F.concat(F.when(x >= 0, "+").otherwise(""), F.format_string(f"%.{digits}f", x)))
+
+
+# Weekdays from Sunday on, and what stands for an unknown day.
+WEEKDAYS = ("Sonntag", "Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag")
+NO_DAY, NO_WEEKDAY = "unknown", "?"
+
+
+def day_key(at: Column) -> Column:
+    """The day as a text that sorts."""
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd"), F.lit(NO_DAY))
+
+
+def weekday(at: Column) -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, WEEKDAYS)), F.dayofweek(at) - 1), F.lit(NO_WEEKDAY))
+
+
+def is_today(at: Column, now: str) -> Column:
+    """Whether a time lies on the day of ``now``."""
+    return F.coalesce(F.to_date(at) == F.to_date(F.lit(now).cast("timestamp_ntz")), F.lit(False))

@@ -36,15 +36,12 @@ def _same(keys: Sequence[str]) -> Column:
     return out
 
 
-def insert_absent(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new``, one for each key, whose key ``old`` doesn't have."""
-    o = old.select(*(F.col(k).alias(f"n_{k}") for k in keys)).distinct()
-    return new.dropDuplicates(list(keys)).join(o, _same(keys), "left_anti")
-
-
-def scope_key(*columns: str) -> list[Column]:
-    """Key columns in which an empty string equals null."""
-    return [F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns]
+def insert_absent(old: DataFrame, new: DataFrame, keys: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``new``, one for each key, whose key ``old`` doesn't have; key columns in ``scope`` take an empty text for null."""
+    key = lambda c: F.coalesce(F.col(c), F.lit("")) if c in scope else F.col(c)
+    o = old.select(*(key(k).alias(f"n_{k}") for k in keys)).distinct()
+    marked = new.withColumns({f"_k_{k}": key(k) for k in keys}).dropDuplicates([f"_k_{k}" for k in keys])
+    return marked.join(o, reduce(lambda a, b: a & b, (F.col(f"_k_{k}").eqNullSafe(F.col(f"n_{k}")) for k in keys)), "left_anti").select(*new.columns)
 
 
 def upsert_counted(old: DataFrame, new: DataFrame, keys: Sequence[str], scope: Sequence[str], order: str, at: str, count: str = "usage_count", seen: str = "last_seen_at", updated: str = "updated_at", row_id: str = "id") -> DataFrame:
@@ -124,12 +121,16 @@ def last_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return numbered.filter("_n = 1").drop("_n").withColumnRenamed("_first", "first_" + order)
 
 
-def changed(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key is in ``old`` with some other value; null equals null."""
+def changed(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``new`` whose key is in ``old`` with some other value; null equals null, and an empty list too in ``lists``."""
     n = new.select(*(F.col(c).alias(f"n_{c}") for c in [*keys, *values]))
     differs = F.lit(False)
     for v in values:
-        differs = differs | ~F.col(v).eqNullSafe(F.col(f"n_{v}"))
+        a, b = F.col(v), F.col(f"n_{v}")
+        if v in lists:
+            empty = F.array().cast(old.schema[v].dataType)
+            a, b = F.coalesce(a, empty), F.coalesce(b, empty)
+        differs = differs | ~a.eqNullSafe(b)
     joined = old.join(n, [F.col(k) == F.col(f"n_{k}") for k in keys]).filter(differs)
     return joined.select(*(F.col(f"n_{c}").alias(c) for c in [*keys, *values]))
 

@@ -31,6 +31,16 @@ def model_rankings(results: DataFrame, by_version: bool = True) -> DataFrame:
     )
 
 
+#: What models are called.
+MODEL_NAMES = {"ensemble": "Ensemble", "poisson": "Poisson", "elo": "Elo", "dc": "Dixon–Coles", "market": "Markt"}
+
+
+def named_rankings(results: DataFrame) -> DataFrame:
+    """The ranking with versions merged and each model's name, its key where it has none."""
+    name = F.try_element_at(F.create_map(*(F.lit(x) for kv in MODEL_NAMES.items() for x in kv)), F.col("model_key"))
+    return model_rankings(results, by_version=False).withColumn("model_name", F.coalesce(name, "model_key"))
+
+
 def eval_summary(results: DataFrame) -> DataFrame:
     """Fifteen measures for each model over results with an outcome; rates leave out null flags."""
     exact, tendency, actual = F.col("is_exact_hit"), F.col("is_tendency_hit"), F.col("actual_1x2")

@@ -115,6 +115,16 @@ def reasoning(events: DataFrame, decisions: DataFrame, approve: float = APPROVE[
     return rows.select("event_id", F.col("team_id").alias("suggested_team_id"), "decision", F.col("score").alias("confidence"), F.to_json(said).alias("reasoning"))
 
 
+#: What a run counts, in this order.
+KINDS = ("approve", "approve_provisional", "no_match", "reject")
+
+
+def decision_counts(decisions: DataFrame) -> DataFrame:
+    """How often each kind of decision was made, those that never were too."""
+    counts = [F.count(F.when(F.col("decision") == k, 1)) for k in KINDS]
+    return decisions.agg(F.array(*(F.struct(F.lit(k).alias("decision"), n.alias("n")) for k, n in zip(KINDS, counts, strict=True))).alias("c")).select(F.inline("c"))
+
+
 def status(decision: Column) -> Column:
     """An event's next status; a decision of no known kind rejects it."""
     return F.when(decision.isin("approve", "approve_provisional"), "resolved").when(decision == "no_match", "ignored").otherwise("rejected")

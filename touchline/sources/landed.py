@@ -104,6 +104,32 @@ def finished(landed: DataFrame) -> DataFrame:
     return landed.filter((F.col("status") == "FINISHED") & goals["home"].isNotNull() & goals["away"].isNotNull()).select(F.col("id").cast("string").alias("external_id"), F.try_to_timestamp("utcDate").alias("kickoff_at"), F.col("competition.code").alias("competition_code"), F.col("homeTeam.id").alias("home_team_id"), F.col("awayTeam.id").alias("away_team_id"), goals["home"].alias("home_goals"), goals["away"].alias("away_goals"))
 
 
+#: Display columns and odds of the stored matches that a result takes where it finds them.
+ENRICHMENT = ("home_team", "away_team", "flag", "league_abbr", "competition_code", "market_home_win_odds", "market_draw_odds", "market_away_odds")
+
+
+def results(landed: DataFrame, enrichment: DataFrame, season: str, code: str | None = None) -> DataFrame:
+    """Landed matches with a full-time score as the back-test reads them, whatever their status.
+
+    ``enrichment`` (external_id and ENRICHMENT) gives names, flag, league and odds; where it doesn't, the answer's own
+    name or short name counts, and '?' where there is none.  ``code`` stands for a missing competition.
+    """
+    goals, own = F.col("score.fullTime"), F.coalesce(F.col("competition.code"), F.lit(code))
+    rows = landed.filter(goals["home"].isNotNull() & goals["away"].isNotNull()).select(
+        F.concat(F.lit("football_data_"), F.col("id").cast("string")).alias("external_id"), F.col("homeTeam.id").alias("home_team_id"), F.col("awayTeam.id").alias("away_team_id"),
+        F.try_to_timestamp("utcDate").alias("kickoff_at"), goals["home"].alias("home_goals"), goals["away"].alias("away_goals"), own.alias("_code"), _name("homeTeam").alias("_home"), _name("awayTeam").alias("_away"),
+    )
+    e = enrichment.select("external_id", *(F.col(c).alias(f"_e_{c}") for c in ENRICHMENT))
+    said = lambda c: F.nullif(F.col(f"_e_{c}"), F.lit(""))
+    shown = {
+        "home_team": F.coalesce(said("home_team"), F.nullif(F.col("_home"), F.lit("")), F.lit("?")), "away_team": F.coalesce(said("away_team"), F.nullif(F.col("_away"), F.lit("")), F.lit("?")),
+        "flag": F.coalesce("_e_flag", F.lit("")), "league_abbr": F.coalesce("_e_league_abbr", "_code"), "competition_code": F.coalesce("_e_competition_code", "_code"),
+        "home_odds": F.col("_e_market_home_win_odds"), "draw_odds": F.col("_e_market_draw_odds"), "away_odds": F.col("_e_market_away_odds"), "season": F.lit(season),
+    }
+    kept = [c for c in rows.columns if not c.startswith("_")]
+    return rows.join(e, "external_id", "left").select(*kept, *(c.alias(n) for n, c in shown.items()))
+
+
 def standings(spark: SparkSession, path: str) -> DataFrame:
     """The table of each competition: its TOTAL block, or else its first."""
     blocks = spark.read.schema(STANDINGS_SCHEMA).option("multiLine", True).json(path).select(F.col("competition.code").alias("comp_id"), F.posexplode("standings").alias("at", "block"))
