@@ -3,16 +3,17 @@
 The base patterns give assignments to secret-like names, access key ids and long hex strings.  The
 method looks at every token of at least ``MIN_TOKEN`` characters, as a whole and its runs of letters and digits
 apart.  It infers the token's encoding and tests its characters for uniform use of that alphabet (chi-squared), for
-runs above and below the alphabet's middle, for runs of capitals, small letters, digits and signs (of vowels and others
-where there is one case of letters alone), and for serial correlation.  A discovery must pass as random: the standard scores combine to a statistic that a random string
-exceeds once in 1,000 times.
+runs above and below the alphabet's middle, for runs of digits and other characters (of vowels and others where
+there is one case of letters alone), and for serial correlation.  A discovery must pass as random: the standard
+scores combine to a statistic that a random string exceeds once in 1,000 times.
 
 How likely ordinary text passes as well as that depends on the encoding and the length.  For characters drawn as often
 as the corpus uses them (within the alphabet), the chi-squared statistic and the number of changes between kinds of
 characters have means, variances and a covariance in closed form; ordinary text uses few characters often, seldom
-changes between capitals, small letters and digits, and often between vowels and others.  Their difference in standard scores gives each token a p-value, and Benjamini and Hochberg's rule,
-for each encoding and class of lengths, the largest p-value at which the share of false discoveries stays below
-``FALSE_SHARE``.  The driver gets one row of character counts and the tokens' histogram, some thousand rows.
+changes between digits and letters, and often between vowels and others.  Their difference in standard scores gives
+each token a p-value, and Benjamini and Hochberg's rule, for each encoding and class of lengths, the largest p-value
+at which the share of false discoveries stays below ``FALSE_SHARE``.  The driver gets one row of character counts and
+the tokens' histogram, some thousand rows.
 
 Nulls: a null text counts as empty; a null id stays null.  Each row gives a row; repeated rows give the same.
 """
@@ -67,12 +68,17 @@ WORD = 1
 
 
 def kinds(alphabet: str) -> str:
-    """A mark for each character: capital, small, digit or sign; vowel or not where all are letters of one case; none for digits."""
-    marks = "".join("u" if c in _UP else "l" if c in _LOW else "d" if c in _DIGITS else "s" for c in alphabet)
-    return marks if len(set(marks)) > 1 else "".join("1" if c in "AEIOUaeiou" else "0" for c in alphabet)
+    """A mark for each character: digit or not; vowel or not where all are letters of one case.
 
+    One mark where there is neither: capitals and small letters alternate in ordinary names as well.
+    """
+    if set(_DIGITS) & set(alphabet):
+        return "".join("d" if c in _DIGITS else "x" for c in alphabet)
+    one_case = alphabet in (_LOW, _UP)
+    return "".join("d" if one_case and c in "AEIOUaeiou" else "x" for c in alphabet)
 
-#: Encodings whose alphabets have characters of several kinds: all but digits.
+
+#: Encodings whose alphabets have characters of several kinds: all but digits and letters of both cases.
 MIXED = tuple(k for k, (_, a) in enumerate(ENCODINGS) if len(set(kinds(a))) > 1)
 
 
@@ -124,7 +130,7 @@ def _statistic(chi: str) -> str:
 
 def _changes() -> str:
     """SQL for the number of changes between kinds of characters of c.token."""
-    return "(length(regexp_replace(translate(c.token, c.alphabet, c.kinds), 'u++|l++|d++|s++|0++|1++', 'x')) - 1)"
+    return "(length(regexp_replace(translate(c.token, c.alphabet, c.kinds), 'd++|x++', 'x')) - 1)"
 
 
 def _tokens(regex: str) -> str:
