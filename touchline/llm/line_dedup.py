@@ -6,8 +6,9 @@ id of the document, then place) stays and the others go.  A line is split into `
 one of which survives whole in any line that near.  Each different line posts its segments under its length,
 and probes, for its own and each shorter length that is near enough, the few substrings that a
 surviving segment could be.  Lines that meet and whose character counts allow it are verified with
-a banded bit-parallel edit distance, many pairs at a time.  The posts of a key with more than ``block``
-lines are dealt out in blocks that meet two by two, so no task holds or compares all lines of one key.
+a banded bit-parallel edit distance, many pairs at a time.  Lines of a key with more than ``FEW`` of them bring
+their texts, are dealt out in blocks of at most about ``block`` lines that meet two by two, and leave a forest
+of confirmed links, fewer than the lines that met: no task holds all lines of one key, and none emits its pairs.
 
 Shorter lines stay.  A document all of whose lines go keeps an empty text; ``drop_empty`` drops it.
 Nulls: a null text stays null; a null id comes after all others; repeated rows are later copies.
@@ -34,8 +35,10 @@ MIN_CHARS = 24
 BAG = 9
 #: The lowest bit of a note above the counts; from here on it tells the side of a line whose key is of two blocks.
 SIDE = 2 + 3 * BAG
-#: Lines of a key that are compared in one task, about; a key with more is cut into blocks.
-BLOCK = 4096
+#: Lines of a key that give pairs; those of a key with more are connected by links that are confirmed where they meet.
+FEW = 64
+#: Lines of a key that are compared in one task, about, and their bytes; a key with more is cut into blocks.
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
 
@@ -182,39 +185,41 @@ def _post(min_chars: int, edits: int) -> Callable:
     return run
 
 
+def _allowed(x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:
+    """Which notes allow a link: one side posts what the other probes, and no count of characters rules it out."""
+    ok = ((x & 1) & (y >> 1 & 1)) | ((y & 1) & (x >> 1 & 1))
+    apart = np.zeros(np.broadcast(x, y).shape, np.int64)
+    for c in range(BAG):
+        d = ((x >> (2 + 3 * c)) - (y >> (2 + 3 * c))) & 7
+        apart += np.minimum(d, 8 - d)
+    met = (x >> SIDE != y >> SIDE) | (x >> SIDE == 0)
+    return (ok == 1) & met & (apart <= 2 * edits)
+
+
 def _meet(edits: int, block: int) -> Callable:
     """Posts sorted by key, line -> pairs of different lines whose counts of characters allow a link; key is null there.
 
-    The posts of a key with more than ``block`` of them pass through as (line, line, key, note) instead.
+    The posts of a key with more than ``block`` lines pass through as (line, line, key, note) instead.
     """
 
-    def allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        ok = ((x & 1) & (y >> 1 & 1)) | ((y & 1) & (x >> 1 & 1))
-        apart = np.zeros(np.broadcast(x, y).shape, np.int64)
-        for c in range(BAG):
-            d = ((x >> (2 + 3 * c)) - (y >> (2 + 3 * c))) & 7
-            apart += np.minimum(d, 8 - d)
-        met = (x >> SIDE != y >> SIDE) | (x >> SIDE == 0)
-        return (ok == 1) & met & (apart <= 2 * edits)
+    def once(key: np.ndarray, line: np.ndarray, note: np.ndarray) -> list[np.ndarray]:
+        # a line may come from many tasks, and may probe and post at one key
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])]))
+        return [key[at], line[at], np.bitwise_or.reduceat(note, at)]
 
     def pairs(key: np.ndarray, line: np.ndarray, note: np.ndarray) -> pa.RecordBatch:
-        # a line may come from many tasks, and may probe and post at one key
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])
-        at = np.flatnonzero(new)
-        note = np.bitwise_or.reduceat(note, at)
-        key, line = key[at], line[at]
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([cut, [len(key)]]))
         each = np.repeat(size, size)
         left, right = [], []
         for d in range(1, min(32, int(size.max()))):
             i = np.flatnonzero((each[:-d] <= 32) & (key[:-d] == key[d:]))
-            i = i[allowed(note[i], note[i + d])]
+            i = i[_allowed(note[i], note[i + d], edits)]
             left.append(i)
             right.append(i + d)
         for c, n in zip(cut[size > 32], size[size > 32], strict=True):
             for i in range(c, c + n - 1):
-                j = i + 1 + np.flatnonzero(allowed(note[i], note[i + 1 : c + n]))
+                j = i + 1 + np.flatnonzero(_allowed(note[i], note[i + 1 : c + n], edits))
                 left.append(np.full(len(j), i))
                 right.append(j)
         a, b = (line[np.concatenate(x)] if x else line[:0] for x in (left, right))
@@ -243,6 +248,7 @@ def _meet(edits: int, block: int) -> Callable:
             now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
             if not len(now[0]):
                 continue
+            now = once(*now)
             last = now[0][-1]
             whole = int(np.searchsorted(now[0], last))
             if whole:
@@ -257,22 +263,100 @@ def _meet(edits: int, block: int) -> Callable:
     return run
 
 
-def _met(posted: DataFrame, edits: int, block: int) -> DataFrame:
-    """Pairs (a, b) of lines that meet at a key, each once."""
-    shape = "a long, b long, key long, note int"
-    found = settle(posted.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_meet(edits, block), shape), "line-meetings")
-    pairs = found.filter("key IS NULL").select("a", "b")
+_POSTS = "a long, b long, key long, note int"
+
+
+def _sorted_out(posted: DataFrame, edits: int, few: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) that meet at keys of up to ``few`` lines, the posts (key, line, note) of other keys, and the table of both."""
+    found = settle(posted.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_meet(edits, few), _POSTS), "line-meetings")
     long = found.filter("key IS NOT NULL").groupBy("key", F.col("a").alias("line")).agg(F.bit_or("note").alias("note"))
+    return found.filter("key IS NULL").select("a", "b"), long, found
+
+
+def _dealt(long: DataFrame, block: int) -> DataFrame:
+    """``long`` with a new key for each two blocks of an old one: lines in the same block meet there, or those of two."""
     # blocks of half the size, so that two of them fit in one comparison; the key of two blocks is a hash of their numbers
-    blocks = long.groupBy("key").agg(F.ceil(F.count("*") / (block // 2)).cast("int").alias("blocks"))
+    room = F.count("*") / (block // 2)
+    if "text" in long.columns:
+        room = F.greatest(room, F.sum(F.octet_length("text")) / (BLOCK_BYTES // 2))
+    blocks = long.groupBy("key").agg(F.ceil(room).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("line"), F.col("blocks"))
     dealt = long.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0)  # two blocks: only lines of different sides
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "line", F.col("note").bitwiseOR(F.shiftleft(side, SIDE)).alias("note"))
-    between = dealt.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_meet(edits, _LAST), shape).select("a", "b")
+    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(key.alias("key"), "line", F.col("note").bitwiseOR(F.shiftleft(side, SIDE)).alias("note"), *(c for c in long.columns if c == "text"))
+
+
+def _met(posted: DataFrame, edits: int, block: int) -> DataFrame:
+    """Pairs (a, b) of lines that meet at a key, each once; ``dedup_lines`` confirms those of long keys where they meet."""
+    pairs, long, _ = _sorted_out(posted, edits, block)
+    between = _dealt(long, block).repartition("key").sortWithinPartitions("key", "line").mapInArrow(_meet(edits, _LAST), _POSTS).select("a", "b")
     return settle(pairs.unionByName(between).distinct(), "line-pairs")
 
 
+def forest(note: np.ndarray, points: list[np.ndarray], edits: int) -> list[tuple[int, int]]:
+    """Links that connect whatever links connect among these lines: less of them than lines, all confirmed."""
+    label = np.arange(len(note))
+    out: list[tuple[int, int]] = []
+
+    def confirm(left: list[np.ndarray], right: list[np.ndarray]) -> None:
+        i, j = np.concatenate(left), np.concatenate(right)
+        for at in range(0, len(i), 1024):  # pairs that came to be connected meanwhile aren't compared
+            x, y = i[at : at + 1024], j[at : at + 1024]
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            for k in np.flatnonzero(near([(points[p], points[q]) for p, q in zip(x, y, strict=True)], edits)):
+                p, q = label[x[k]], label[y[k]]
+                if p != q:
+                    label[label == max(p, q)] = min(p, q)
+                    out.append((int(x[k]), int(y[k])))
+
+    left, right, waiting = [], [], 0
+    for i in range(len(note) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[_allowed(note[i], note[j], edits)]
+        if len(j):
+            left.append(np.full(len(j), i))
+            right.append(j)
+            waiting += len(j)
+        if waiting >= 4096:
+            confirm(left, right)
+            left, right, waiting = [], [], 0
+    if waiting:
+        confirm(left, right)
+    return out
+
+
+def _connect(edits: int) -> Callable:
+    """Posts with texts, sorted by key, line -> a forest of links of each key."""
+
+    def links(line: list[np.ndarray], note: list[np.ndarray], text: list[str]) -> pa.RecordBatch:
+        lines = np.concatenate(line)
+        found = np.array(forest(np.concatenate(note), [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in text], edits), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(lines[found[:, 0]]), pa.array(lines[found[:, 1]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, line, note, text = None, [], [], []
+        for batch in batches:
+            key = tb.column(batch, "key").to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            for start, end in zip(cut[:-1], cut[1:], strict=True):
+                if start == end:
+                    continue
+                if key[start] != now:
+                    if line:
+                        yield links(line, note, text)
+                    now, line, note, text = key[start], [], [], []
+                part = batch.slice(start, end - start)
+                line.append(tb.column(part, "line").to_numpy())
+                note.append(tb.column(part, "note").to_numpy())
+                text += tb.column(part, "text").to_pylist()
+        if line:
+            yield links(line, note, text)
+
+    return run
+
+
 def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         line, text = [], []
@@ -318,17 +402,20 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edi
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("doc"), F.col(f"`{text}`").alias("text"))
     occurrences = settle(rows.mapInArrow(_occurrences(min_chars), "row long, doc long, number int, line long"), "occurrences")
     posted = rows.select("text").mapInArrow(_post(min_chars, edits), "key long, line long, note int")
-    pairs = _met(posted, edits, block)
+    pairs, long, met = _sorted_out(posted, edits, FEW)
+    pairs = settle(pairs.distinct(), "line-pairs")
 
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(long.select("line")).distinct()
     # a line of very many documents is reduced to one place before it is dealt out
     places = occurrences.groupBy("line").agg(F.min(F.struct("row", "number")).alias("p")).join(wanted, "line", "left_semi").select("line", "p.row", "p.number")
     by_row = places.groupBy("row").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
     # texts are always shuffled, so that the plan and its disk don't change with the number of lines
     texts = settle(rows.select("row", "text").join(by_row.hint("merge"), "row").mapInArrow(_lines_of, "line long, text string"), "line-texts")
     side = lambda c, name: texts.select(F.col("line").alias(c), F.col("text").alias(name))
-    links = settle(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_verify(edits), "a long, b long"), "line-links")
-    for done in (pairs, texts):
+    confirmed = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_verify(edits), "a long, b long")
+    connected = _dealt(long.join(texts, "line"), block).repartition("key").sortWithinPartitions("key", "line").mapInArrow(_connect(edits), "a long, b long")
+    links = settle(confirmed.unionByName(connected), "line-links")
+    for done in (met, pairs, texts):
         forget(done)
 
     classes = components(links).withColumnsRenamed({"node": "line", "component": "class"})
