@@ -39,15 +39,15 @@ def best_events(matches: DataFrame, events: DataFrame, aliases: DataFrame, minut
     """Each match's event with the largest mean name similarity within the band, the first of equals; none where all are 0.
 
     ``matches``: match_id, sport_key, competition_code, kickoff_at, home_team, away_team; ``events``: event_id,
-    sport_key, kickoff_at (null: unknown, passes), home_team, away_team.  Timed events meet matches by ranges of
-    the band's width, untimed ones by a shared word or form, without which the similarity is 0.
+    sport_key, kickoff_at (null: unknown, passes), home_team, away_team.  They meet by a shared word or form of a
+    side, without which the similarity is 0; timed events by one within a range of the band's width.
     """
     width = minutes * 60_000_000
     slot = lambda c: F.floor(F.unix_micros(c) / width)
     tag = lambda mark, keys: F.transform(keys, lambda k: F.concat(F.lit(mark), k))
     words = lambda side, p: F.flatten(F.transform(F.col(f"{p}{side}_set"), names.tokens))
     shared = lambda p: F.concat(*(F.concat(tag(f"{s}=", F.col(f"{p}{s}_set")), tag(f"{s}:", words(s, p))) for s in SIDES))
-    text = lambda *slots: F.array(*(x.cast("string") for x in slots))
+    within = lambda slots, keys: F.flatten(F.transform(slots, lambda n: F.transform(keys, lambda k: F.concat_ws("|", n.cast("string"), k))))
 
     matches, events = (df.withColumn("kickoff_at", F.col("kickoff_at").cast("timestamp")) for df in (matches, events))
     codes = matches.select("sport_key", "competition_code").distinct()
@@ -55,8 +55,9 @@ def best_events(matches: DataFrame, events: DataFrame, aliases: DataFrame, minut
     m = known_forms(matches, ["match_id", "competition_code"], aliases, "db_")
     e = e.select("event_id", "sport_key", "competition_code", F.col("kickoff_at").alias("api_at"), F.col("home_team").alias("api_home_team"), F.col("away_team").alias("api_away_team"), *(c for c in e.columns if c.startswith("api_")))
     at = slot(F.col("kickoff_at"))
-    m_keys = F.array_distinct(F.concat(F.when(F.col("kickoff_at").isNull(), F.array().cast("array<string>")).otherwise(text(at - 1, at, at + 1)), shared("db_")))
-    e_keys = F.when(F.col("api_at").isNotNull(), text(slot(F.col("api_at")))).otherwise(F.array_distinct(shared("api_")))
+    timed = F.when(F.col("kickoff_at").isNull(), F.array().cast("array<string>")).otherwise(within(F.array(at - 1, at, at + 1), shared("db_")))
+    m_keys = F.array_distinct(F.concat(timed, shared("db_")))
+    e_keys = F.array_distinct(F.when(F.col("api_at").isNotNull(), within(F.array(slot(F.col("api_at"))), shared("api_"))).otherwise(shared("api_")))
     pairs = (
         m.withColumn("meet", F.explode(m_keys)).join(e.withColumn("meet", F.explode(e_keys)), ["sport_key", "competition_code", "meet"])
         .filter(close(F.col("kickoff_at"), F.col("api_at"), minutes)).dropDuplicates(["match_id", "event_id", "competition_code"])
