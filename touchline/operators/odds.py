@@ -69,19 +69,44 @@ def close(a: Column, b: Column, minutes: int = BAND_MINUTES) -> Column:
     return b.isNull() | (F.abs(F.unix_micros(a) - F.unix_micros(b)) <= minutes * 60_000_000)
 
 
+def first_in_band(asked: DataFrame, given: DataFrame, keys: list[str], asked_id: str, minutes: int = BAND_MINUTES) -> DataFrame:
+    """(the columns of ``asked``, event_id): the smallest event_id of the same keys within the band, where there is one.
+
+    ``asked``: keys, asked_id, at (micros or null); ``given``: keys, at (micros or null: always within), event_id.  A
+    band covers the whole range of its width that it starts from, the end of the one before and the start of the one
+    after; smallest ids up to and from each point of a range are running ones, so rows are sorted, never paired.
+    """
+    width = minutes * 60_000_000
+    slot = lambda c: F.floor(c / F.lit(width)).cast("long")
+    events = given.groupBy(*keys, "at").agg(F.min("event_id").alias("event_id"))
+    at = F.col("at")
+    timed = events.filter("at IS NOT NULL").select(*keys, slot(at).alias("slot"), "at", F.lit(None).cast("int").alias("part"), F.lit(None).cast("long").alias("from"), "event_id")
+    points = asked.filter("at IS NOT NULL").select(*keys, at).distinct()
+    ends = F.array(*(F.struct((slot(at) + d).cast("long").alias("slot"), (at + d * F.lit(width)).cast("long").alias("at"), F.lit(d).alias("part")) for d in (-1, 0, 1)))
+    looks = points.select(*keys, at.alias("from"), F.explode(ends).alias("e")).select(*keys, "e.slot", "e.at", "e.part", "from", F.lit(None).cast("long").alias("event_id"))
+    range_of = Window.partitionBy(*keys, "slot")
+    up_to, whole = range_of.orderBy("at").rangeBetween(Window.unboundedPreceding, 0), range_of
+    on = range_of.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    least = lambda w: F.min("event_id").over(w)
+    both = timed.unionByName(looks).withColumns({"_to": least(up_to), "_on": least(on), "_all": least(whole)})
+    seen = both.filter("part IS NOT NULL").withColumn("event_id", F.when(F.col("part") == 1, F.col("_to")).when(F.col("part") == -1, F.col("_on")).otherwise(F.col("_all")))
+    found = seen.groupBy(*keys, F.col("from").alias("at")).agg(F.min("event_id").alias("_in"))
+    always = events.filter("at IS NULL").select(*keys, F.col("event_id").alias("_any"))
+    null_safe = lambda left, right: left.join(right.hint("merge"), [*keys, "at"], "left")
+    out = null_safe(asked, found).join(always, keys, "left")
+    return out.withColumn("event_id", F.least("_in", "_any")).filter("event_id IS NOT NULL").select(asked_id, *(c for c in asked.columns if c != asked_id), "event_id")
+
+
 def match_events(matches: DataFrame, events: DataFrame, minutes: int = BAND_MINUTES) -> DataFrame:
     """Each match's first event, in the events' order, that shares its league and a name of either side, within the band.
 
-    Both sides are candidate arrays (home_names, away_names).  Rows meet by league and one home name, and,
-    where the event has a time, by ranges of the band's width, so no league is crossed with itself.
+    Both sides are candidate arrays (home_names, away_names).  Rows meet by league and a pair of names; the first
+    event within the band is looked up, not sought among all that meet.
     """
-    width = minutes * 60_000_000
-    slot = lambda c: F.floor(F.unix_micros(c) / width)
-    m = matches.select("match_id", "league", "kickoff_at", "home_names", "away_names", F.explode("home_names").alias("name"))
-    m = m.withColumn("slot", F.explode(F.when(F.col("kickoff_at").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array(slot("kickoff_at") - 1, slot("kickoff_at"), slot("kickoff_at") + 1, F.lit(-1).cast("long")))))
-    e = events.select("event_id", "league", F.col("kickoff_at").alias("event_at"), F.col("away_names").alias("event_away"), F.explode("home_names").alias("name")).withColumn("slot", F.coalesce(slot("event_at"), F.lit(-1)))
-    met = m.join(e, ["league", "name", "slot"]).filter(F.arrays_overlap("away_names", "event_away") & close(F.col("kickoff_at"), F.col("event_at"), minutes))
-    return met.groupBy("match_id").agg(F.min("event_id").alias("event_id"))
+    at = F.unix_micros("kickoff_at").alias("at")
+    pairs = lambda df, key: df.select(key, "league", at, F.explode(F.array_distinct("home_names")).alias("home"), "away_names").select(key, "league", "at", "home", F.explode(F.array_distinct("away_names")).alias("away"))
+    found = first_in_band(pairs(matches, "match_id"), pairs(events, "event_id"), ["league", "home", "away"], "match_id", minutes)
+    return found.groupBy("match_id").agg(F.min("event_id").alias("event_id"))
 
 
 def newest_first(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
