@@ -27,3 +27,29 @@ def test_names_are_compared_once_and_not_broadcast(spark):
 def test_plain_names_skip_the_class_of_ligatures(spark):
     assert "octet_length" in plan(spark.range(1).select(names.normal(F.col("id").cast("string"))))
     assert spark.sql("select 'ﬁve ½ Ångström' as t").select(names.normal(F.col("t"))).first()[0] == "five 12 angstroem"
+
+
+def test_bands_are_looked_up_not_paired(spark):
+    import random
+
+    from touchline.operators import odds
+
+    rng, width = random.Random(3), 180 * 60_000_000
+    asked = [(i, rng.choice("ab"), rng.randrange(5) * width + rng.choice((0, 1, width - 1, rng.randrange(width)))) for i in range(60)] + [(60, "a", None)]
+    given = [(i, rng.choice("ab"), rng.randrange(5) * width + rng.choice((0, 1, width - 1, rng.randrange(width)))) for i in range(40)] + [(-1, "b", None)]
+    a, g = spark.createDataFrame(asked, "id long, k string, at long"), spark.createDataFrame(given, "event_id long, k string, at long")
+    found = odds.first_in_band(a, g, ["k"], "id")
+    hits = {i: [e for e, l, u in given if l == k and (u is None or t is not None and abs(t - u) <= width)] for i, k, t in asked}
+    assert {r["id"]: r["event_id"] for r in found.collect()} == {i: min(x) for i, x in hits.items() if x}
+
+
+def test_kinds_of_names_are_compared_once(spark):
+    from touchline.operators import detect
+
+    m = spark.createDataFrame([(i, "s", "c", "2024-01-01 12:00:00", "North Kings 1", "East City 2") for i in range(30)], "match_id long, sport_key string, competition_code string, kickoff_at string, home_team string, away_team string")
+    e = spark.createDataFrame([(9, "s", "2024-01-01 14:59:00", "North Kings 1", "East City 2"), (8, "s", "2024-01-01 15:01:00", "North Kings 1", "East City 2"), (7, "s", None, "The North Kings 1 Rovers", "East City 2")], "event_id long, sport_key string, kickoff_at string, home_team string, away_team string")
+    known = spark.createDataFrame([], "alias_normalized string, canonical_normalized string, source_system string, competition_code string")
+    rows = detect.best_events(m, e, known).collect()
+    assert sorted((r["match_id"], r["event_id"], r["score"]) for r in rows) == [(i, 9, 1.0) for i in range(30)]
+    forms = detect.known_forms(m, known, "f_")
+    assert forms.count() == 30 and forms.select("f_home", "f_away").distinct().count() == 1

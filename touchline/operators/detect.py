@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from .odds import BAND_MINUTES, close
+from ..session import scratch
+from .odds import BAND_MINUTES, first_in_band
 from .resolve import in_scope
 
 SOURCE = "odds_api"
@@ -19,59 +20,102 @@ def team_form(text: Column, stopwords: tuple[str, ...] = names.STOPWORDS_DETECT)
     return names.without(names.normal(text), stopwords)
 
 
-def known_forms(rows: DataFrame, key: list[str], aliases: DataFrame, prefix: str, stopwords: tuple[str, ...] = names.STOPWORDS_DETECT) -> DataFrame:
+def known_forms(rows: DataFrame, aliases: DataFrame, prefix: str, stopwords: tuple[str, ...] = names.STOPWORDS_DETECT) -> DataFrame:
     """``rows`` with {prefix}{side} (normal form) and {prefix}{side}_set (with the canonical forms of aliases in scope).
 
-    ``aliases``: alias_normalized, canonical_normalized, source_system, competition_code (null: everywhere).
+    ``aliases``: alias_normalized, canonical_normalized, source_system, competition_code (null: everywhere).  Forms
+    are found once for each name and competition.
     """
-    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), team_form(F.col(f"{s}_team"), stopwords).alias("form")) for s in SIDES)))
-    long = rows.select(*key, F.col("competition_code").alias("at_code"), sides.alias("x")).select(*key, "at_code", "x.*")
+    named = rows.select(F.explode(F.array(*(f"{s}_team" for s in SIDES))).alias("name"), F.col("competition_code").alias("at_code")).distinct()
     known = aliases.select(F.col("alias_normalized").alias("form"), "canonical_normalized", F.col("source_system").alias("of_source"), F.col("competition_code").alias("of_code"))
-    met = long.join(known, "form", "left")
+    met = named.withColumn("form", team_form(F.col("name"), stopwords)).join(known, "form", "left")
     usable = in_scope(F.col("of_source"), F.lit(SOURCE)) & in_scope(F.col("of_code"), F.col("at_code"))
     both = F.array_union(F.collect_set("form"), F.collect_set(F.when(usable, F.col("canonical_normalized"))))
-    sets = met.groupBy(*key).pivot("side", list(SIDES)).agg(F.first("form").alias("form"), F.filter(both, lambda f: f != "").alias("set"))
-    renamed = sets.select(*key, *(F.col(f"{s}_{part}").alias(prefix + s + ("_set" if part == "set" else "")) for s in SIDES for part in ("form", "set")))
-    return rows.join(renamed, key)
+    sets = met.groupBy("name", "at_code").agg(F.first("form").alias("form"), F.array_sort(F.filter(both, lambda f: f != "")).alias("set"))
+    for s in SIDES:
+        mine = sets.select(F.col("name").alias("_name"), F.col("at_code").alias("_code"), F.col("form").alias(f"{prefix}{s}"), F.col("set").alias(f"{prefix}{s}_set"))
+        rows = rows.join(mine, F.col(f"{s}_team").eqNullSafe(F.col("_name")) & F.col("competition_code").eqNullSafe(F.col("_code")), "left").drop("_name", "_code")
+    return rows
+
+
+#: Kinds of events that are tried first for a kind of match; the others only where none of these is surely in the band.
+FIRST_KINDS = 64
+
+
+def _kinds_in_reach(spots: DataFrame, pairs: DataFrame, there: DataFrame) -> DataFrame:
+    """(mk, slot, ek, score, step): kinds of events that a kind of match is like and that have events in its range or the next."""
+    step = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step")
+    met = spots.join(pairs, "mk").select("mk", "slot", "ek", "score", step)
+    return met.withColumn("at_slot", F.col("slot") + F.col("step")).join(there.withColumnRenamed("slot", "at_slot"), ["ek", "at_slot"]).drop("at_slot")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _alike(m: DataFrame, e: DataFrame, group: list[str]) -> DataFrame:
+    """(mk, ek, score) for kinds of matches and events with a similarity above 0: the mean of the sides', each of which is found once."""
+    def names_of(df: DataFrame, p: str, key: str) -> DataFrame:
+        x = F.explode(F.array(*(F.struct(F.col(f"{s}_k").alias(key), F.col(f"{p}{s}").alias(f"{p}form"), F.col(f"{p}{s}_set").alias(f"{p}set")) for s in SIDES)))
+        one = df.select(*group, x.alias("x")).select(*group, "x.*").dropDuplicates([key])
+        tag = lambda mark, keys: F.transform(keys, lambda k: F.concat(F.lit(mark), k))
+        met = F.concat(tag("=", F.col(f"{p}set")), tag(":", F.flatten(F.transform(F.col(f"{p}set"), names.tokens))))
+        return one.withColumn("meet", F.explode(F.array_distinct(met)))
+
+    met = names_of(m, "db_", "m_k").join(names_of(e, "api_", "e_k").hint("merge"), [*group, "meet"]).dropDuplicates(["m_k", "e_k"])
+    likest = F.array_max(F.transform(F.col("api_set"), lambda c: names.jaccard(F.col("db_form"), c)))
+    score = F.when(F.arrays_overlap("db_set", "api_set"), 1.0).otherwise(F.coalesce(likest, F.lit(0.0)))
+    sides = met.select("m_k", "e_k", score.alias("score")).filter("score > 0")
+    kinds = lambda df, k: df.select(k, *(f"{s}_k" for s in SIDES)).distinct()
+    mine, theirs = kinds(m, "mk"), kinds(e, "ek")
+    by_side = [mine.select("mk", F.col(f"{s}_k").alias("m_k")).join(sides, "m_k").join(theirs.select("ek", F.col(f"{s}_k").alias("e_k")), "e_k").select("mk", "ek", "score") for s in SIDES]
+    return by_side[0].unionByName(by_side[1]).groupBy("mk", "ek").agg(F.bround(F.sum("score") / 2, 4).alias("score")).filter("score > 0")
 
 
 def best_events(matches: DataFrame, events: DataFrame, aliases: DataFrame, minutes: int = BAND_MINUTES) -> DataFrame:
     """Each match's event with the largest mean name similarity within the band, the first of equals; none where all are 0.
 
     ``matches``: match_id, sport_key, competition_code, kickoff_at, home_team, away_team; ``events``: event_id,
-    sport_key, kickoff_at (null: unknown, passes), home_team, away_team.  They meet by a shared word or form of a
-    side, without which the similarity is 0; timed events by one within a range of the band's width.
+    sport_key, kickoff_at (null: unknown, passes), home_team, away_team.  Rows of equal names are one kind; kinds
+    meet by a shared word or form of a side, without which the similarity is 0, and are compared once.  A kind's event
+    in a match's own range of the band's width is surely within the band, so no worse kind is looked up there.
     """
     width = minutes * 60_000_000
-    slot = lambda c: F.floor(F.unix_micros(c) / width)
-    tag = lambda mark, keys: F.transform(keys, lambda k: F.concat(F.lit(mark), k))
-    words = lambda side, p: F.flatten(F.transform(F.col(f"{p}{side}_set"), names.tokens))
-    shared = lambda p: F.concat(*(F.concat(tag(f"{s}=", F.col(f"{p}{s}_set")), tag(f"{s}:", words(s, p))) for s in SIDES))
-    within = lambda slots, keys: F.flatten(F.transform(slots, lambda n: F.transform(keys, lambda k: F.concat_ws("|", n.cast("string"), k))))
-
+    slot = lambda c: F.floor(c / F.lit(width)).cast("long")
+    group = ["sport_key", "competition_code"]
     matches, events = (df.withColumn("kickoff_at", F.col("kickoff_at").cast("timestamp")) for df in (matches, events))
-    codes = matches.select("sport_key", "competition_code").distinct()
-    e = known_forms(events.join(codes, "sport_key"), ["event_id", "competition_code"], aliases, "api_")
-    m = known_forms(matches, ["match_id", "competition_code"], aliases, "db_")
-    e = e.select("event_id", "sport_key", "competition_code", F.col("kickoff_at").alias("api_at"), F.col("home_team").alias("api_home_team"), F.col("away_team").alias("api_away_team"), *(c for c in e.columns if c.startswith("api_")))
-    at = slot(F.col("kickoff_at"))
-    timed = F.when(F.col("kickoff_at").isNull(), F.array().cast("array<string>")).otherwise(within(F.array(at - 1, at, at + 1), shared("db_")))
-    m_keys = F.array_distinct(F.concat(timed, shared("db_")))
-    e_keys = F.array_distinct(F.when(F.col("api_at").isNotNull(), within(F.array(slot(F.col("api_at"))), shared("api_"))).otherwise(shared("api_")))
-    pairs = (
-        m.withColumn("meet", F.explode(m_keys)).join(e.withColumn("meet", F.explode(e_keys)), ["sport_key", "competition_code", "meet"])
-        .filter(close(F.col("kickoff_at"), F.col("api_at"), minutes)).dropDuplicates(["match_id", "event_id", "competition_code"])
-    )
-
-    def side(s: str) -> Column:
-        mine, theirs = F.col(f"db_{s}"), F.col(f"api_{s}_set")
-        alike = F.array_max(F.transform(theirs, lambda c: names.jaccard(mine, c)))
-        return F.when(F.arrays_overlap(f"db_{s}_set", theirs), 1.0).otherwise(F.coalesce(alike, F.lit(0.0)))
-
-    scored = pairs.withColumn("score", F.bround((side("home") + side("away")) / 2, 4)).filter("score > 0")
-    kept = F.struct("event_id", "api_home_team", "api_away_team", "api_home", "api_away", "api_at", "score")
-    best = scored.groupBy(*matches.columns, "db_home", "db_away").agg(F.max_by(kept, F.struct("score", -F.col("event_id"))).alias("b"))
-    return best.select(*matches.columns, "db_home", "db_away", "b.*")
+    codes = matches.select(*group).distinct()
+    named = lambda df, p: df.withColumns({f"{s}_k": F.md5(F.to_json(F.struct(*group, f"{p}{s}", f"{p}{s}_set"))) for s in SIDES})
+    key = F.md5(F.concat(*(f"{s}_k" for s in SIDES)))
+    e = named(known_forms(events.join(codes, "sport_key"), aliases, "api_"), "api_").withColumns({"ek": key, "at": F.unix_micros("kickoff_at")})
+    m = named(known_forms(matches, aliases, "db_"), "db_").withColumns({"mk": key, "at": F.unix_micros("kickoff_at")})
+    m, e = _stored(m, "matches"), _stored(e, "events")  # one plan of all steps takes minutes to make
+    pairs = _alike(m, e, group)
+    pairs = _stored(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("mk").orderBy(F.desc("score"), "ek"))), "kinds")
+
+    points = m.select("mk", "at").distinct()
+    timed, untimed = e.filter("at IS NOT NULL").select("ek", "at", "event_id"), e.filter("at IS NULL").groupBy("ek").agg(F.min("event_id").alias("event_id"))
+    choice = F.struct("score", (-F.col("event_id")).alias("less"))
+    always = pairs.join(untimed, "ek").groupBy("mk").agg(F.max(choice).alias("best"))
+    there, spots = timed.select("ek", slot(F.col("at")).alias("slot")).distinct(), points.filter("at IS NOT NULL").select("mk", slot(F.col("at")).alias("slot")).distinct()
+    near = _kinds_in_reach(spots, pairs.filter(F.col("nth") <= FIRST_KINDS), there)
+    sure = near.filter("step = 0").select("mk", "slot").distinct()
+    far = _kinds_in_reach(spots.join(sure, ["mk", "slot"], "left_anti"), pairs.filter(F.col("nth") > FIRST_KINDS), there)
+    reach = near.unionByName(far)
+    least = reach.groupBy("mk", "slot").agg(F.max(F.when(F.col("step") == 0, F.col("score"))).alias("least"))
+    tried = reach.join(least, ["mk", "slot"]).filter(F.coalesce(F.col("score") >= F.col("least"), F.lit(True))).select("mk", "slot", "ek", "score").distinct()
+    asked = points.withColumn("slot", slot(F.col("at"))).join(tried, ["mk", "slot"]).select("mk", "ek", "at", "score")
+    asked = _stored(asked, "asked")
+    found = first_in_band(asked, timed, ["ek"], "mk", minutes).select("mk", "at", choice.alias("best"))
+    best = found.unionByName(points.join(always, "mk").select("mk", "at", "best")).groupBy("mk", "at").agg(F.max("best").alias("best"))
+    best = best.select(F.col("mk").alias("_mk"), F.col("at").alias("_at"), (-F.col("best.less")).alias("event_id"), "best.score")
+    chosen = m.join(best.hint("merge"), (F.col("mk") == F.col("_mk")) & F.col("at").eqNullSafe(F.col("_at")))
+    given = e.select("event_id", "competition_code", F.col("home_team").alias("api_home_team"), F.col("away_team").alias("api_away_team"), "api_home", "api_away", F.col("kickoff_at").alias("api_at"))
+    out = chosen.join(given.hint("merge"), ["event_id", "competition_code"])
+    return out.select(*matches.columns, "db_home", "db_away", *given.columns[:1], *given.columns[2:], "score")
 
 
 def worth_storing() -> Column:
