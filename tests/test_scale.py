@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from touchline.functions import names
 from touchline.operators import resolve
+from touchline.sources import lookup
+from touchline.streaming import snapshots
 
 
 def plan(df):
@@ -53,3 +55,10 @@ def test_kinds_of_names_are_compared_once(spark):
     assert sorted((r["match_id"], r["event_id"], r["score"]) for r in rows) == [(i, 9, 1.0) for i in range(30)]
     forms = detect.known_forms(m, known, "f_")
     assert forms.count() == 30 and forms.select("f_home", "f_away").distinct().count() == 1
+
+
+def test_buckets_grow_with_rows(spark, tmp_path, monkeypatch):
+    assert [lookup.buckets_for(n) for n in (0, 600_000, 16_000_001, 36_000_000)] == [16, 16, 32, 64]
+    monkeypatch.setattr(lookup, "BUCKET_ROWS", 10)
+    name = lookup.write(spark.range(400).select(F.col("id").alias("match_id")), "match_id", str(tmp_path / "b"))
+    assert "64 out of 64" in plan(lookup.table(spark, name).groupBy("match_id").count()) and lookup.table(spark, name).count() == 400

@@ -233,8 +233,10 @@ def _isolated(spark: SparkSession, sf: str) -> DataFrame:
 def _bucketed(spark: SparkSession, sf: str) -> DataFrame:
     """Two tables bucketed by match and joined bucket by bucket."""
     path = scratch(spark, "buckets")
-    left = lookup.write(relation(spark, sf, "matches_multi").select(F.col("match_id").cast("long").alias("match_id"), "competition_code", "home_goals"), "match_id", f"{path}/m")
-    right = lookup.write(relation(spark, sf, "odds_snapshots").select(F.col("match_id").cast("long").alias("match_id"), "bookmaker_id", "home_odds"), "match_id", f"{path}/o")
+    m, o = relation(spark, sf, "matches_multi"), relation(spark, sf, "odds_snapshots")
+    n = lookup.buckets_for(max(m.count(), o.count()))  # as many on both sides
+    left = lookup.write(m.select(F.col("match_id").cast("long").alias("match_id"), "competition_code", "home_goals"), "match_id", f"{path}/m", n)
+    right = lookup.write(o.select(F.col("match_id").cast("long").alias("match_id"), "bookmaker_id", "home_odds"), "match_id", f"{path}/o", n)
     joined = lookup.table(spark, left).join(lookup.table(spark, right), "match_id")
     return joined.groupBy("match_id", "competition_code").agg(F.countDistinct("bookmaker_id").alias("n_bookmakers"), F.round(F.max("home_odds"), 6).alias("best_home_odds"))
 

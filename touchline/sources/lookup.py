@@ -10,16 +10,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of a table; a table of 10 TB with files of some 256 MB wants 40,000.
-BUCKETS = 16
+#: Least buckets of a table, and the most rows that a bucket should hold; a bucket is read, sorted and joined by one task.
+BUCKETS, BUCKET_ROWS = 16, 1_000_000
 
 
-def write(df: DataFrame, key: str, path: str, buckets: int = BUCKETS, name: str | None = None) -> str:
-    """The name of a new table at ``path``, bucketed and sorted by ``key``.
+def buckets_for(rows: int) -> int:
+    """Buckets for a table of so many rows: a power of two, so that tables of different numbers can still meet."""
+    n = BUCKETS
+    while n * BUCKET_ROWS < rows:
+        n *= 2
+    return n
+
+
+def write(df: DataFrame, key: str, path: str, buckets: int | None = None, name: str | None = None) -> str:
+    """The name of a new table at ``path``, bucketed and sorted by ``key``, into as many buckets as its rows need unless they are given.
 
     Rows are dealt out before they are written, so each bucket is one file, not one for each task.
     """
     name = name or f"touchline_{uuid.uuid4().hex}"
+    buckets = buckets_for(df.count()) if buckets is None else buckets
     dealt = df.repartition(buckets, F.col(key))
     dealt.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return name
