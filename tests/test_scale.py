@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import names
 from touchline.operators import resolve
-from touchline.sources import lookup
+from touchline.sources import lookup, pages
 from touchline.streaming import snapshots
 
 
@@ -62,3 +62,13 @@ def test_buckets_grow_with_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lookup, "BUCKET_ROWS", 10)
     name = lookup.write(spark.range(400).select(F.col("id").alias("match_id")), "match_id", str(tmp_path / "b"))
     assert "64 out of 64" in plan(lookup.table(spark, name).groupBy("match_id").count()) and lookup.table(spark, name).count() == 400
+
+
+def test_pages_have_a_bounded_number_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "MOST_FILES", 6, raising=False)
+    order = pages.Order(("at", "id"), (True, False))
+    pages.write(spark.range(900).select("id", (F.col("id") % 50).alias("at")), str(tmp_path), order, file_rows=10)
+    p = pages.Pages(spark, str(tmp_path), order)
+    assert 2 <= len(p.files()) <= 6
+    first = p.page(30)
+    assert [r["id"] for r in first.union(p.page(30, p.key(first))).collect()] == sorted(range(900), key=lambda i: (-(i % 50), i))[:60]

@@ -14,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a file, about.
-FILE_ROWS = 1_000_000
+#: Rows of a file, about, and the most files: each is a task and a row of the index, which come to the driver.
+FILE_ROWS, MOST_FILES = 1_000_000, 1000
 
 
 @dataclass(frozen=True)
@@ -40,9 +40,12 @@ class Order:
 
 
 def write(df: DataFrame, path: str, order: Order, file_rows: int = FILE_ROWS, rows: int | None = None) -> None:
-    """The table at ``path``/rows and its index at ``path``/index; ``rows`` saves a count where the caller knows it."""
+    """The table at ``path``/rows and its index at ``path``/index; ``rows`` saves a count where the caller knows it.
+
+    Files hold about ``file_rows`` rows, more where there would be more than ``MOST_FILES`` of them.
+    """
     n = df.count() if rows is None else rows
-    files = max(1, -(-n // file_rows))
+    files = min(MOST_FILES, max(1, -(-n // file_rows)))
     ranged = df.repartitionByRange(files, *order.sort()) if files > 1 else df.coalesce(1)
     ranged.sortWithinPartitions(*order.sort()).write.parquet(f"{path}/rows")
     spark = df.sparkSession
