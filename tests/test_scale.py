@@ -72,3 +72,13 @@ def test_pages_have_a_bounded_number_of_files(spark, tmp_path, monkeypatch):
     assert 2 <= len(p.files()) <= 6
     first = p.page(30)
     assert [r["id"] for r in first.union(p.page(30, p.key(first))).collect()] == sorted(range(900), key=lambda i: (-(i % 50), i))[:60]
+
+
+def test_a_task_of_a_batch_writes_a_bounded_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "TASK_ROWS", 50, raising=False)
+    rows = spark.range(1200).selectExpr("id % 300 match_id", "id % 4 bookmaker_id", "timestamp'2024-01-01' snapshot_ts", "cast(id as int) seq", "1.5d home_odds", "cast(id as double) draw_odds", "3d away_odds").coalesce(1)
+    log, table = str(tmp_path / "log"), str(tmp_path / "table")
+    snapshots.refresh(snapshots.consensus(snapshots.append_snapshots(rows, log, 0, 2)), table, ["match_id"], 2, 1200)
+    sizes = spark.read.parquet(f"{log}/batch=0").groupBy(F.input_file_name()).count()
+    assert sizes.agg(F.max("count"), F.sum("count")).first()[0] < 400 and sizes.agg(F.sum("count")).first()[0] == 1200
+    assert {tuple(r) for r in snapshots.consensus_table(spark, table).collect()} == {tuple(r) for r in snapshots.consensus(rows).collect()}

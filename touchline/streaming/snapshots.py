@@ -18,8 +18,8 @@ from ..operators.odds import consensus
 SCHEMA = "match_id long, bookmaker_id long, snapshot_ts timestamp, seq int, home_odds double, draw_odds double, away_odds double"
 ALIAS_EVENTS = "source_system string, competition_code string, raw_name string, raw_name_normalized string, home_or_away string, context string, status string"
 EVENT_KEY = ("source_system", "competition_code", "raw_name_normalized", "home_or_away")
-#: Buckets of a table; a bucket of a batch should hold some ten megabytes or more.
-BUCKETS = 32
+#: Buckets of a table; a bucket of a batch should hold some ten megabytes or more.  A task writes about so many rows.
+BUCKETS, TASK_ROWS = 32, 500_000
 
 
 def read(spark: SparkSession, folder: str, files_per_batch: int = 100, schema: str = SCHEMA) -> DataFrame:
@@ -30,6 +30,13 @@ def bucket(keys: tuple[str, ...], n: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
 
+def _dealt(df: DataFrame, rows: int, buckets: int, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with a bucket, dealt to tasks by it and, where buckets are large, by parts of it: a task sorts what it writes."""
+    parts = max(1, -(-rows // (TASK_ROWS * buckets)))
+    part = F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(parts))
+    return df.repartition(max(buckets * parts, 1), F.col("bucket"), part)
+
+
 def _batch(df: DataFrame, path: str, number: int) -> None:
     """The batch's rows below its own number, in place of what an earlier try of it left."""
     df.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
@@ -54,21 +61,22 @@ def append_snapshots(df: DataFrame, log: str, number: int, buckets: int = BUCKET
     """The batch's snapshots, appended to the log once; gives what the log then holds of the matches touched."""
     spark = df.sparkSession
     rows = df.withColumn("bucket", bucket(("match_id",), buckets))
-    _batch(rows, log, number)
+    _batch(_dealt(rows, df.count(), buckets, ("match_id",)), log, number)
     own = _read(spark, f"{log}/batch={number}", SCHEMA)
     touched = own.select("match_id").distinct()
     return _read(spark, log, SCHEMA, "batch").filter(F.col("bucket").isin(_touched(own))).join(touched, "match_id", "left_semi").drop("batch")
 
 
-def refresh(fresh: DataFrame, table: str, keys: list[str], buckets: int = BUCKETS) -> None:
-    """The table with the rows of ``fresh`` in place of those of their keys; only the buckets touched are written."""
+def refresh(fresh: DataFrame, table: str, keys: list[str], buckets: int = BUCKETS, most: int = 0) -> None:
+    """The table with the rows of ``fresh``, ``most`` at most, in place of those of their keys; only the buckets touched are written."""
     spark = fresh.sparkSession
     new = fresh.withColumn("bucket", bucket(tuple(keys), buckets))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields)
     touched = _touched(new)
     if not touched:
         return
-    merged = merge.upsert(_read(spark, table, schema).filter(F.col("bucket").isin(touched)), new, ["bucket", *keys])
+    old = _read(spark, table, schema).filter(F.col("bucket").isin(touched))
+    merged = _dealt(merge.upsert(old, new, ["bucket", *keys]), old.count() + most, buckets, tuple(keys))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
     spark.catalog.refreshByPath(table)
 
@@ -82,7 +90,7 @@ def refresh_consensus(snapshots: DataFrame, log: str, table: str, checkpoint: st
     """Append each batch to ``log`` and set the consensus of the matches that it touches in ``table``."""
 
     def batch(df: DataFrame, number: int) -> None:
-        refresh(consensus(append_snapshots(df, log, number, buckets)), table, ["match_id"], buckets)
+        refresh(consensus(append_snapshots(df, log, number, buckets)), table, ["match_id"], buckets, df.count())
 
     return snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
