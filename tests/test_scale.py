@@ -82,3 +82,13 @@ def test_a_task_of_a_batch_writes_a_bounded_part(spark, tmp_path, monkeypatch):
     sizes = spark.read.parquet(f"{log}/batch=0").groupBy(F.input_file_name()).count()
     assert sizes.agg(F.max("count"), F.sum("count")).first()[0] < 400 and sizes.agg(F.sum("count")).first()[0] == 1200
     assert {tuple(r) for r in snapshots.consensus_table(spark, table).collect()} == {tuple(r) for r in snapshots.consensus(rows).collect()}
+
+
+def test_alias_events_are_dealt_before_they_are_sorted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "TASK_ROWS", 50, raising=False)
+    df = spark.range(500).selectExpr("'s' source_system", "'c' competition_code", "'n' raw_name", "concat('n', id % 3) raw_name_normalized", "'home' home_or_away", "concat('x', 1000 + id) context", "'new' status").coalesce(1)
+    seen = []
+    monkeypatch.setattr(snapshots.merge, "latest", lambda d, *a, real=snapshots.merge.latest: seen.append(d.rdd.getNumPartitions()) or real(d, *a))
+    snapshots.append_events(df, str(tmp_path / "t"), 0, 2)
+    assert seen == [10]
+    assert sorted(r["context"] for r in snapshots.alias_events(spark, str(tmp_path / "t")).collect()) == ["x1497", "x1498", "x1499"]

@@ -98,6 +98,9 @@ def refresh_consensus(snapshots: DataFrame, log: str, table: str, checkpoint: st
 def append_events(df: DataFrame, table: str, number: int, buckets: int = BUCKETS) -> None:
     """The batch's alias events whose key no earlier batch has, one for each key: of several the last by context."""
     spark = df.sparkSession
+    parts = -(-df.count() // TASK_ROWS)
+    if parts > 1:  # a task sorts its rows to find the last of each key
+        df = df.repartition(parts, F.xxhash64(*df.columns))
     new = merge.latest(df, EVENT_KEY, "context").withColumn("bucket", bucket(EVENT_KEY, buckets))
     earlier = _read(spark, table, ALIAS_EVENTS, "batch").filter(F.col("bucket").isin(_touched(new)) & (F.col("batch") < number))
     have = earlier.select(*(F.col(c).alias(f"n_{c}") for c in EVENT_KEY))
