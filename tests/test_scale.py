@@ -92,3 +92,15 @@ def test_alias_events_are_dealt_before_they_are_sorted(spark, tmp_path, monkeypa
     snapshots.append_events(df, str(tmp_path / "t"), 0, 2)
     assert seen == [10]
     assert sorted(r["context"] for r in snapshots.alias_events(spark, str(tmp_path / "t")).collect()) == ["x1497", "x1498", "x1499"]
+
+
+def test_a_backtest_parses_a_score_once_and_sorts_teams_once(spark):
+    from touchline.plans.backtest import backtest
+    from touchline.session import HUGE_METHOD
+
+    rows = [(i, "c", f"2024-01-{i % 28 + 1:02d} 12:00:00", i % 4 + 1, (i + 1) % 4 + 1, i % 3, i % 2, 2.0, 3.0, 3.5) for i in range(40)]
+    m = spark.createDataFrame(rows, "match_id long, competition_code string, kickoff_at string, home_team_id long, away_team_id long, home_goals long, away_goals long, home_odds double, draw_odds double, away_odds double")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    said = plan(backtest(m))
+    assert said.count("RLIKE") <= 8 and said.count("hashpartitioning(team_id") == 1 and "Scan ExistingRDD" in said
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == HUGE_METHOD

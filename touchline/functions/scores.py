@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .probs import Triple
 
+Pair = tuple[Column, Column]
+
 
 def parse_score(text: Column, separator: str = "[:-]") -> tuple[Column, Column]:
     """Goals of 'h:a' (or 'h-a'); null where the text isn't two whole numbers."""
@@ -23,12 +25,22 @@ def outcome(home: Column, away: Column) -> Column:
 
 def points(score: Column, home: Column, away: Column) -> Column:
     """4 for the exact score, 2 for the tendency, else 0; only 'h:a' is accepted."""
-    h, a = parse_score(score, ":")
+    return points_of(parse_score(score, ":"), home, away)
+
+
+def points_of(goals: Pair, home: Column, away: Column) -> Column:
+    """``points`` of goals already taken from the text."""
+    h, a = goals
     return F.when((h == home) & (a == away), 4).when(outcome(h, a) == outcome(home, away), 2).otherwise(0)
 
 
 def label(score: Column, home: Column, away: Column) -> Column:
-    h, a = parse_score(score, ":")
+    return label_of(parse_score(score, ":"), home, away)
+
+
+def label_of(goals: Pair, home: Column, away: Column) -> Column:
+    """``label`` of goals already taken from the text."""
+    h, a = goals
     return (
         F.when(h.isNull() | a.isNull() | home.isNull() | away.isNull(), F.lit(None))
         .when((h == home) & (a == away), "exact")
@@ -40,7 +52,12 @@ def label(score: Column, home: Column, away: Column) -> Column:
 
 def metrics(score: Column, home: Column, away: Column, p: Triple) -> dict[str, Column]:
     """The eight measures of one forecast; null where prediction, result or probabilities are missing."""
-    h, a = parse_score(score)
+    return metrics_of(parse_score(score), home, away, p)
+
+
+def metrics_of(goals: Pair, home: Column, away: Column, p: Triple) -> dict[str, Column]:
+    """``metrics`` of goals already taken from the text."""
+    h, a = goals
     both = h.isNotNull() & a.isNotNull() & home.isNotNull() & away.isNotNull()
     actual = outcome(home, away)
     total = p[0] + p[1] + p[2]

@@ -1,7 +1,7 @@
 """Features of a match from each team's strictly earlier matches.
 
-A team's matches are numbered in kickoff order, running sums give its state after each, and a match looks
-up the state after its last strictly earlier one: an equi-join on (team, number), so nothing at the
+A team's matches are numbered in kickoff order, running sums give its state after each, and a match takes
+the state of the largest number among the strictly earlier ones: a running maximum, so nothing at the
 same kickoff leaks in and no array grows with the history.
 """
 
@@ -69,12 +69,11 @@ def team_state(matches: DataFrame, undated: bool = False) -> DataFrame:
     rows = team_rows(matches)
     pts = F.when(F.col("symbol") == "W", 3).when(F.col("symbol") == "D", 1).otherwise(0)
     gd = (F.col("gf") - F.col("ga")).cast("long")
-    team = Window.partitionBy("team_id").orderBy("kickoff_at", F.desc("match_id"))
-    venue = Window.partitionBy("team_id", "is_home").orderBy("kickoff_at", F.desc("match_id"))
+    # matches without a result are parts of their own, so that they don't count among the last ones; all windows lie within a team's rows, dealt out once
+    team = Window.partitionBy("team_id", "has_result").orderBy("kickoff_at", F.desc("match_id"))
+    venue = Window.partitionBy("team_id", "is_home", "has_result").orderBy("kickoff_at", F.desc("match_id"))
     back = lambda w, n: w.rowsBetween(1 - n, 0)
-    done = rows.filter("has_result").withColumns({"pts": pts, "gd": gd})
-    state = done.select(
-        "team_id",
+    state = F.struct(
         F.row_number().over(team).alias("n_prior"),
         F.count("*").over(back(team, LAST)).alias("n"),
         F.sum("pts").over(back(team, LAST)).alias("s_pts"),
@@ -82,21 +81,18 @@ def team_state(matches: DataFrame, undated: bool = False) -> DataFrame:
         F.min("kickoff_at").over(back(team, LAST)).alias("oldest"),
         F.reverse(F.array_join(F.collect_list("symbol").over(back(team, LAST_FORM)), "")).alias("form"),
     )
-    at_venue = done.select(
-        "team_id", "is_home",
+    at_venue = F.struct(
         F.row_number().over(venue).alias("n_prior_venue"),
         F.count("*").over(back(venue, LAST_VENUE)).alias("v_n"),
         F.sum("pts").over(back(venue, LAST_VENUE)).alias("v_pts"),
         F.sum("gd").over(back(venue, LAST_VENUE)).alias("v_gd"),
     )
     earlier = lambda *keys: Window.partitionBy(*keys).orderBy("micros").rangeBetween(Window.unboundedPreceding, -1)
-    past = F.when(F.col("has_result"), 1)
-    asked = rows.select(
-        "match_id", "team_id", "is_home", "kickoff_at",
-        F.count(past).over(earlier("team_id")).cast("int").alias("n_prior"),
-        F.count(past).over(earlier("team_id", "is_home")).cast("int").alias("n_prior_venue"),
-    )
-    found = asked.join(state, ["team_id", "n_prior"], "left").join(at_venue, ["team_id", "is_home", "n_prior_venue"], "left")
+    dealt = rows.withColumns({"pts": pts, "gd": gd}).repartition("team_id").withColumns({"after": state, "after_venue": at_venue})
+    # the last state is the one of the largest number, which leads the struct
+    last = lambda c, *keys: F.max(F.when(F.col("has_result"), F.col(c))).over(earlier(*keys))
+    asked = dealt.select("match_id", "team_id", "is_home", "kickoff_at", last("after", "team_id").alias("s"), last("after_venue", "team_id", "is_home").alias("v"))
+    found = asked.select("match_id", "team_id", "is_home", "kickoff_at", "s.*", "v.*").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_prior", "n_prior_venue")})
     if undated:
         whole = _whole_history(rows)
         found = found.filter("kickoff_at IS NOT NULL").select(*whole.columns).unionByName(whole)
@@ -115,11 +111,10 @@ def with_features(matches: DataFrame, undated: bool = False) -> DataFrame:
     state = team_state(matches, undated)
     columns = ("n_prior", "n_prior_venue", "strength", "venue", "form", "crosses_year")
 
-    def side(home: bool) -> DataFrame:
-        name = "home" if home else "away"
-        return state.filter(F.col("is_home") == home).select("match_id", *(F.col(c).alias(f"{name}_{c}") for c in columns))
-
-    out = matches.join(side(True), "match_id", "left").join(side(False), "match_id", "left")
+    # both sides in one row: the states are worked out once, and matches are joined once
+    of = lambda name, home: [F.max(F.when(F.col("is_home") == home, F.col(c))).alias(f"{name}_{c}") for c in columns]
+    both = state.groupBy("match_id").agg(*of("home", True), *of("away", False))
+    out = matches.join(both.hint("merge"), "match_id", "left")  # sent whole, the few files of matches would bound the models' tasks
     gap = F.col("home_strength") - F.col("away_strength")
     return out.withColumn("win_probability", F.coalesce(clamp(F.bround(50 + 0.6 * gap), 5.0, 95.0), F.lit(50.0)).cast("int"))
 

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from ..functions import grid as g
 from ..functions import marginals as mg
 from ..functions.probs import Triple, clamp, normalise, split_home
+from ..session import compiled
 from .features import form_share
 
 Model = Callable[[DataFrame], DataFrame]
 
 
 def _inputs(featured: DataFrame) -> DataFrame:
+    compiled(featured.sparkSession)
     h, a = F.col("home_strength"), F.col("away_strength")
     return featured.withColumns({"_d": F.coalesce((h - a) / 100, F.lit(0.0)), "_fh": form_share(F.col("home_form")), "_fa": form_share(F.col("away_form"))})
 
