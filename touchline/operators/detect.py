@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..session import scratch
+from ..session import stored as _stored
 from .odds import BAND_MINUTES, first_in_band
 from .resolve import in_scope
 
@@ -49,13 +49,6 @@ def _kinds_in_reach(spots: DataFrame, pairs: DataFrame, there: DataFrame) -> Dat
     return met.withColumn("at_slot", F.col("slot") + F.col("step")).join(there.withColumnRenamed("slot", "at_slot"), ["ek", "at_slot"]).drop("at_slot")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _alike(m: DataFrame, e: DataFrame, group: list[str]) -> DataFrame:
     """(mk, ek, score) for kinds of matches and events with a similarity above 0: the mean of the sides', each of which is found once."""
     def names_of(df: DataFrame, p: str, key: str) -> DataFrame:
