@@ -94,6 +94,18 @@ def test_alias_events_are_dealt_before_they_are_sorted(spark, tmp_path, monkeypa
     assert sorted(r["context"] for r in snapshots.alias_events(spark, str(tmp_path / "t")).collect()) == ["x1497", "x1498", "x1499"]
 
 
+def test_normal_forms_are_found_before_events_are_read(spark):
+    from touchline.operators import competitions
+
+    events = spark.createDataFrame([(i, f"FC Alpha {i % 2}", "soccer_epl", "England Premier-League") for i in range(40)], "event_id long, raw_name string, external_code string, external_name string")
+    teams = spark.createDataFrame([(1, "Alpha 1"), (2, "Beta")], "team_id long, canonical_name string")
+    decided = resolve.decided(events.select("event_id", "raw_name"), teams)
+    assert "octet_length" not in plan(decided) and decided.filter("decision = 'approve'").count() == 20
+    known = spark.createDataFrame([("PREMIER_LEAGUE", "Premier League", "EPL", "England")], "competition_code string, competition_name string, league_abbr string, country string")
+    found = competitions.candidates(events, known)
+    assert plan(found).count("octet_length") <= 4 and found.filter("competition_code = 'PREMIER_LEAGUE' and rank = 1").count() == 40
+
+
 def test_a_backtest_parses_a_score_once_and_sorts_teams_once(spark):
     from touchline.plans.backtest import backtest
     from touchline.session import HUGE_METHOD

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..session import stored
 from . import merge, resolve
 
 LEAST_SCORE, KEEP = 0.45, 5
@@ -20,7 +21,11 @@ def signs_to_blanks(text: Column) -> Column:
 
 def competition_name(text: Column) -> Column:
     """The normal form without the words that many competitions share; empty if nothing else is there."""
-    return F.array_join(F.filter(F.split(signs_to_blanks(text), " "), lambda w: ~w.isin(*names.STOPWORDS_COMPETITION)), " ")
+    return without_common(signs_to_blanks(text))
+
+
+def without_common(form: Column) -> Column:
+    return F.array_join(F.filter(F.split(form, " "), lambda w: ~w.isin(*names.STOPWORDS_COMPETITION)), " ")
 
 
 def aliases(competitions: DataFrame, special: dict[str, list[str]] | None = None) -> DataFrame:
@@ -38,16 +43,18 @@ def candidates(events: DataFrame, competitions: DataFrame, least: float = LEAST_
     """The best competitions of each event (event_id, external_code, external_name): (event_id, competition_code, score, matched_via, rank).
 
     Both values of an event are scored against every alias.  Names meet by the keys of ``resolve.meeting``,
-    which lose no pair that reaches ``least``; equal codes and abbreviations meet by themselves.
+    which lose no pair that reaches ``least``; equal codes and abbreviations meet by themselves.  Normal forms are found and scored
+    once for each text, however many events bear it.
     """
-    raws = events.select("event_id", F.explode(F.array("external_code", "external_name")).alias("v")).select("event_id", competition_name(F.col("v")).alias("raw")).filter("raw <> ''").distinct()
-    by_alias = resolve.scored(raws, aliases(competitions), 1.0, resolve.COMPETITION_WEIGHTS, least).select("event_id", "competition_code", "score", F.lit(0).alias("via"))
-    alike = lambda mine, theirs, score, via: (
-        events.select("event_id", signs_to_blanks(F.col(mine)).alias("form")).filter("form <> ''")
-        .join(competitions.select("competition_code", signs_to_blanks(F.col(theirs)).alias("form")), "form")
-        .select("event_id", "competition_code", F.lit(score).alias("score"), F.lit(via).alias("via"))
-    )
-    found = by_alias.unionByName(alike("external_name", "league_abbr", ABBR_SCORE, 1)).unionByName(alike("external_code", "competition_code", CODE_SCORE, 2))
+    values = events.select("event_id", F.inline(F.array(*(F.struct(F.col(c).alias("v"), F.lit(via).alias("of")) for c, via in (("external_name", 1), ("external_code", 2))))))
+    # by a count, as Spark leaves out a grouping whose keys alone are asked for
+    texts = values.filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n")).select("v", "n", signs_to_blanks(F.col("v")).alias("form"))
+    texts = stored(texts.filter("form <> ''").withColumn("raw", without_common(F.col("form"))), "texts")
+    by_alias = resolve.scored(texts.filter("raw <> ''").select("v", "raw"), stored(aliases(competitions), "aliases"), 1.0, resolve.COMPETITION_WEIGHTS, least).select("v", "competition_code", "score", F.lit(0).alias("via"))
+    alike = lambda theirs, score, via: texts.select("v", "form").join(competitions.select("competition_code", signs_to_blanks(F.col(theirs)).alias("form")), "form").select("v", "competition_code", F.lit(score).alias("score"), F.lit(via).alias("via"))
+    known = by_alias.unionByName(alike("league_abbr", ABBR_SCORE, 1)).unionByName(alike("competition_code", CODE_SCORE, 2))
+    # an alias counts for either value of an event, an abbreviation for its name and a code for its code
+    found = values.join(known.hint("merge"), "v").filter((F.col("via") == 0) | (F.col("via") == F.col("of")))
     best_of = lambda via: F.max(F.when(F.col("via") == via, F.col("score")))
     best = found.groupBy("event_id", "competition_code").agg(F.max("score").alias("score"), best_of(0).alias("alias"), best_of(1).alias("abbr"), best_of(2).alias("code"))
     # the code always names the way, the abbreviation only where it betters the score
