@@ -116,3 +116,18 @@ def test_a_backtest_parses_a_score_once_and_sorts_teams_once(spark):
     said = plan(backtest(m))
     assert said.count("RLIKE") <= 8 and said.count("hashpartitioning(team_id") == 1 and "Scan ExistingRDD" in said
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == HUGE_METHOD
+
+
+def test_rows_are_not_moved_to_their_names(spark):
+    from touchline.operators import detect, odds
+
+    m = spark.createDataFrame([(i, "c", f"FC North {i % 3}", None if i % 5 == 0 else "East SV") for i in range(60)], "match_id long, competition_code string, home_team string, away_team string")
+    known = spark.createDataFrame([("north 1", "kings 1", None, "c"), ("north 2", "kings 2", "other", None)], "alias_normalized string, canonical_normalized string, source_system string, competition_code string")
+    forms = detect.known_forms(m, known, "f_")
+    said = plan(forms)
+    assert said.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in said and "octet_length" not in said
+    rows = forms.collect()
+    assert len(rows) == 60 and all(r["f_home_set"] == {0: ["north 0"], 1: ["kings 1", "north 1"], 2: ["north 2"]}[r["match_id"] % 3] for r in rows)
+    assert all((r["f_away"], r["f_away_set"]) == (("", []) if r["match_id"] % 5 == 0 else ("east", ["east"])) for r in rows)
+    at = spark.createDataFrame([(1, "a", 5)], "id long, k string, at long")
+    assert plan(odds.first_in_band(at, at.withColumnRenamed("id", "event_id"), ["k"], "id")).count("Sort [slot#") == 2

@@ -24,14 +24,15 @@ def known_forms(rows: DataFrame, aliases: DataFrame, prefix: str, stopwords: tup
     """``rows`` with {prefix}{side} (normal form) and {prefix}{side}_set (with the canonical forms of aliases in scope).
 
     ``aliases``: alias_normalized, canonical_normalized, source_system, competition_code (null: everywhere).  Forms
-    are found once for each name and competition.
+    are found once for each name and competition and written: by the size of what is written Spark knows that a few
+    names needn't be met by moving every row to its name, where all rows of a name land in one task.
     """
     named = rows.select(F.explode(F.array(*(f"{s}_team" for s in SIDES))).alias("name"), F.col("competition_code").alias("at_code")).distinct()
     known = aliases.select(F.col("alias_normalized").alias("form"), "canonical_normalized", F.col("source_system").alias("of_source"), F.col("competition_code").alias("of_code"))
     met = named.withColumn("form", team_form(F.col("name"), stopwords)).join(known, "form", "left")
     usable = in_scope(F.col("of_source"), F.lit(SOURCE)) & in_scope(F.col("of_code"), F.col("at_code"))
     both = F.array_union(F.collect_set("form"), F.collect_set(F.when(usable, F.col("canonical_normalized"))))
-    sets = met.groupBy("name", "at_code").agg(F.first("form").alias("form"), F.array_sort(F.filter(both, lambda f: f != "")).alias("set"))
+    sets = _stored(met.groupBy("name", "at_code").agg(F.first("form").alias("form"), F.array_sort(F.filter(both, lambda f: f != "")).alias("set")), "forms")
     for s in SIDES:
         mine = sets.select(F.col("name").alias("_name"), F.col("at_code").alias("_code"), F.col("form").alias(f"{prefix}{s}"), F.col("set").alias(f"{prefix}{s}_set"))
         rows = rows.join(mine, F.col(f"{s}_team").eqNullSafe(F.col("_name")) & F.col("competition_code").eqNullSafe(F.col("_code")), "left").drop("_name", "_code")

@@ -75,6 +75,7 @@ def first_in_band(asked: DataFrame, given: DataFrame, keys: list[str], asked_id:
     ``asked``: keys, asked_id, at (micros or null); ``given``: keys, at (micros or null: always within), event_id.  A
     band covers the whole range of its width that it starts from, the end of the one before and the start of the one
     after; smallest ids up to and from each point of a range are running ones, so rows are sorted, never paired.
+    Numbers come before the keys in what is sorted: times differ where keys, which are texts, are mostly alike.
     """
     width = minutes * 60_000_000
     slot = lambda c: F.floor(c / F.lit(width)).cast("long")
@@ -84,15 +85,16 @@ def first_in_band(asked: DataFrame, given: DataFrame, keys: list[str], asked_id:
     points = asked.filter("at IS NOT NULL").select(*keys, at).distinct()
     ends = F.array(*(F.struct((slot(at) + d).cast("long").alias("slot"), (at + d * F.lit(width)).cast("long").alias("at"), F.lit(d).alias("part")) for d in (-1, 0, 1)))
     looks = points.select(*keys, at.alias("from"), F.explode(ends).alias("e")).select(*keys, "e.slot", "e.at", "e.part", "from", F.lit(None).cast("long").alias("event_id"))
-    range_of = Window.partitionBy(*keys, "slot")
-    up_to, whole = range_of.orderBy("at").rangeBetween(Window.unboundedPreceding, 0), range_of
+    range_of = Window.partitionBy("slot", *keys)
+    up_to = range_of.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    whole = range_of.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # shares the order of the one before
     on = range_of.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
     least = lambda w: F.min("event_id").over(w)
     both = timed.unionByName(looks).withColumns({"_to": least(up_to), "_on": least(on), "_all": least(whole)})
     seen = both.filter("part IS NOT NULL").withColumn("event_id", F.when(F.col("part") == 1, F.col("_to")).when(F.col("part") == -1, F.col("_on")).otherwise(F.col("_all")))
-    found = seen.groupBy(*keys, F.col("from").alias("at")).agg(F.min("event_id").alias("_in"))
+    found = seen.groupBy(F.col("from").alias("at"), *keys).agg(F.min("event_id").alias("_in"))
     always = events.filter("at IS NULL").select(*keys, F.col("event_id").alias("_any"))
-    null_safe = lambda left, right: left.join(right.hint("merge"), [*keys, "at"], "left")
+    null_safe = lambda left, right: left.join(right.hint("merge"), ["at", *keys], "left")
     out = null_safe(asked, found).join(always, keys, "left")
     return out.withColumn("event_id", F.least("_in", "_any")).filter("event_id IS NOT NULL").select(asked_id, *(c for c in asked.columns if c != asked_id), "event_id")
 
