@@ -131,3 +131,16 @@ def test_rows_are_not_moved_to_their_names(spark):
     assert all((r["f_away"], r["f_away_set"]) == (("", []) if r["match_id"] % 5 == 0 else ("east", ["east"])) for r in rows)
     at = spark.createDataFrame([(1, "a", 5)], "id long, k string, at long")
     assert plan(odds.first_in_band(at, at.withColumnRenamed("id", "event_id"), ["k"], "id")).count("Sort [slot#") == 2
+
+
+def test_filtered_pages_read_a_bounded_number_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "MOST_FILES", 6, raising=False)
+    order = pages.Order(("at", "id"), (True, False))
+    pages.write(spark.range(900).select("id", (F.col("id") % 50).alias("at")), str(tmp_path), order, file_rows=10)
+    p, mine = pages.Pages(spark, str(tmp_path), order), F.col("id") % 45 == 7
+    want = sorted(range(7, 900, 45), key=lambda i: (-(i % 50), i))
+    first = p.page(8, where=mine)
+    second = p.page(8, p.key(first), mine)
+    last = p.page(8, p.key(second), mine)
+    assert [[r["id"] for r in x.collect()] for x in (first, second, last)] == [want[:8], want[8:16], want[16:]]
+    assert len(first.inputFiles()) <= 6 and len(last.inputFiles()) <= 6
